@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions import constants as K
@@ -173,7 +173,7 @@ def resolve_overlaps(candidates: str) -> str:
         a -> concat(a.done, {_CLUSTER.format(cl='a.cl')}))"""
 
 
-def context_flags(df: DataFrame, word_labels: bool = False) -> Column | None:
+def context_flags(df: DataFrame, word_labels: bool = False) -> str | None:
     """Context predicates of an element as one struct; None without context columns.
 
     ``word_labels`` asks for whole-word label matches; by default a label also
@@ -188,7 +188,8 @@ def context_flags(df: DataFrame, word_labels: bool = False) -> Column | None:
 
     parent_tag = f"coalesce({filled(col('parent_tag'))}, {col('tag')}, '')"
     labels = f"coalesce({filled(col('nearby_labels'))}, {col('placeholder')}, '')"
-    label = f"regexp_replace(lower({labels}), {raw(f'[^a-z0-9{SPACE}]')}, '')"
+    label = "lab"
+    normalized = f"regexp_replace(lower({labels}), {raw(f'[^a-z0-9{SPACE}]')}, '')"
     areas = f"concat_ws({SOH}, lower({col('parent_class')}), lower({col('parent_id')}))"
     auto = f"coalesce({col('autocomplete')}, '')"
     parts = [
@@ -200,7 +201,7 @@ def context_flags(df: DataFrame, word_labels: bool = False) -> Column | None:
     for name, words in K.LABELS.items():
         reachable = [w for w in words if re.fullmatch("[a-z0-9 ]+", w)]
         parts.append(f"{any_word(label, reachable, word_labels)} AS {name}")
-    return F.expr("struct(" + ", ".join(parts) + ")")
+    return let("lab", normalized, "struct(" + ", ".join(parts) + ")")
 
 
 def scan_fields(df: DataFrame, fields: tuple[str, ...], out: str = "spans", *,
@@ -209,15 +210,12 @@ def scan_fields(df: DataFrame, fields: tuple[str, ...], out: str = "spans", *,
     """Add the pattern spans of the named string columns as an array column."""
     flags = context_flags(df, word_labels)
     has_context = flags is not None
-    carried = df.columns
-    if has_context:
-        df = df.withColumn("ctx", flags)
     needed = sorted({d.gate for d in detectors})
     gates = ", ".join(f"'{g}', {_GATES[g].format(c='x.content')}" for g in needed)
     listed = []
     for name in fields:
         content = f"replace(`{name}`, {SOH}, {STX})"
-        if name == "value" and "type" in carried:
+        if name == "value" and "type" in df.columns:
             content = f"CASE WHEN coalesce(`type`, '') <> 'password' THEN {content} END"
         listed.append(f"named_struct('field', '{name}', 'content', {content})")
     stages = [s for s in (_stage(d, has_context)
@@ -228,16 +226,22 @@ def scan_fields(df: DataFrame, fields: tuple[str, ...], out: str = "spans", *,
             "CASE WHEN ctx.password THEN array(named_struct('start', 0, 'prio', 1, "
             f"'end', length(f.content), 'type', 'PASSWORD_FIELD', 'value', {quoted(K.HIDDEN_VALUE)})) "
             f"ELSE {candidates} END")
-    df = df.withColumn("_fields", F.expr(
-        f"transform(filter(array({', '.join(listed)}), x -> x.content <> ''), "
-        f"x -> named_struct('field', x.field, 'content', x.content, {gates}))"))
-    df = df.withColumn("_found", F.expr(
-        f"transform(_fields, f -> named_struct('field', f.field, 'cands', {candidates}))"))
-    df = df.withColumn(out, F.expr(
-        f"flatten(transform(_found, g -> transform({resolve_overlaps('g.cands')}, "
-        "s -> named_struct('field', g.field, 'type', s.type, 'value', s.value, "
-        "'start', s.start, 'end', s.`end`, 'confidence', 1.0D, 'method', 'REGEX'))))"))
-    return df.select(*carried, out)
+    content = (f"transform(filter(array({', '.join(listed)}), x -> x.content <> ''), "
+               f"x -> named_struct('field', x.field, 'content', x.content, {gates}))")
+    found = f"transform({content}, f -> named_struct('field', f.field, 'cands', {candidates}))"
+    spans = (f"flatten(transform({found}, g -> transform({resolve_overlaps('g.cands')}, "
+             "s -> named_struct('field', g.field, 'type', s.type, 'value', s.value, "
+             "'start', s.start, 'end', s.`end`, 'confidence', 1.0D, 'method', 'REGEX'))))")
+    return df.withColumn(out, F.expr(let("ctx", flags, spans) if has_context else spans))
+
+
+def let(name: str, value: str, body: str) -> str:
+    """Bind ``value`` to a name inside ``body``.
+
+    A struct column would be inlined into every place that reads one of its
+    fields; a lambda variable is computed once.
+    """
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def _att(field_name: str, kind: str, value: str, start: str, end: str, confidence: str) -> str:
@@ -251,8 +255,7 @@ def attribute_spans(df: DataFrame, out: str = "attribute_spans") -> DataFrame:
     Expects ``spans`` from :func:`scan_fields`; a rule adds its span unless the
     field already has one of that type.
     """
-    carried = df.columns
-    have = set(carried)
+    have = set(df.columns)
 
     def col(name: str) -> str:
         return f"coalesce(`{name}`, '')" if name in have else "''"
@@ -263,51 +266,52 @@ def attribute_spans(df: DataFrame, out: str = "attribute_spans") -> DataFrame:
     def has(field_name: str, kind: str) -> str:
         return f"exists(spans, s -> s.field = '{field_name}' AND s.type = '{kind}')"
 
-    df = df.withColumn("_a", F.expr(
-        f"struct({col('value')} AS value, {col('text')} AS text, "
-        f"{trimmed(col('value'))} AS tvalue, {trimmed(col('text'))} AS ttext, "
-        f"regexp_replace({col('value')}, '[^0-9]', '') AS digits, "
-        f"lower(concat({col('selector')}, ' ', {col('nearby_labels')}, ' ', "
-        f"{col('placeholder')}, ' ', {col('element_id')})) AS label, "
-        f"{col('role')} AS role, {col('type')} AS type)"))
-    v, t, lab = "_a.value", "_a.text", "_a.label"
+    t, v, lab = col("text"), "a.value", "a.label"
+    wide = f"concat({lab}, ' ', {t})"
     greeting = raw(jvm(K.ATTRIBUTE_PATTERNS["greeting"]))
-    df = df.withColumn("_b", F.expr(f"""struct(
+    inputs = (f"struct({col('value')} AS value, {trimmed(col('value'))} AS trimmed, "
+              f"regexp_replace({col('value')}, '[^0-9]', '') AS digits, "
+              f"lower(concat({col('selector')}, ' ', {col('nearby_labels')}, ' ', "
+              f"{col('placeholder')}, ' ', {col('element_id')})) AS label)")
+    names = f"""struct(
         {v} <> '' AND {rule('holder_label', lab)} AND {v} rlike '[a-zA-Z]{{2}}' AS holder,
-        CASE WHEN {t} <> '' AND {rule('account_nav', lab)}
+        CASE WHEN {rule('account_nav', lab)}
              THEN nullif(regexp_extract({t}, {greeting}, 1), '') END AS greeted,
-        CASE WHEN {v} <> '' THEN _a.tvalue ELSE _a.ttext END AS target)"""))
+        CASE WHEN {rule('name_label', lab)}
+             THEN if({v} <> '', a.trimmed, {trimmed(t)}) ELSE '' END AS target)"""
 
-    def whole(kind: str, when: str, confidence: str) -> str:
-        span = _att("value", kind, "_a.tvalue", "0", "length(_a.tvalue)", confidence)
+    def whole(kind: str, when: str) -> str:
+        span = _att("value", kind, "a.trimmed", "0", "length(a.trimmed)", "0.95")
         return f"CASE WHEN {v} <> '' AND {when} AND NOT {has('value', kind)} THEN {span} END"
 
-    name_span = ("named_struct('field', if({v} <> '', 'value', 'text'), 'type', 'NAME', "
-                 "'value', _b.target, 'start', 0, 'end', length(_b.target), "
-                 "'confidence', 0.9D, 'method', 'DOM_ATTRIBUTE')").format(v=v)
+    full_name = (f"named_struct('field', if({v} <> '', 'value', 'text'), 'type', 'NAME', "
+                 "'value', b.target, 'start', 0, 'end', length(b.target), "
+                 "'confidence', 0.9D, 'method', 'DOM_ATTRIBUTE')")
     avatar = f"if({t} <> '', {t}, {quoted(K.AVATAR_VALUE)})"
+    greeted_at = f"instr({t}, b.greeted) - 1"
     rules = [
-        f"CASE WHEN _a.type = 'password' THEN named_struct('field', 'text', 'type', 'PASSWORD_FIELD', "
-        f"'value', {quoted(K.HIDDEN_VALUE)}, 'start', 0, 'end', 0, 'confidence', 1.0D, 'method', 'REGEX') END",
-        whole("CARD", f"{rule('card_label', lab)} AND {v} rlike '[0-9]{{4}}'", "0.95"),
-        f"CASE WHEN _b.holder THEN {_att('value', 'NAME', '_a.tvalue', '0', 'length(_a.tvalue)', '0.9')} END",
-        f"CASE WHEN {t} <> '' AND {rule('address_label', f'concat({lab}, {quoted(chr(32))}, {t})')} "
-        f"AND {rule('address_text', t)} THEN "
-        f"{_att('text', 'ADDRESS', '_a.ttext', '0', 'length(_a.ttext)', '0.95')} END",
-        f"CASE WHEN _b.greeted IS NOT NULL THEN "
-        f"{_att('text', 'NAME', '_b.greeted', f'instr({t}, _b.greeted) - 1', f'instr({t}, _b.greeted) - 1 + length(_b.greeted)', '0.85')} END",
-        f"CASE WHEN {rule('avatar', lab)} OR (_a.role = 'img' AND {rule('avatar_img', lab)}) THEN "
-        f"{_att('text', 'AVATAR', avatar, '0', f'length({avatar})', '0.95')} END",
-        f"CASE WHEN _b.target <> '' AND {rule('name_label', lab)} AND {rule('name_value', '_b.target')} "
-        f"AND NOT _b.holder AND _b.greeted IS NULL THEN {name_span} END",
-        whole("BANK_ACCOUNT", f"{rule('bank_label', lab)} AND length(_a.digits) BETWEEN 9 AND 18", "0.95"),
-        whole("DL", rule("dl_label", lab), "0.95"),
-        whole("VOTER_ID", rule("voter_label", lab), "0.95"),
-        whole("EPFO_UAN", f"{rule('uan_label', lab)} AND length(_a.digits) = 12", "0.95"),
-        whole("VEHICLE_RC", rule("vehicle_label", lab), "0.95"),
+        f"CASE WHEN {col('type')} = 'password' THEN named_struct('field', 'text', "
+        f"'type', 'PASSWORD_FIELD', 'value', {quoted(K.HIDDEN_VALUE)}, 'start', 0, 'end', 0, "
+        "'confidence', 1.0D, 'method', 'REGEX') END",
+        whole("CARD", f"{rule('card_label', lab)} AND {v} rlike '[0-9]{{4}}'"),
+        f"CASE WHEN b.holder THEN "
+        f"{_att('value', 'NAME', 'a.trimmed', '0', 'length(a.trimmed)', '0.9')} END",
+        f"CASE WHEN {t} <> '' AND {rule('address_label', wide)} AND {rule('address_text', t)} THEN "
+        f"{_att('text', 'ADDRESS', trimmed(t), '0', f'length({trimmed(t)})', '0.95')} END",
+        f"CASE WHEN b.greeted IS NOT NULL THEN "
+        f"{_att('text', 'NAME', 'b.greeted', greeted_at, f'{greeted_at} + length(b.greeted)', '0.85')} END",
+        f"CASE WHEN {rule('avatar', lab)} OR ({col('role')} = 'img' AND {rule('avatar_img', lab)}) "
+        f"THEN {_att('text', 'AVATAR', avatar, '0', f'length({avatar})', '0.95')} END",
+        f"CASE WHEN b.target <> '' AND {rule('name_value', 'b.target')} "
+        f"AND NOT b.holder AND b.greeted IS NULL THEN {full_name} END",
+        whole("BANK_ACCOUNT", f"{rule('bank_label', lab)} AND length(a.digits) BETWEEN 9 AND 18"),
+        whole("DL", rule("dl_label", lab)),
+        whole("VOTER_ID", rule("voter_label", lab)),
+        whole("EPFO_UAN", f"{rule('uan_label', lab)} AND length(a.digits) = 12"),
+        whole("VEHICLE_RC", rule("vehicle_label", lab)),
     ]
-    df = df.withColumn(out, F.expr(f"filter(array({', '.join(rules)}), s -> s IS NOT NULL)"))
-    return df.select(*carried, out)
+    body = f"filter(array({', '.join(rules)}), s -> s IS NOT NULL)"
+    return df.withColumn(out, F.expr(let("a", inputs, let("b", names, body))))
 
 
 def scan_text(df: DataFrame, text: str = "text", *,

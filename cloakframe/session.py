@@ -59,3 +59,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A small file with one row group reads as a single task; row-local work that
+    is heavy per row would then use one core.  Large inputs have far more splits
+    than cores and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= 4 * cores else df.repartition(4 * cores)
