@@ -53,7 +53,7 @@ def clip(col: Column, limit: int) -> Column:
 def luhn_valid(col: Column) -> Column:
     """Luhn checksum over 13 to 19 digits; separators are ignored."""
     digits = digits_only(col)
-    return F.coalesce(F.length(digits).between(13, 19) & F.luhn_check(digits), F.lit(False))
+    return F.coalesce(F.length(digits).between(13, 19) & F.call_function("luhn_check", digits), F.lit(False))
 
 
 def part_of_longer_number(text: Column, start: Column, end: Column) -> Column:

@@ -23,12 +23,13 @@ from cloakframe.operators.segments import last_known
 
 STATES = tuple(K.STEP_TRANSITIONS)
 STEP_OPS = ("run", "success", "fail", "block", "retry", "fallback", "approve", "deny", "skip")
+_NEVER = "named_struct('ts', timestamp'1900-01-01', 'seq', -1L)"
 _MOVES = [f"{old}>{new}" for old, news in K.STEP_TRANSITIONS.items() for new in news]
 
 
-def _record(state: str, attempts: str, rejected: str, fallback: str, granted: str, ts: str) -> str:
+def _record(state: str, attempts: str, rejected: str, fallback: str, granted: str, at: str) -> str:
     return (f"named_struct('state', {state}, 'attempts', {attempts}, 'rejected', {rejected}, "
-            f"'fallback', {fallback}, 'granted', {granted}, 'ts', {ts})")
+            f"'fallback', {fallback}, 'granted', {granted}, 'at', {at})")
 
 
 def _after_stop(state: str) -> str:
@@ -52,8 +53,8 @@ def _apply(max_retries: int) -> str:
         f"a.fallback OR e.op = 'fallback' OR ({allowed} AND to = 'HYBRID_FALLBACK')",
         f"CASE WHEN e.op = 'deny' OR ({allowed} AND to = 'BLOCKED_APPROVAL') THEN false "
         f"WHEN e.op = 'approve' AND {allowed} THEN true ELSE a.granted END",
-        "e.ts")
-    now = f"if(e.stop_ts > a.ts, {_after_stop('a.state')}, a.state)"
+        "e.at")
+    now = f"if(e.stop_at > a.at, {_after_stop('a.state')}, a.state)"
     return let("now", now, let("to", target, moved))
 
 
@@ -63,20 +64,20 @@ def _segment_table(max_retries: int) -> str:
     states = "array(" + ", ".join(quoted(s) for s in STATES) + ")"
     # Stops before the first event are applied when segments are chained.
     start = _record(f"element_at({states}, cast(floor(k / {width}) AS int) + 1)", f"k % {width}", "0",
-                    "false", "cast(NULL AS boolean)", "events[0].stop_ts")
+                    "false", "cast(NULL AS boolean)", "events[0].stop_at")
     return (f"transform(sequence(0, {len(STATES) * width - 1}), k -> "
             f"aggregate(events, {start}, (a, e) -> {_apply(max_retries)}, "
             f"a -> named_struct('state', a.state, 'added', a.attempts - k % {width}, "
-            "'rejected', a.rejected, 'fallback', a.fallback, 'granted', a.granted, 'ts', a.ts)))")
+            "'rejected', a.rejected, 'fallback', a.fallback, 'granted', a.granted, 'at', a.at)))")
 
 
 def _chain(max_retries: int) -> str:
     index = (f"cast((array_position(array({', '.join(quoted(s) for s in STATES)}), now) - 1) "
              f"* {max_retries + 1} + least(a.attempts, {max_retries}) AS int)")
     step = _record("r.state", "a.attempts + r.added", "a.rejected + r.rejected",
-                   "a.fallback OR r.fallback", "coalesce(r.granted, a.granted)", "r.ts")
-    now = f"if(s.first_stop > a.ts, {_after_stop('a.state')}, a.state)"
-    start = _record("'PENDING'", "0", "0", "false", "false", "timestamp'1900-01-01'")
+                   "a.fallback OR r.fallback", "coalesce(r.granted, a.granted)", "r.at")
+    now = f"if(s.first_stop > a.at, {_after_stop('a.state')}, a.state)"
+    start = _record("'PENDING'", "0", "0", "false", "false", _NEVER)
     return (f"aggregate(segments, {start}, (a, s) -> "
             + let("now", now, let("r", f"s.outcomes[{index}]", step)) + ")")
 
@@ -90,15 +91,15 @@ def run_steps(events: DataFrame, segment: Column | None = None,
     fit a task.
     """
     segment = segment if segment is not None else F.floor(F.unix_seconds("ts") / 86400)
-    never = F.lit("1900-01-01").cast("timestamp")
-    stop_time = F.when(F.col("op") == "stop", F.col("ts"))
-    stopped = last_known(events, ["session_id"], ["ts", "seq"], segment, stop_time, "stop_ts")
-    stopped = stopped.withColumn("stop_ts", F.coalesce("stop_ts", never))
+    events = events.withColumn("at", F.struct("ts", F.col("seq").cast("bigint").alias("seq")))
+    stop_at = F.when(F.col("op") == "stop", F.col("at"))
+    stopped = last_known(events, ["session_id"], ["ts", "seq"], segment, stop_at, "stop_at")
+    stopped = stopped.withColumn("stop_at", F.coalesce("stop_at", F.expr(_NEVER)))
     own = stopped.where(F.col("op").isin(*STEP_OPS)).withColumn("_seg", segment)
-    event = F.struct("ts", "seq", "op", "stop_ts")
+    event = F.struct("at", "op", "stop_at")
     parts = (own.groupBy("session_id", "step_id", "_seg")
              .agg(F.array_sort(F.collect_list(event)).alias("events"))
-             .select("session_id", "step_id", "_seg", F.col("events")[0]["stop_ts"].alias("first_stop"),
+             .select("session_id", "step_id", "_seg", F.col("events")[0]["stop_at"].alias("first_stop"),
                      F.expr(_segment_table(max_retries)).alias("outcomes")))
     chained = (parts.groupBy("session_id", "step_id")
                .agg(F.array_sort(F.collect_list(F.struct("_seg", "first_stop", "outcomes")))
@@ -107,8 +108,8 @@ def run_steps(events: DataFrame, segment: Column | None = None,
     failures = (own.where(F.col("op") == "fail").groupBy("session_id", "step_id")
                 .agg(F.max_by(F.struct("error", "error_code"), F.struct("ts", "seq")).alias("e")))
     last_stop = (events.where(F.col("op") == "stop").groupBy("session_id")
-                 .agg(F.max("ts").alias("_stop")))
-    state = F.expr(f"if(_stop > r.ts, {_after_stop('r.state')}, r.state)")
+                 .agg(F.max("at").alias("_stop")))
+    state = F.expr(f"if(_stop > r.at, {_after_stop('r.state')}, r.state)")
     return (chained.join(failures, ["session_id", "step_id"], "left")
             .join(last_stop, "session_id", "left")
             .select("session_id", "step_id", state.alias("state"), "r.attempts", "r.rejected",
