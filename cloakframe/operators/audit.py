@@ -49,9 +49,9 @@ def leaks(payload: DataFrame, vault: DataFrame, small_vault: int = SMALL_VAULT,
            .groupBy("session_id")
            .agg(F.collect_list(F.struct("token", "value")).alias("_secrets")))
     direct = (texts.join(few, "session_id")
-              .select(*key, F.explode(F.filter(
+              .select(*key, F.explode_outer(F.filter(
                   "_secrets", lambda s: F.contains(F.col("_out"), s["value"]))).alias("s"))
-              .select(*key, "s.token"))
+              .where(F.col("s").isNotNull()).select(*key, "s.token"))
     many = secrets.join(sizes.where(F.col("_n") > small_vault), "session_id").drop("_n")
     return direct.unionByName(_leaks_by_prefix(texts, many, key))
 
@@ -81,9 +81,10 @@ def _leaks_by_prefix(texts: DataFrame, secrets: DataFrame, key: tuple[str, ...])
         windows.append(
             f"filter({grams}, g -> getbit(element_at(_bitmap, cast(shiftright(pmod(xxhash64(g), "
             f"{bits}L), 6) AS int) + 1), cast(pmod(xxhash64(g), {bits}L) % 64 AS int)) = 1)")
-    hits = near.select(*key, F.explode(F.expr(
+    # Outer explodes: an inner one would get a filter that repeats the search.
+    hits = near.select(*key, F.explode_outer(F.expr(
         f"array_distinct(concat({', '.join(windows)}))")).alias("_gram"))
-    pairs = (hits.join(secrets, ["session_id", "_gram"])
+    pairs = (hits.where(F.col("_gram").isNotNull()).join(secrets, ["session_id", "_gram"])
              .select(*key, "token", "value"))
     return (pairs.join(texts, list(key))
             .where(F.contains(F.col("_out"), F.col("value")))

@@ -79,7 +79,7 @@ def incremental_spans(elements: DataFrame, scan=scan_elements) -> DataFrame:
     version = F.xxhash64(F.to_json(F.struct(*watched)))
     tagged = elements.withColumn("_version", version)
     distinct = tagged.dropDuplicates(["session_id", "element_id", "_version"])
-    found = scan(distinct).where(F.size("spans") > 0)
+    found = scan(distinct)
     reused = tagged.select(*keys, "_version").join(
         found.select("session_id", "element_id", "_version", "spans"),
         ["session_id", "element_id", "_version"])

@@ -31,7 +31,7 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = K.NER_CHUNK_WORDS,
     starts = F.expr(f"if(_n <= {size}, array(0), sequence(0, _n - 1, {stride}))")
     keep = [c for c in df.columns if c not in ("_w", "_n", text)]
     out = (df.withColumn("_o", F.expr(f"if(_n <= {size}, array(0), {offsets})"))
-           .select(*keep, text, "_w", "_n", "_o", F.posexplode(starts).alias("chunk_no", "_s")))
+           .select(*keep, text, "_w", "_n", "_o", F.posexplode_outer(starts).alias("chunk_no", "_s")))
     body = F.when(F.col("_n") <= size, F.col(text)).otherwise(
         F.array_join(F.slice("_w", F.col("_s") + 1, F.lit(size)), " "))
     return (out.withColumn("chunk_text", body)
@@ -120,4 +120,4 @@ def dedupe_spans(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataF
         a -> concat(a.out, array(a.last)))"""
     cast = "array<struct<start:int,`end`:int,type:string,value:string,confidence:double>>"
     return (spans.groupBy(*keys).agg(F.array_sort(F.collect_list(span)).cast(cast).alias("l"))
-            .select(*keys, F.explode(F.expr(fold)).alias("s")).select(*keys, "s.*"))
+            .select(*keys, F.explode_outer(F.expr(fold)).alias("s")).select(*keys, "s.*"))

@@ -15,8 +15,10 @@ def explode_spans(scanned: DataFrame, keys: tuple[str, ...] = (*ELEMENT_KEY, "el
                   ) -> DataFrame:
     """One row per span, keeping the order in which the scan listed them."""
     field_ord = F.create_map(*[F.lit(x) for kv in FIELD_ORDER.items() for x in kv])
-    return (scanned.select(*keys, F.posexplode("spans").alias("span_ord", "s"))
-            .select(*keys, "span_ord", "s.*")
+    # The outer form keeps the optimizer from inferring a filter on the span
+    # array and pushing it down, which would run the whole scan a second time.
+    return (scanned.select(*keys, F.posexplode_outer("spans").alias("span_ord", "s"))
+            .where(F.col("s").isNotNull()).select(*keys, "span_ord", "s.*")
             .withColumn("field_ord", F.coalesce(field_ord[F.col("field")], F.lit(9))))
 
 

@@ -134,8 +134,8 @@ def manifest_elements(redacted: DataFrame) -> DataFrame:
 
 def manifest_tokens(redacted: DataFrame, vault: DataFrame) -> DataFrame:
     """Tokens in use per session with their types: vault tokens and element tokens."""
-    placed = (redacted.where("is_redacted")
-              .select("session_id", F.explode("redacted_tokens").alias("token"))
+    placed = (redacted.select("session_id", F.explode_outer("redacted_tokens").alias("token"))
+              .where(F.col("token").isNotNull())
               .groupBy("session_id", "token").agg(F.count("*").alias("n_elements")))
     known = vault.select("session_id", "token").distinct()
     return (known.join(placed, ["session_id", "token"], "full_outer")
@@ -145,9 +145,8 @@ def manifest_tokens(redacted: DataFrame, vault: DataFrame) -> DataFrame:
 
 def snapshot_manifest(redacted: DataFrame) -> DataFrame:
     """Per snapshot: the tokens it uses, how many, and their types as a map."""
-    rows = (redacted.where("is_redacted")
-            .select("session_id", "step_no", F.explode("redacted_tokens").alias("token"))
-            .distinct())
+    rows = (redacted.select("session_id", "step_no", F.explode_outer("redacted_tokens").alias("token"))
+            .where(F.col("token").isNotNull()).distinct())
     return (rows.groupBy("session_id", "step_no")
             .agg(F.sort_array(F.collect_set("token")).alias("tokens_used"))
             .withColumn("total_tokens", F.size("tokens_used"))
@@ -194,8 +193,9 @@ def restore(texts: DataFrame, vault: DataFrame, text: str = "text",
     (session, token); no session's vault is ever gathered in one place.
     """
     pattern = r"\[[A-Z_]+_[0-9]+\]"
-    wanted = (texts.select(*key, F.explode(F.array_distinct(
+    wanted = (texts.select(*key, F.explode_outer(F.array_distinct(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("token"))
+        .where(F.col("token").isNotNull())
         .join(vault.select("session_id", "token", "value"), ["session_id", "token"])
         .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_m")))
     # Fence the tokens, cut there, swap the tokens and glue the parts together.

@@ -57,8 +57,7 @@ def scan(elements: DataFrame, extra_spans: DataFrame | None = None, **options) -
     ``extra_spans`` are span rows of another detector (for instance a
     named-entity model); per field they are merged with the pattern spans.
     """
-    scanned = detect.scan_elements(elements, **options).where(F.size("spans") > 0)
-    found = sp.explode_spans(scanned)
+    found = sp.explode_spans(detect.scan_elements(elements, **options))
     if extra_spans is not None:
         merged = sp.merge_span_tables(found, extra_spans,
                                       (*sp.ELEMENT_KEY, "element_id", "field"))

@@ -82,8 +82,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("session_id"), F.floor(F.col("turn") / 2).alias("step_no"),
         (F.col("turn") % 2).cast("int").alias("element_pos"),
         F.col("role").alias("element_id"),
-        # A short text repeats from step to step, so that some elements do not change.
-        F.when(F.length("text") < 300, F.left("text", F.lit(1))).otherwise(F.col("text")).alias("text"))
+        F.expr(synth.TURN_TEXT).alias("text"))
 
 
 def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +107,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(
-        "doc_id", F.posexplode(F.split("text", r"[ \n]+")).alias("pos", "raw_word"))
+        "doc_id", F.posexplode_outer(F.split("text", r"[ \n]+")).alias("pos", "raw_word"))
     return (words.selectExpr("doc_id", "pos", f"{synth.NER_WORD} AS word", f"{synth.NER_LABEL} AS entity",
                              f"{synth.NER_SCORE} AS score", "pos * 10 AS start",
                              "pos * 10 + length(raw_word) AS `end`",
@@ -118,14 +117,14 @@ def entity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents laid out as an image, 8 by 16 pixels a letter."""
     rows = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+        F.col("doc_id").alias("image_id"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "text"))
     return rows.select("image_id", "line_no", "text", F.lit(10).alias("x"),
                        (F.col("line_no") * 20).alias("y"), (F.length("text") * 8).alias("w"),
                        F.lit(16).alias("h"))
 
 
 def text_words(lines: DataFrame) -> DataFrame:
-    rows = lines.select("image_id", "line_no", "y", F.posexplode(F.split("text", " ")).alias("word_no", "word"))
+    rows = lines.select("image_id", "line_no", "y", F.posexplode_outer(F.split("text", " ")).alias("word_no", "word"))
     confidence = (F.col("image_id") * 7 + F.col("line_no") * 3 + F.col("word_no") * 13) % 101
     return rows.select("image_id", "line_no", "word_no", F.col("word").alias("text"),
                        confidence.alias("confidence"), (F.col("word_no") * 50 + 10).alias("x"), "y",
@@ -137,17 +136,21 @@ def span_columns(df: DataFrame, *keys: str) -> DataFrame:
                      F.col("end").alias("end_pos"), "confidence", "method")
 
 
+def span_rows(scanned: DataFrame, *keys: str) -> DataFrame:
+    return spans.explode_spans(scanned, keys).drop("span_ord", "field_ord")
+
+
 # --- detectors -----------------------------------------------------------------
 
 def _document_spans(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
     found = detect.scan_text(documents(spark, sf_dir).select("doc_id", "text"))
-    rows = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    rows = span_rows(found, "doc_id")
     return span_columns(rows if kind is None else rows.where(F.col("type") == kind), "doc_id")
 
 
 def _labelled_spans(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     found = detect.scan_fields(labelled_elements(spark, sf_dir), ("text",))
-    rows = found.select("element_id", F.explode("spans").alias("s")).select("element_id", "s.*")
+    rows = span_rows(found, "element_id")
     return span_columns(rows.where(F.col("type") == kind), "element_id")
 
 
@@ -178,8 +181,7 @@ def det_phone_intl(spark, sf_dir):
         "o_orderkey AS doc_id",
         "concat(CASE o_orderkey % 3 WHEN 0 THEN '+44 ' WHEN 1 THEN '+91 ' ELSE '+1-' END, "
         "lpad(CAST(o_orderkey AS STRING), 9, '2'), ' ext') AS text")
-    found = detect.scan_text(rows).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
-    return span_columns(found, "doc_id")
+    return span_columns(span_rows(detect.scan_text(rows), "doc_id"), "doc_id")
 
 
 def _register_labelled() -> None:
@@ -206,8 +208,7 @@ def luhn_valid(spark, sf_dir):
 @query
 def span_counts(spark, sf_dir):
     found = detect.scan_text(documents(spark, sf_dir))
-    rows = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.type", "s.method")
-    return spans.span_density(rows, ("doc_id", "type", "method"))
+    return spans.span_density(span_rows(found, "doc_id"), ("doc_id", "type", "method"))
 
 
 @query
@@ -220,7 +221,7 @@ def pii_by_quality(spark, sf_dir):
 
 def _attribute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.scan_elements(inputs(spark, sf_dir))
-    rows = found.select("element_id", F.explode("spans").alias("s")).select("element_id", "s.*")
+    rows = span_rows(found, "element_id")
     return span_columns(rows, "element_id")
 
 
@@ -503,22 +504,19 @@ def inc_spans(spark, sf_dir):
 @query
 def spans_merge(spark, sf_dir):
     """Pattern spans of the documents merged with word spans from another detector."""
-    base = detect.scan_text(documents(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s"))
-    base = base.select("doc_id", "s.*")
+    base = materialize(span_rows(detect.scan_text(documents(spark, sf_dir)), "doc_id"))
     extra = base.select(
         "doc_id", "field", F.lit("NAME").alias("type"), F.col("value"),
         F.when(F.col("start") % 2 == 0, F.col("start") - 3).otherwise(F.col("end") + 5).alias("start"),
         F.when(F.col("start") % 2 == 0, F.col("start") + 1).otherwise(F.col("end") + 9).alias("end"),
         F.when(F.col("start") % 4 == 0, 1.5).otherwise(0.8).alias("confidence"), F.lit("NER").alias("method"))
     merged = spans.merge_span_tables(base, extra, ("doc_id", "field"))
-    rows = merged.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
-    return span_columns(rows, "doc_id")
+    return span_columns(span_rows(merged, "doc_id"), "doc_id")
 
 
 @query
 def span_lines(spark, sf_dir):
-    found = detect.scan_text(documents(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s"))
-    found = found.select(F.col("doc_id").alias("image_id"), "s.*")
+    found = span_rows(detect.scan_text(documents(spark, sf_dir)), "doc_id").withColumnRenamed("doc_id", "image_id")
     placed = ocr.line_offsets(text_lines(spark, sf_dir)).select("image_id", "line_no", "line_start", "line_end")
     out = spans.spans_on_lines(found, placed)
     return out.select("image_id", "type", F.col("start").alias("start_pos"), "line_no", "line_start", "line_end")
@@ -995,8 +993,7 @@ def ocr_words(spark, sf_dir):
 @query
 def ocr_regions(spark, sf_dir):
     lines = text_lines(spark, sf_dir)
-    found = detect.scan_text(documents(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s"))
-    found = found.select(F.col("doc_id").alias("image_id"), "s.*")
+    found = span_rows(detect.scan_text(documents(spark, sf_dir)), "doc_id").withColumnRenamed("doc_id", "image_id")
     out = ocr.pii_regions(found, lines, ocr.usable_words(text_words(lines)))
     return out.select("image_id", F.col("start").alias("start_pos"), "type", "x", "y", "w", "h")
 

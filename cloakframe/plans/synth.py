@@ -95,6 +95,11 @@ INPUTS = {
 _S = "CAST(user_id AS STRING)"
 _E = "CAST(event_id AS STRING)"
 
+# Turns of a conversation as elements.  Short texts repeat from step to step, so
+# that some elements do not change; every third conversation leaves an address.
+TURN_TEXT = ("concat(CASE WHEN length(text) < 300 THEN left(text, 1) ELSE text END, "
+             "CASE WHEN conv_id % 3 = 0 THEN concat(' write to user', CAST(conv_id AS STRING), '@mail.example.com') ELSE '' END)")
+
 # Raw protocol lines, some of them broken.
 MESSAGES = {
     "event_id": "event_id",
@@ -150,7 +155,7 @@ SESSION_LOG = {
 
 # Plan steps: one per part, grouped into plans of nine.
 PLAN_STEPS = {
-    "session_id": "CAST(floor(p_partkey / 9) AS STRING)",
+    "session_id": "CAST(CAST(floor(p_partkey / 9) AS BIGINT) AS STRING)",
     "step_id": "CAST(p_partkey % 9 AS INT)",
     "total_steps": "CAST(CASE WHEN p_partkey % 63 = 5 THEN 0 ELSE 9 END AS INT)",
     "action": ("CASE p_partkey % 11 WHEN 0 THEN 'TYPE_FROM_VAULT' WHEN 1 THEN 'CAPTCHA_HANDOFF' "
@@ -166,7 +171,7 @@ NER_LABEL = ("CASE WHEN (doc_id + pos) % 7 = 0 THEN 'B-PER' WHEN (doc_id + pos)
              "WHEN (doc_id + pos) % 7 = 2 THEN 'I-PER' WHEN (doc_id + pos) % 7 = 3 THEN 'B-LOC' "
              "WHEN (doc_id + pos) % 7 = 4 THEN 'I-PER' WHEN (doc_id + pos) % 7 = 5 THEN 'B-ORG' ELSE 'I-MISC' END")
 NER_WORD = "CASE WHEN (doc_id + pos) % 7 = 2 THEN concat('##', raw_word) ELSE raw_word END"
-NER_SCORE = "round((70 + (doc_id * 31 + pos * 17) % 30) / 100.0, 4)"
+NER_SCORE = "round((70 + (doc_id * 31 + pos * 17) % 30) / CAST(100 AS DOUBLE), 4)"
 
 
 def select_list(columns: dict[str, str]) -> list[str]:

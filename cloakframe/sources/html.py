@@ -224,8 +224,9 @@ def page_snapshots(pages: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame) -> DataFrame:
     """Targets of ``<a href>`` in page order, without leaving the JVM."""
     pattern = r'(?i)<a\s+[^>]*?href="([^"]*)"'
-    return pages.select("page_id", F.posexplode(
-        F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("link_no", "href"))
+    return pages.select("page_id", F.posexplode_outer(
+        F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("link_no", "href")).where(
+        F.col("href").isNotNull())
 
 
 def infer_role(tag: Column, kind: Column, given: Column) -> Column:
