@@ -56,10 +56,12 @@ def merged_box(x: Column, y: Column, w: Column, h: Column) -> Column:
 
 def softmax(values: Column) -> Column:
     """Class probabilities from raw scores."""
-    exps = F.transform(values.cast("array<double>"), lambda v: F.exp(
-        v - F.array_max(values).cast("double")))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(exps, lambda v: v / total)
+    # Maximum and sum are bound once each, not looked up again for every value.
+    exps = F.get(F.transform(F.array(F.array_max(values).cast("double")), lambda top: F.transform(
+        values.cast("array<double>"), lambda v: F.exp(v - top))), F.lit(0))
+    return F.get(F.transform(F.array(exps), lambda es: F.get(F.transform(
+        F.array(F.aggregate(es, F.lit(0.0), lambda a, v: a + v)),
+        lambda total: F.transform(es, lambda v: v / total)), F.lit(0))), F.lit(0))
 
 
 def argmax(values: Column) -> Column:

@@ -17,23 +17,25 @@ def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:
     ``INVALID_JSON`` marks text that is no JSON object, ``INVALID_ENVELOPE`` an
     unknown type, an empty session, a wrongly typed timestamp or payload.
     """
-    doc = F.col(column)
-    parsed = F.try_parse_json(doc)
-    kind = F.schema_of_variant(parsed)
-    text = {name: F.try_variant_get(parsed, f"$.{name}", "string")
-            for name in ("type", "session_id", "client_timestamp", "payload")}
-    kinds = {name: F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
-             for name in ("type", "session_id", "client_timestamp", "payload")}
+    carried = [c for c in raw.columns if c != column]
+    fields = ("type", "session_id", "client_timestamp", "payload")
+    parts = raw.select(*carried, F.try_parse_json(column).alias("_doc")).select(
+        *carried, F.schema_of_variant("_doc").alias("_kind"),
+        *[F.try_variant_get("_doc", f"$.{n}", "string").alias(f"_{n}") for n in fields],
+        *[F.schema_of_variant(F.try_variant_get("_doc", f"$.{n}", "variant")).alias(f"_kind_{n}")
+          for n in fields])
+    text = {n: F.col(f"_{n}") for n in fields}
+    kinds = {n: F.col(f"_kind_{n}") for n in fields}
     known = F.coalesce(text["type"].isin(K.MESSAGE_TYPES) & (kinds["type"] == "STRING"), F.lit(False))
     session_ok = F.coalesce((kinds["session_id"] == "STRING") & (F.length(text["session_id"]) > 0), F.lit(False))
-    stamp = F.try_variant_get(parsed, "$.client_timestamp", "double")
+    stamp = text["client_timestamp"].try_cast("double")
     stamp_ok = text["client_timestamp"].isNull() | stamp.isNotNull()
     payload_ok = kinds["payload"].isNull() | F.startswith(kinds["payload"], F.lit("OBJECT"))
-    code = (F.when(parsed.isNull() | ~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False)), "INVALID_JSON")
+    is_object = F.coalesce(F.startswith("_kind", F.lit("OBJECT")), F.lit(False))
+    code = (F.when(~is_object, "INVALID_JSON")
             .when(~(known & session_ok & stamp_ok & payload_ok), "INVALID_ENVELOPE"))
-    return raw.select(
-        *[c for c in raw.columns if c != column],
-        text["type"].alias("type"), text["session_id"].alias("session_id"),
+    return parts.select(
+        *carried, text["type"].alias("type"), text["session_id"].alias("session_id"),
         stamp.alias("client_timestamp"), F.coalesce(text["payload"], F.lit("{}")).alias("payload"),
         code.alias("code"))
 

@@ -23,19 +23,19 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = K.NER_CHUNK_WORDS,
     space = f"[{SPACE}]+"
     words = F.split(F.col(text), space)
     df = df.where(F.length(text) > 0).withColumn("_w", words).withColumn("_n", F.size("_w"))
-    # Offset of every word: cut at the words instead, and add up the pieces.
+    # Words and the spaces between them alternate; an offset is the length of all
+    # parts before a word, and is needed once per chunk only.
     fenced = rf"split(regexp_replace(replace(`{text}`, {SOH}, {STX}), r'{space}', '\u0001$0\u0001'), {SOH})"
-    offsets = (f"aggregate({fenced}, named_struct('pos', 0, 'word', true, 'out', cast(array() AS array<int>)), "
-               "(a, p) -> named_struct('pos', a.pos + length(p), 'word', NOT a.word, "
-               "'out', if(a.word, concat(a.out, array(a.pos)), a.out)), a -> a.out)")
+    lengths = f"transform({fenced}, p -> length(p))"
     starts = F.expr(f"if(_n <= {size}, array(0), sequence(0, _n - 1, {stride}))")
     keep = [c for c in df.columns if c not in ("_w", "_n", text)]
-    out = (df.withColumn("_o", F.expr(f"if(_n <= {size}, array(0), {offsets})"))
+    out = (df.withColumn("_o", F.expr(f"if(_n <= {size}, array(0), {lengths})"))
            .select(*keep, text, "_w", "_n", "_o", F.posexplode_outer(starts).alias("chunk_no", "_s")))
     body = F.when(F.col("_n") <= size, F.col(text)).otherwise(
         F.array_join(F.slice("_w", F.col("_s") + 1, F.lit(size)), " "))
     return (out.withColumn("chunk_text", body)
-            .withColumn("start_offset", F.expr("_o[_s]"))
+            .withColumn("start_offset", F.expr(
+                "aggregate(slice(_o, 1, 2 * _s), 0, (a, n) -> a + n)"))
             .withColumn("end_offset", F.col("start_offset") + F.length("chunk_text"))
             .select(*keep, "chunk_no", "start_offset", "end_offset", "chunk_text"))
 

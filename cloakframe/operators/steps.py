@@ -5,10 +5,9 @@ Events are (session_id, step_id, ts, seq, op, error, error_code).  Ops are
 ``pause resume stop`` on a session.  An op that the current state does not
 allow changes nothing and is counted as rejected.
 
-A step's events are folded in order.  Since one step may own a large share of
-all events, its time range is cut into segments: a segment is folded once for
-every state it could be entered in, and the small tables that result are
-chained.  So no task ever holds more than one segment of one step.
+A step's events are folded in order.  A step with more events than fit a task
+is cut into segments by time: a segment is folded once for every state it could
+be entered in, and the small tables that result are chained.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from cloakframe.operators.segments import last_known
 
 STATES = tuple(K.STEP_TRANSITIONS)
 STEP_OPS = ("run", "success", "fail", "block", "retry", "fallback", "approve", "deny", "skip")
+STEP_LIMIT = 10_000
 _NEVER = "named_struct('ts', timestamp'1900-01-01', 'seq', -1L)"
 _MOVES = [f"{old}>{new}" for old, news in K.STEP_TRANSITIONS.items() for new in news]
 
@@ -71,6 +71,12 @@ def _segment_table(max_retries: int) -> str:
             "'rejected', a.rejected, 'fallback', a.fallback, 'granted', a.granted, 'at', a.at)))")
 
 
+def _whole(max_retries: int) -> str:
+    """Fold all events of a step from its start."""
+    start = _record("'PENDING'", "0", "0", "false", "false", _NEVER)
+    return f"aggregate(array_sort(collect_list(event)), {start}, (a, e) -> {_apply(max_retries)})"
+
+
 def _chain(max_retries: int) -> str:
     index = (f"cast((array_position(array({', '.join(quoted(s) for s in STATES)}), now) - 1) "
              f"* {max_retries + 1} + least(a.attempts, {max_retries}) AS int)")
@@ -83,12 +89,12 @@ def _chain(max_retries: int) -> str:
 
 
 def run_steps(events: DataFrame, segment: Column | None = None,
-              max_retries: int = K.MAX_RETRIES) -> DataFrame:
+              max_retries: int = K.MAX_RETRIES, step_limit: int = STEP_LIMIT) -> DataFrame:
     """Final record of every step that has events.
 
     ``segment`` is an expression that never decreases over time within a step
     (default: the day); choose it fine enough for one segment of one step to
-    fit a task.
+    fit a task.  Only steps with more than ``step_limit`` events are cut.
     """
     segment = segment if segment is not None else F.floor(F.unix_seconds("ts") / 86400)
     events = events.withColumn("at", F.struct("ts", F.col("seq").cast("bigint").alias("seq")))
@@ -96,15 +102,20 @@ def run_steps(events: DataFrame, segment: Column | None = None,
     stopped = last_known(events, ["session_id"], ["ts", "seq"], segment, stop_at, "stop_at")
     stopped = stopped.withColumn("stop_at", F.coalesce("stop_at", F.expr(_NEVER)))
     own = stopped.where(F.col("op").isin(*STEP_OPS)).withColumn("_seg", segment)
-    event = F.struct("at", "op", "stop_at")
-    parts = (own.groupBy("session_id", "step_id", "_seg")
-             .agg(F.array_sort(F.collect_list(event)).alias("events"))
-             .select("session_id", "step_id", "_seg", F.col("events")[0]["stop_at"].alias("first_stop"),
+    own = own.withColumn("event", F.struct("at", "op", "stop_at"))
+    key = ["session_id", "step_id"]
+    busy = (events.where(F.col("op").isin(*STEP_OPS)).groupBy(*key).agg(F.count("*").alias("_n"))
+            .where(F.col("_n") > step_limit).select(*key))
+    usual = (own.join(busy, key, "left_anti").groupBy(*key)
+             .agg(F.expr(_whole(max_retries)).alias("r")))
+    parts = (own.join(busy, key, "left_semi").groupBy(*key, "_seg")
+             .agg(F.array_sort(F.collect_list("event")).alias("events"))
+             .select(*key, "_seg", F.col("events")[0]["stop_at"].alias("first_stop"),
                      F.expr(_segment_table(max_retries)).alias("outcomes")))
-    chained = (parts.groupBy("session_id", "step_id")
-               .agg(F.array_sort(F.collect_list(F.struct("_seg", "first_stop", "outcomes")))
-                    .alias("segments"))
-               .select("session_id", "step_id", F.expr(_chain(max_retries)).alias("r")))
+    long = (parts.groupBy(*key)
+            .agg(F.array_sort(F.collect_list(F.struct("_seg", "first_stop", "outcomes"))).alias("segments"))
+            .select(*key, F.expr(_chain(max_retries)).alias("r")))
+    chained = usual.unionByName(long)
     failures = (own.where(F.col("op") == "fail").groupBy("session_id", "step_id")
                 .agg(F.max_by(F.struct("error", "error_code"), F.struct("ts", "seq")).alias("e")))
     last_stop = (events.where(F.col("op") == "stop").groupBy("session_id")

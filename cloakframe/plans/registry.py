@@ -68,11 +68,11 @@ def derived(spark: SparkSession, sf_dir: str, base: str, columns: dict[str, str]
 
 
 def labelled_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "orders", synth.ELEMENTS)
+    return spread(table(spark, sf_dir, "orders")).selectExpr(*synth.select_list(synth.ELEMENTS))
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "orders", synth.INPUTS)
+    return spread(table(spark, sf_dir, "orders")).selectExpr(*synth.select_list(synth.INPUTS))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(
+    words = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.posexplode_outer(F.split("text", r"[ \n]+")).alias("pos", "raw_word"))
     return (words.selectExpr("doc_id", "pos", f"{synth.NER_WORD} AS word", f"{synth.NER_LABEL} AS entity",
                              f"{synth.NER_SCORE} AS score", "pos * 10 AS start",
@@ -116,7 +116,7 @@ def entity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents laid out as an image, 8 by 16 pixels a letter."""
-    rows = table(spark, sf_dir, "documents").select(
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.col("doc_id").alias("image_id"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "text"))
     return rows.select("image_id", "line_no", "text", F.lit(10).alias("x"),
                        (F.col("line_no") * 20).alias("y"), (F.length("text") * 8).alias("w"),
