@@ -132,7 +132,10 @@ def _stage(det: Detector, has_context: bool) -> str | None:
             return None
     names = {flag: (f"ctx.{flag}" if has_context else "false") for flag in _FLAGS}
     keep = _fill(det.keep, c="f.content", **names)
-    found = _matches("f.content", K.PATTERNS.get(det.pattern, det.pattern))
+    pattern = K.PATTERNS.get(det.pattern, det.pattern)
+    # Most fields hold no match; a plain test is cheaper than cutting the text.
+    conditions.append(f"f.content rlike {raw(jvm(pattern))}")
+    found = _matches("f.content", pattern)
     if keep != "true":
         found = f"filter({found}, m -> {keep})"
     return (f"CASE WHEN {' AND '.join(conditions)} THEN transform({found}, m -> named_struct("
