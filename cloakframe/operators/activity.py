@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.operators.segments import day_of, last_known, running_sum
+from cloakframe.operators.segments import fit_segment, last_known, running_sum
 
 
 def settle_windows(events: DataFrame, quiet_s: float, cap_s: float, key: str = "session_id",
@@ -15,7 +15,7 @@ def settle_windows(events: DataFrame, quiet_s: float, cap_s: float, key: str = "
     A gap longer than ``quiet_s`` starts a new burst; a burst that lasts longer
     than ``cap_s`` is cut every ``cap_s`` seconds from its start.
     """
-    segment = segment if segment is not None else day_of(F.col(ts))
+    segment = segment if segment is not None else fit_segment(events, [key], ts)
     order = [ts, tie]
     marked = last_known(events, [key], order, segment, F.col(ts), "_prev", inclusive=False)
     gap = (F.unix_micros(ts) - F.unix_micros("_prev")) / 1e6

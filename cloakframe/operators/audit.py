@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import constants as K
 from cloakframe.functions.text import severity
-from cloakframe.operators.segments import block_of, running_sum
+from cloakframe.operators.segments import block_of, running_sum, running_sums
 from cloakframe.operators.spans import ELEMENT_KEY
 from cloakframe.operators.tokens import password_element
 
@@ -56,7 +56,8 @@ def leaks(payload: DataFrame, vault: DataFrame, small_vault: int = SMALL_VAULT,
     return direct.unionByName(_leaks_by_prefix(texts, many, key))
 
 
-def _leaks_by_prefix(texts: DataFrame, secrets: DataFrame, key: tuple[str, ...]) -> DataFrame:
+def _leaks_by_prefix(texts: DataFrame, secrets: DataFrame, key: tuple[str, ...],
+                     all_texts: bool = False) -> DataFrame:
     width = F.least(F.length("value"), F.lit(GRAM))
     secrets = secrets.withColumn("_gram", F.left("value", width))
     bits = BITMAP_WORDS * 64
@@ -72,8 +73,10 @@ def _leaks_by_prefix(texts: DataFrame, secrets: DataFrame, key: tuple[str, ...])
         F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")))),
         lambda x: x["b"]).alias("_bitmap"))
     # One row of BITMAP_WORDS longs, whatever the size of the vault.
-    owners = secrets.select("session_id").distinct()
-    near = texts.join(owners, "session_id", "left_semi").join(F.broadcast(bitmap))
+    near = texts
+    if not all_texts:
+        near = near.join(secrets.select("session_id").distinct(), "session_id", "left_semi")
+    near = near.join(F.broadcast(bitmap))
     windows = []
     for size in range(MIN_SECRET, GRAM + 1):
         # A capturing look-ahead lists all windows of one size in linear time.
@@ -99,7 +102,7 @@ def leaks_across_sessions(payload: DataFrame, vault: DataFrame,
     secrets = checkable(vault).select(
         F.lit(0).alias("session_id"), "value",
         F.struct(F.col("session_id").alias("owner_session"), "token").alias("token"))
-    found = _leaks_by_prefix(texts, secrets, (*[f"_k_{k}" for k in key], "session_id"))
+    found = _leaks_by_prefix(texts, secrets, (*[f"_k_{k}" for k in key], "session_id"), True)
     return found.select(*[F.col(f"_k_{k}").alias(k) for k in key], "token.*")
 
 
@@ -186,9 +189,8 @@ def session_stats(calls: DataFrame) -> DataFrame:
 
 def running_stats(calls: DataFrame, segment: Column) -> DataFrame:
     """The same, after each call in order of ``call_no``."""
-    out = running_sum(calls, ["session_id"], ["call_no"], segment, F.lit(1), "total_calls")
-    out = running_sum(out, ["session_id"], ["call_no"], segment, F.col("pii_tokens"), "total_pii")
-    out = running_sum(out, ["session_id"], ["call_no"], segment, F.col("time_ms"), "_time")
+    out = running_sums(calls, ["session_id"], ["call_no"], segment, {
+        "total_calls": F.lit(1), "total_pii": F.col("pii_tokens"), "_time": F.col("time_ms")})
     return out.withColumn("avg_time_ms", F.col("_time") / F.col("total_calls")).drop("_time")
 
 

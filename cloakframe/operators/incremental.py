@@ -76,7 +76,7 @@ def incremental_spans(elements: DataFrame, scan=scan_elements) -> DataFrame:
     """
     keys = ["session_id", "step_no", "element_pos", "element_id"]
     watched = [c for c in elements.columns if c not in ("step_no", "element_pos")]
-    version = F.xxhash64(F.to_json(F.struct(*watched)))
+    version = F.sha2(F.to_json(F.struct(*watched)), 256)
     tagged = elements.withColumn("_version", version)
     distinct = tagged.dropDuplicates(["session_id", "element_id", "_version"])
     found = scan(distinct)

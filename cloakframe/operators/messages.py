@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import constants as K
 from cloakframe.functions.risk import risk_level, risk_reason
-from cloakframe.operators.segments import last_known
+from cloakframe.operators.segments import fit_segment, last_known
 from cloakframe.schema import PLAN_STEP
 
 
@@ -51,13 +51,15 @@ def route(messages: DataFrame) -> DataFrame:
     return messages.withColumn("route", F.coalesce(table[F.col("type")], F.lit("unknown_type")))
 
 
-def goal_for_plan(messages: DataFrame, order: tuple[str, ...], segment: Column) -> DataFrame:
+def goal_for_plan(messages: DataFrame, order: tuple[str, ...] = ("ts", "seq"),
+                  segment: Column | None = None) -> DataFrame:
     """Plan-triggering messages with the goal they consume.
 
     ``messages`` has ``goal`` (set on queries) and ``triggers_plan``.  A goal is
     consumed by the first trigger after it in its session, so a trigger gets
     the last goal only if no other trigger came in between.
     """
+    segment = segment if segment is not None else fit_segment(messages, ["session_id"], order[0])
     stamped = messages.withColumn(
         "_goal", F.when(F.col("goal").isNotNull(), F.struct(*order, "goal")))
     known = last_known(stamped, ["session_id"], list(order), segment, F.col("_goal"), "_last_goal")

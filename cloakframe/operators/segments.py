@@ -54,6 +54,21 @@ def day_of(ts: Column) -> Column:
     return F.floor(F.unix_seconds(ts) / 86400)
 
 
+def fit_segment(df: DataFrame, group: Sequence[str], ts: str = "ts",
+                limit: int = GROUP_LIMIT) -> Column:
+    """Widest time segment that keeps every (group, segment) within ``limit`` rows.
+
+    Tries day, hour, minute and second; usually the first one fits.  Only the
+    largest count comes back to the driver.
+    """
+    for width in (86400, 3600, 60, 1):
+        segment = F.floor(F.unix_seconds(ts) / width)
+        sizes = df.groupBy(*group, segment.alias("_seg")).count()
+        if (sizes.agg(F.max("count")).first()[0] or 0) <= limit:
+            break
+    return segment
+
+
 def block_of(position: Column, width: int = 4096) -> Column:
     return F.floor(position / width)
 
@@ -66,19 +81,26 @@ def _prior(group: Sequence[str]) -> Window:
     return Window.partitionBy(*group).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], segment: Column,
+                 amounts: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums along ``order`` within each group, all in one pass."""
+    names = list(amounts)
+    df = df.withColumn("_seg", segment).withColumns({f"_a_{n}": c for n, c in amounts.items()})
+    local = (Window.partitionBy(*group, "_seg").orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    carried = df.groupBy(*group, "_seg").agg(*[F.sum(f"_a_{n}").alias(f"_t_{n}") for n in names])
+    carried = carried.select(*group, "_seg", *[
+        F.coalesce(F.sum(f"_t_{n}").over(_prior(group)), F.lit(0)).alias(f"_c_{n}") for n in names])
+    summed = df.withColumns({f"_s_{n}": F.sum(f"_a_{n}").over(local) for n in names})
+    return (summed.join(carried, [*group, "_seg"])
+            .withColumns({n: F.coalesce(f"_s_{n}", F.lit(0)) + F.col(f"_c_{n}") for n in names})
+            .drop("_seg", *[f"_{k}_{n}" for k in "asc" for n in names]))
+
+
 def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], segment: Column,
                 amount: Column, out: str) -> DataFrame:
     """Inclusive running sum of ``amount`` along ``order`` within each group."""
-    df = df.withColumn("_seg", segment).withColumn("_amount", amount)
-    local = (Window.partitionBy(*group, "_seg").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carried = (df.groupBy(*group, "_seg").agg(F.sum("_amount").alias("_total"))
-               .withColumn("_carry", F.coalesce(F.sum("_total").over(_prior(group)), F.lit(0)))
-               .drop("_total"))
-    return (df.withColumn("_local", F.sum("_amount").over(local))
-            .join(carried, [*group, "_seg"])
-            .withColumn(out, F.coalesce("_local", F.lit(0)) + F.col("_carry"))
-            .drop("_seg", "_amount", "_local", "_carry"))
+    return running_sums(df, group, order, segment, {out: amount})
 
 
 def last_known(df: DataFrame, group: Sequence[str], order: Sequence[str], segment: Column,

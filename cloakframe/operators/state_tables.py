@@ -61,24 +61,21 @@ def history(memory: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def session_context(memory: DataFrame, goals: int = 5) -> DataFrame:
-    """Preferences, the newest goals and entities per source session, as JSON maps.
+    """Preferences, newest goals and entities of every source session, as rows.
 
-    A session has few preferences and entities by nature (one per distinct key
-    of the current table); goals are limited before they are collected.
+    ``part`` names the section and ``rank`` orders the goals.  The parts stay
+    rows, so a session with any number of entries is never gathered in one place.
     """
-    def as_map(category: str, name: str) -> DataFrame:
-        entry = F.struct("key", "value")
-        return (memory.where(F.col("category") == category).groupBy("source_session_id")
-                .agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias(name)))
+    def part(category: str, name: str) -> DataFrame:
+        return memory.where(F.col("category") == category).select(
+            "source_session_id", F.lit(name).alias("part"), "key", "value",
+            F.lit(None).cast("int").alias("rank"))
 
     recent = newest(memory.where(F.col("category") == "goals"), ("source_session_id",), goals)
-    goal_list = recent.groupBy("source_session_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"])
-        .alias("recent_goals"))
-    keys = memory.select("source_session_id").distinct()
-    return (keys.join(as_map("preferences", "user_preferences"), "source_session_id", "left")
-            .join(goal_list, "source_session_id", "left")
-            .join(as_map("entities", "known_entities"), "source_session_id", "left"))
+    return (part("preferences", "user_preferences")
+            .unionByName(recent.select("source_session_id", F.lit("recent_goals").alias("part"),
+                                       "key", "value", "rank"))
+            .unionByName(part("entities", "known_entities")))
 
 
 def sessions_table(log: DataFrame, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions import constants as K
 from cloakframe.functions.sqltext import in_list, quoted
 from cloakframe.operators.detect import let
-from cloakframe.operators.segments import last_known
+from cloakframe.operators.segments import fit_segment, last_known
 
 STATES = tuple(K.STEP_TRANSITIONS)
 STEP_OPS = ("run", "success", "fail", "block", "retry", "fallback", "approve", "deny", "skip")
@@ -92,11 +92,11 @@ def run_steps(events: DataFrame, segment: Column | None = None,
               max_retries: int = K.MAX_RETRIES, step_limit: int = STEP_LIMIT) -> DataFrame:
     """Final record of every step that has events.
 
-    ``segment`` is an expression that never decreases over time within a step
-    (default: the day); choose it fine enough for one segment of one step to
-    fit a task.  Only steps with more than ``step_limit`` events are cut.
+    ``segment`` is an expression that never decreases over time within a
+    session; by default it is fitted to the busiest session.  Only steps with
+    more than ``step_limit`` events are cut.
     """
-    segment = segment if segment is not None else F.floor(F.unix_seconds("ts") / 86400)
+    segment = segment if segment is not None else fit_segment(events, ["session_id"])
     events = events.withColumn("at", F.struct("ts", F.col("seq").cast("bigint").alias("seq")))
     stop_at = F.when(F.col("op") == "stop", F.col("at"))
     stopped = last_known(events, ["session_id"], ["ts", "seq"], segment, stop_at, "stop_at")

@@ -10,30 +10,38 @@ def resolve_targets(steps: DataFrame, elements: DataFrame) -> DataFrame:
     """Element of each step: by selector, else by text, else by point.
 
     Each rule takes the first element in document order, the point rule the
-    last one (nothing else tells what lies on top).  Steps meet only the
-    elements of their own snapshot, and the best match is kept by aggregation.
+    last one (nothing else tells what lies on top).  Selectors are an equi-join;
+    only steps left over are compared with the elements of their own page.
     """
     snap = ["session_id", "step_no"]
     e = elements.select(
-        *snap, "element_pos", "element_id", F.col("selector").alias("_sel"),
+        *snap, "element_pos", "element_id", F.col("selector").alias("target_selector"),
         F.col("text").alias("_text"), F.col("value").alias("_value"), F.col("coordinates").alias("_c"))
-    s = steps.select(*snap, "step_id", "target_selector", "target_text", "target_x", "target_y")
+    found = F.struct("element_id", "_text", "_value")
+    ids = [*snap, "step_id"]
+    by_selector = (steps.select(*ids, "target_selector").join(e, [*snap, "target_selector"])
+                   .groupBy(*ids).agg(F.min_by(found, "element_pos").alias("_m1")))
+    rest = steps.select(*ids, "target_text", "target_x", "target_y").join(by_selector, ids, "left_anti")
+    rest = rest.where((F.col("target_text") != "") | F.col("target_x").isNotNull())
     c = F.col("_c")
-    by_selector = F.col("target_selector") == F.col("_sel")
     by_text = (F.col("target_text") != "") & F.contains(F.trim("_text"), F.col("target_text"))
     by_point = ((F.size(c) == 4) & F.col("target_x").between(c[0], c[0] + c[2])
                 & F.col("target_y").between(c[1], c[1] + c[3]))
-    rule = (F.when(by_selector, 1).when(by_text, 2).when(by_point, 3))
-    # Selector matches need no pairing at all; the other rules stay inside a snapshot.
+    rule = F.when(by_text, 2).when(by_point, 3)
     rank = F.struct(rule.alias("rule"), F.when(rule == 3, -F.col("element_pos"))
                     .otherwise(F.col("element_pos")).alias("pos"))
-    best = (s.join(e, snap).withColumn("_rank", rank).where(F.col("_rank.rule").isNotNull())
-            .groupBy(*snap, "step_id")
-            .agg(F.min_by(F.struct("element_id", "_text", "_value", F.col("_rank.rule")),
-                          F.col("_rank")).alias("m")))
-    return steps.join(best, [*snap, "step_id"], "left").select(
-        *steps.columns, F.col("m.element_id").alias("element_id"), F.col("m.rule").alias("matched_by"),
-        F.col("m._value").alias("element_value"), F.col("m._text").alias("element_text"))
+    by_sight = (rest.join(e.drop("target_selector"), snap).withColumn("_rank", rank)
+                .where(F.col("_rank.rule").isNotNull()).groupBy(*ids)
+                .agg(F.min_by(F.struct("element_id", "_text", "_value", "_rank.rule"), "_rank").alias("_m2")))
+    out = steps.join(by_selector, ids, "left").join(by_sight, ids, "left")
+
+    def pick(name: str) -> Column:
+        return F.when(F.col("_m1").isNotNull(), F.col(f"_m1.{name}")).otherwise(F.col(f"_m2.{name}"))
+
+    return out.select(
+        *steps.columns, pick("element_id").alias("element_id"),
+        F.when(F.col("_m1").isNotNull(), 1).otherwise(F.col("_m2.rule")).alias("matched_by"),
+        pick("_value").alias("element_value"), pick("_text").alias("element_text"))
 
 
 def extracted(value: Column, text: Column) -> Column:

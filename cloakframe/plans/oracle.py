@@ -409,14 +409,11 @@ ORACLES["mem_upsert"] = f"WITH {MEM} SELECT {_MEM_COLS} FROM mem"
 ORACLES["mem_search"] = f"WITH {MEM} SELECT {_MEM_COLS} FROM mem WHERE key ILIKE '%1\\_view%' ESCAPE '\\'"
 ORACLES["mem_delete"] = f"WITH {MEM} SELECT key, value FROM mem WHERE seq % 2 <> 0"
 ORACLES["mem_clear"] = f"WITH {MEM} SELECT count(*) FILTER (category <> 'goals') AS remaining, count(*) FILTER (category = 'goals') AS deleted FROM mem"
-_JSON_MAP = "concat('{', string_agg(concat('\"', key, '\":', CAST(to_json(value) AS VARCHAR)), ',' ORDER BY key), '}')"
-ORACLES["mem_context"] = f"""WITH {MEM},
-    prefs AS (SELECT source_session_id, {_JSON_MAP} AS m FROM mem WHERE category = 'preferences' GROUP BY ALL),
-    ents AS (SELECT source_session_id, {_JSON_MAP} AS m FROM mem WHERE category = 'entities' GROUP BY ALL),
-    goals AS (SELECT source_session_id, string_agg(key, ',' ORDER BY rk) AS g FROM (SELECT *, row_number() OVER (PARTITION BY source_session_id ORDER BY updated_at DESC, key DESC) AS rk
-        FROM mem WHERE category = 'goals') WHERE rk <= 5 GROUP BY ALL)
-    SELECT s.source_session_id, p.m AS user_preferences, g.g AS recent_goals, e.m AS known_entities
-    FROM (SELECT DISTINCT source_session_id FROM mem) s LEFT JOIN prefs p USING (source_session_id) LEFT JOIN goals g USING (source_session_id) LEFT JOIN ents e USING (source_session_id)"""
+ORACLES["mem_context"] = f"""WITH {MEM}
+    SELECT source_session_id, CASE category WHEN 'preferences' THEN 'user_preferences' ELSE 'known_entities' END AS part, key, value, CAST(NULL AS BIGINT) AS rank
+    FROM mem WHERE category IN ('preferences', 'entities')
+    UNION ALL SELECT source_session_id, 'recent_goals', key, value, rk FROM (SELECT *, row_number() OVER (PARTITION BY source_session_id ORDER BY updated_at DESC, key DESC) AS rk
+        FROM mem WHERE category = 'goals') WHERE rk <= 5"""
 ORACLES["top_history"] = f"WITH {MEM} SELECT key, value, updated_at FROM mem WHERE category = 'history' ORDER BY updated_at DESC, key DESC LIMIT 50"
 ORACLES["top_goals"] = f"""WITH {MEM} SELECT source_session_id, key, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_session_id ORDER BY updated_at DESC, key DESC) AS rank
     FROM mem WHERE category = 'goals') WHERE rank <= 5"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,10 @@ class Sanitized:
     vault: DataFrame
     redacted: DataFrame
 
+    def staged(self) -> Sanitized:
+        """The same with the redacted elements stored, for several later passes."""
+        return replace(self, redacted=materialize(self.redacted))
+
     @property
     def audit(self) -> DataFrame:
         return tokens.audit_rows(self.vault, self.elements)

@@ -419,7 +419,7 @@ def egress_cross_session(spark, sf_dir):
 @query
 def egress_split(spark, sf_dir):
     """Rows released and blocked when every third document skips redaction."""
-    z = _sanitized(spark, sf_dir)
+    z = _sanitized(spark, sf_dir).staged()
     mixed = z.redacted.select("session_id", "step_no", "element_pos", "text").where(F.col("step_no") % 3 != 0)
     mixed = mixed.unionByName(z.elements.select("session_id", "step_no", "element_pos", "text")
                               .where(F.col("step_no") % 3 == 0))
@@ -645,7 +645,7 @@ def msg_route(spark, sf_dir):
 @query
 def goal_asof(spark, sf_dir):
     rows = derived(spark, sf_dir, "events", synth.GOALS)
-    return messages.goal_for_plan(rows, ("ts", "seq"), segments.day_of(F.col("ts"))).drop("ts")
+    return messages.goal_for_plan(rows).drop("ts")
 
 
 @query

@@ -204,21 +204,25 @@ def page_forms(pages: DataFrame) -> DataFrame:
 
 
 def page_snapshots(pages: DataFrame) -> DataFrame:
-    """One snapshot row per page: elements and forms nested, plus url and title."""
-    elements = (page_elements(pages).groupBy("page_id")
-                .agg(F.array_sort(F.collect_list(F.struct(
-                    "element_pos", "id", "tag", "selector", "role", "type", "placeholder", "href",
-                    "autocomplete", "text", "value", "parent_tag", "parent_class", "parent_id",
-                    "nearby_labels", "interactive"))).alias("elements")))
-    forms = (page_forms(pages).groupBy("page_id")
-             .agg(F.array_sort(F.collect_list(F.struct("form_pos", "id", "action", "method", "inputs")))
-                  .alias("forms")))
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return (pages.select("page_id", "url", title.alias("title"))
-            .join(elements, "page_id", "left").join(forms, "page_id", "left")
-            .withColumn("elements_count", F.coalesce(F.size("elements"), F.lit(0)))
-            .withColumn("elements_count", F.greatest("elements_count", F.lit(0)))
-            .withColumn("context_sufficient", F.col("elements_count") > 0))
+    """One snapshot row per page, elements and forms nested, in a single pass."""
+    def nested(schema: str) -> str:
+        fields = [part.split(" ", 1) for part in schema.split(", ")[1:]]
+        return "array<struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">>"
+
+    schema = f"page_id bigint, url string, title string, elements {nested(ELEMENT_ROW)}, forms {nested(FORM_ROW)}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for pid, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
+                nodes = _parse(html)
+                title = next((n.text().strip() for n in nodes if n.tag == "title"), "")
+                rows.append((pid, url, title, list(_elements(nodes)), list(_forms(nodes))))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "title", "elements", "forms"])
+
+    return (pages.select("page_id", "url", "html").mapInPandas(run, schema)
+            .withColumn("elements_count", F.size("elements"))
+            .withColumn("context_sufficient", F.size("elements") > 0))
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -104,11 +104,16 @@ def load_snapshot(spark: SparkSession, path: str, session_id: str, schema: str)
             .where(F.col("session_id") == session_id))
 
 
-def guarded_write(redacted: DataFrame, report: DataFrame, path: str, quarantine: str) -> None:
-    """Write only proven rows to ``path``; everything else goes to quarantine."""
-    from cloakframe.operators.audit import split_by_proof
+def guarded_write(redacted: DataFrame, vault: DataFrame, path: str, quarantine: str) -> None:
+    """Prove and write: only proven rows go to ``path``, the rest to quarantine.
 
-    safe, blocked = split_by_proof(redacted, report)
+    The rows are stored before the proof, so what is proven is what is written.
+    """
+    from cloakframe.operators.audit import egress_report, split_by_proof
+    from cloakframe.session import materialize
+
+    stored = materialize(redacted)
+    safe, blocked = split_by_proof(stored, materialize(egress_report(stored, vault)))
     safe.write.mode("append").parquet(path)
     blocked.write.mode("append").parquet(quarantine)
 
