@@ -1,5 +1,9 @@
 """Privacy analytics on Spark: detect, tokenize, redact, prove and report."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from cloakframe.operators.audit import egress_report, telemetry
 from cloakframe.operators.detect import Detector, scan_elements, scan_text
 from cloakframe.operators.incremental import diff_snapshots, scan_step
@@ -10,3 +14,7 @@ __all__ = [
     "Detector", "Sanitized", "diff_snapshots", "egress_report", "redact", "reset_session",
     "resolve_tokens", "restore", "sanitize", "scan_elements", "scan_step", "scan_text", "telemetry",
 ]
+
+# Functions sent to Python workers travel by value, so a worker needs no copy of
+# the package on its path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

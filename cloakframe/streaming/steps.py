@@ -12,6 +12,7 @@ from cloakframe.functions import constants as K
 
 OUTPUT = ("session_id string, step_id int, ts timestamp, seq bigint, op string, state string, "
           "attempts int, accepted boolean, code string, next_step_id int")
+_TRANSITIONS = K.STEP_TRANSITIONS
 _TARGETS = {"run": "RUNNING", "success": "SUCCESS", "fail": "FAILED", "block": "BLOCKED_APPROVAL",
             "fallback": "HYBRID_FALLBACK", "approve": "RUNNING", "deny": "CANCELLED", "skip": "SKIPPED"}
 
@@ -62,7 +63,7 @@ class StepProcessor(StatefulProcessor):
             known = self.steps.containsKey((step,))
             state, attempts = self.steps.getValue((step,)) if known else ("PENDING", 0)
             target = "PENDING" if e.op == "plan" else _target(e.op, state, attempts, self.max_retries)
-            ok = e.op == "plan" or target in K.STEP_TRANSITIONS[state]
+            ok = e.op == "plan" or target in _TRANSITIONS[state]
             if ok:
                 attempts = 0 if e.op == "plan" else attempts + (target == "RUNNING")
                 state = target
@@ -86,7 +87,11 @@ class StepProcessor(StatefulProcessor):
 
 def track_steps(events: DataFrame, max_retries: int = K.MAX_RETRIES,
                 ttl_ms: int | None = None) -> DataFrame:
-    """Outcome row per event of a stream (session_id, step_id, ts, seq, op)."""
+    """Outcome row per event of a stream (session_id, step_id, ts, seq, op).
+
+    With ``ttl_ms`` idle sessions expire by processing time; such a stream needs
+    a running trigger, as an available-now run would wait for the clock.
+    """
     return events.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=StepProcessor(max_retries, ttl_ms), outputStructType=OUTPUT,
         outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")

@@ -74,7 +74,7 @@ def test_closed_session_starts_over(spark, tmp_path):
     rows = [("s", 1, T0, 0, "plan"), ("s", 1, T0, 1, "run"), ("s", None, T0, 2, "close"), ("s", 1, T0, 3, "success")]
     schema = "session_id string, step_id int, ts timestamp, seq bigint, op string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    q = (track_steps(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ttl_ms=3_600_000).writeStream
+    q = (track_steps(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream
          .format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
          .trigger(availableNow=True).start())
     q.awaitTermination()
