@@ -701,3 +701,7 @@ ORACLES["image_decode"] = "SELECT c_custkey, c_name AS body FROM customer"
 ORACLES["epoch_time"] = "SELECT event_id, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS epoch, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM events"
 ORACLES["json_columns"] = "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, concat('{\"k\":', props->>'$.k', '}') AS again FROM events"
 ORACLES["map_merge"] = "SELECT event_id, event_type AS k, CAST(event_id AS STRING) AS id, CAST(2 AS BIGINT) AS n FROM events"
+
+# --- streams -------------------------------------------------------------------------------------------------------------------------------
+
+ORACLES["stream_redact"] = f"{WR}{DOC_REDACTED} SELECT session_id, step_no, text FROM redacted"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from cloakframe.functions.risk import risk_level, risk_reason
 from cloakframe.operators import (activity, audit, detect, incremental, messages, ner, ocr, segments,
                                   spans, state_tables, steps, targets, tokens)
 from cloakframe.plans import privacy, synth
-from cloakframe.session import configure, materialize, spread
+from cloakframe.session import checkpoint_dir, configure, materialize, spread
 from cloakframe.sources import html, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -587,8 +588,6 @@ def session_restore(spark, sf_dir):
 @query
 def session_files(spark, sf_dir):
     """The session table written with its JSON columns and read back."""
-    from cloakframe.session import checkpoint_dir
-    import uuid
     rows = sessions(spark, sf_dir).select(
         "session_id", "goal", "plan_id", F.array(F.lit(1), F.length("session_id")).alias("step_ids"),
         F.array().cast("array<int>").alias("completed_step_ids"),
@@ -605,8 +604,6 @@ def session_files(spark, sf_dir):
 @query
 def memory_files(spark, sf_dir):
     """Memory snapshots written per session; one session read back from its folder."""
-    from cloakframe.session import checkpoint_dir
-    import uuid
     m = memory(spark, sf_dir)
     path = f"{checkpoint_dir(spark)}/memory-{uuid.uuid4().hex}"
     snapshots.save_snapshot(m.select(F.col("source_session_id").alias("session_id"), "key", "value"), path)
@@ -1170,3 +1167,44 @@ def map_merge(spark, sf_dir):
     later = F.create_map(F.lit("k"), F.col("event_type"))
     merged = snapshots.merge_maps(base, later)
     return table(spark, sf_dir, "events").select("event_id", merged["k"].alias("k"), merged["id"].alias("id"), F.size(merged).alias("n"))
+
+
+# --- streams -----------------------------------------------------------------------------------------
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table as a stream of its files."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query
+def stream_redact(spark, sf_dir):
+    """Documents through the redaction stream: what it released."""
+    from cloakframe.streaming.redaction import RedactionStream
+
+    root = _stream_folder(spark)
+    flow = RedactionStream(f"{root}/state")
+    elements = privacy.as_elements(_stream(spark, sf_dir, "documents"), "source", "doc_id")
+    flow.writer(elements, f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return flow.released(spark).select("session_id", "step_no", "text")
+
+
+@query
+def stream_steps(spark, sf_dir):
+    """Step events through the stateful stream: the outcome of every event."""
+    from cloakframe.streaming.steps import track_steps
+
+    root = _stream_folder(spark)
+    raw = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = raw.selectExpr(*synth.select_list(synth.STEP_EVENTS)).select("session_id", "step_id", "ts", "seq", "op")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = (track_steps(events).writeStream.format("parquet").option("path", f"{root}/out")
+           .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    out.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(
+        "session_id", "step_id", "seq", "op", "state", "attempts", "accepted", "code")
