@@ -19,6 +19,19 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, lower=True)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.rules import quality_rules
+
+    kept = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakframe.llm.packing import pack
 
@@ -27,6 +40,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_quality_score": op8_quality_score,
     "op9_packing": op9_packing,
 }
 SQL: dict[str, str] = {}
