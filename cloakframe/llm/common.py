@@ -77,3 +77,34 @@ def slices(texts: pa.Array, most: int = 12 << 20):
         hi = min(max(hi, lo + 1), len(texts))
         yield lo, hi
         lo = hi
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """All words ([^ tab..return]+) of plain texts in order, and the number of the first word of every text (and one past the last).
+
+    ``lower`` turns A-Z into a-z; other letters stay.
+    """
+    body, offsets = raw(texts)
+    keep = ~((body == 32) | ((body >= 9) & (body <= 13)))
+    first = keep.copy()
+    first[1:] &= ~keep[:-1]
+    begins = offsets[:-1][offsets[:-1] < len(body)]
+    first[begins] = keep[begins]
+    before = np.concatenate([[0], np.cumsum(first)])
+    rest = body[keep]
+    if lower:
+        rest = _LOWER[rest]
+    starts = np.append(np.flatnonzero(first[keep]), len(rest)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(np.ascontiguousarray(rest)))
+    return words, before[offsets]
+
+
+def hash64(words: pa.Array) -> np.ndarray:
+    """64-bit hash of every string of an array (meant for distinct ones)."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))

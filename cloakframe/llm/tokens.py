@@ -47,7 +47,7 @@ def encoder(path: str, lower: bool) -> "Encoder":
 class Encoder:
     """``lower``: the vocabulary lower-cases and drops white space, so pieces may be lower-cased first."""
 
-    def __init__(self, path: str, lower: bool, cached: int = 1_500_000):
+    def __init__(self, path: str, lower: bool, cached: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -122,7 +122,7 @@ class Encoder:
     def encode(self, column: pa.Array):
         """Yield (first row, end row, ids, offsets of the rows in ids) for runs of whole texts."""
         texts = text_array(column)
-        for lo, hi in slices(texts):
+        for lo, hi in slices(texts, 4 << 20):
             pieces, first = self._pieces(texts.slice(lo, hi - lo))
             coded = pieces.dictionary_encode()
             if len(self.known) + len(coded.dictionary) > self.cached:
