@@ -19,6 +19,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, lower=True)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakframe.llm.rules import quality_rules
 
@@ -38,10 +44,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0, window=1024)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.secrets import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op4_toxicity": op4_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op8_quality_score": op8_quality_score,
     "op9_packing": op9_packing,
+    "op10_secrets": op10_secrets,
 }
 SQL: dict[str, str] = {}
