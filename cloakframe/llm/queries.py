@@ -19,6 +19,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, lower=True)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakframe.llm.toxicity import toxicity_scores
 
@@ -52,10 +58,31 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op8_quality_score": op8_quality_score,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_near_duplicates": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) END) AS s FROM d
+), e AS (SELECT doc_id, unnest(s) AS x FROM g),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, k.b FROM reach r JOIN both_ways k ON k.a = r.b
+), least_id AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, g.doc_id = component_id AS kept
+FROM g JOIN least_id USING (doc_id)
+""",
+}
