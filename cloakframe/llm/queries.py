@@ -38,6 +38,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.ctw import model_scores
+
+    return model_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakframe.llm.quality import quality_scores
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op6_quality_rules": op6_quality_rules,
+    "op7_context_trees": op7_context_trees,
     "op8_quality_score": op8_quality_score,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
