@@ -31,6 +31,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_contaminations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.decontaminate import contaminations
+
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakframe.llm.rules import quality_rules
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
+    "op5_contaminations": op5_contaminations,
     "op6_quality_rules": op6_quality_rules,
     "op7_context_trees": op7_context_trees,
     "op8_quality_score": op8_quality_score,
