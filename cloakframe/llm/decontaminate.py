@@ -88,23 +88,19 @@ def keys(code: np.ndarray, starts: np.ndarray, n: int, k: int) -> np.ndarray:
 def places_for(n: int, edits: int, recall: float, trials: int = 150) -> int:
     """The most sampled places that still reach ``recall`` on random words with ``edits`` random edits."""
     r = np.random.default_rng([n, edits, 5])
-    same = np.zeros((trials, WALKS))
-    for t in range(trials):
-        a = list(r.integers(1, 2**62, n))
+    line: list[int] = []
+    for _ in range(trials):
+        a = r.integers(1, 2**62, n).tolist()
         b = list(a)
-        for _ in range(edits):
-            kind, at = r.integers(0, 3), int(r.integers(0, max(1, len(b))))
-            if kind == 0:
-                b[at : at + 1] = [int(r.integers(1, 2**62))]
-            elif kind == 1:
-                b.insert(at, int(r.integers(1, 2**62)))
-            else:
-                del b[at : at + 1]
-        b += [0] * (n - len(b))
-        code = np.array(a + b[:n], np.uint64)
-        for w in range(WALKS):
-            e = embed(code, np.array([0, n]), n, w, np.arange(2 * n))
-            same[t, w] = (e[:, 0] == e[:, 1]).mean()
+        for kind, at, new in zip(r.integers(0, 3, edits), r.random(edits), r.integers(1, 2**62, edits).tolist(), strict=True):
+            at = int(at * len(b))
+            b[at : at + (kind != 1)] = [new] if kind < 2 else []
+        line += a + (b + [0] * n)[:n]
+    starts = n * np.arange(2 * trials)
+    same = np.empty((trials, WALKS))
+    for w in range(WALKS):
+        e = embed(np.array(line, np.uint64), starts, n, w, np.arange(2 * n))
+        same[:, w] = (e[:, ::2] == e[:, 1::2]).mean(axis=0)
     for k in range(8, 1, -1):
         miss = np.prod(1 - same**k, axis=1) ** (REPEATS / WALKS)
         if 1 - miss.mean() >= recall:
