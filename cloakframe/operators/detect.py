@@ -105,20 +105,28 @@ _GATES = {
 }
 
 
+BLOCK = 256
+
+
 def _matches(content: str, pattern: str) -> str:
     """All matches of a pattern with their offsets, in one pass over the text.
 
     Matches are fenced with a control character, so after splitting every odd
-    part is a match and offsets are the running length of the parts.
+    part is a match and offsets are the running length of the parts.  Offsets
+    run within blocks of parts and over the blocks' lengths, so the cost stays
+    in proportion to the number of matches.
     """
-    return f"""aggregate(
-        split(regexp_replace({content}, {raw(jvm(pattern))}, '\\u0001$0\\u0001'), {SOH}),
-        named_struct('pos', 0, 'odd', false, 'out', cast(array() AS {_HIT})),
+    parts = f"split(regexp_replace({content}, {raw(jvm(pattern))}, '\\u0001$0\\u0001'), {SOH})"
+    blocks = f"transform(sequence(0, (size(parts) - 1) div {BLOCK}), b -> slice(parts, b * {BLOCK} + 1, {BLOCK}))"
+    firsts = "aggregate(blocks, array(0), (a, b) -> concat(a, array(element_at(a, -1) + aggregate(b, 0, (n, p) -> n + length(p)))))"
+    hits = f"""flatten(transform(blocks, (b, k) -> aggregate(
+        b, named_struct('pos', firsts[k], 'odd', false, 'out', cast(array() AS {_HIT})),
         (a, p) -> named_struct(
             'pos', a.pos + length(p), 'odd', NOT a.odd,
             'out', if(a.odd, concat(a.out, array(named_struct(
                 'value', p, 'start', a.pos, 'end', a.pos + length(p)))), a.out)),
-        a -> a.out)"""
+        a -> a.out)))"""
+    return let("parts", parts, let("blocks", blocks, let("firsts", firsts, hits)))
 
 
 def _stage(det: Detector, has_context: bool) -> str | None:
@@ -161,19 +169,21 @@ _CLUSTER = f"""if(size({{cl}}) < 2, {{cl}}, array_sort(aggregate(
 def resolve_overlaps(candidates: str) -> str:
     """Priority-greedy choice of non-overlapping spans, ordered by start.
 
-    Candidates are swept by start and cut into clusters at every point no
-    candidate crosses; only inside a cluster are spans compared, so long texts
-    with many findings cost little more than the sort.
+    Candidates are sorted by start and cut into clusters at every point that no
+    candidate crosses; only inside a cluster are spans compared.  A fold copies
+    what it has gathered at every step, so the furthest end so far runs within
+    blocks and over blocks, and the cost follows the number of candidates.
     """
-    return f"""aggregate(
-        array_sort({candidates}),
-        named_struct('done', {_EMPTY}, 'cl', {_EMPTY}, 'lim', 0),
-        (a, c) -> if(c.start >= a.lim,
-            named_struct('done', concat(a.done, {_CLUSTER.format(cl='a.cl')}),
-                         'cl', array(c), 'lim', c.`end`),
-            named_struct('done', a.done, 'cl', concat(a.cl, array(c)),
-                         'lim', greatest(a.lim, c.`end`))),
-        a -> concat(a.done, {_CLUSTER.format(cl='a.cl')}))"""
+    blocks = f"transform(sequence(0, (size(sorted) - 1) div {BLOCK}), b -> slice(sorted, b * {BLOCK} + 1, {BLOCK}))"
+    limits = "aggregate(blocks, array(0), (a, b) -> concat(a, array(greatest(element_at(a, -1), array_max(transform(b, c -> c.`end`))))))"
+    opens = """flatten(transform(blocks, (b, k) -> aggregate(
+        b, named_struct('lim', limits[k], 'out', cast(array() AS array<boolean>)),
+        (a, c) -> named_struct('lim', greatest(a.lim, c.`end`), 'out', concat(a.out, array(c.start >= a.lim))),
+        a -> a.out)))"""
+    heads = f"filter(transform({let('blocks', blocks, let('limits', limits, opens))}, (o, i) -> if(o, i, cast(NULL AS int))), i -> i IS NOT NULL)"
+    one = let("cl", "slice(sorted, h + 1, coalesce(get(heads, k + 1), size(sorted)) - h)", _CLUSTER.format(cl="cl"))
+    swept = let("heads", heads, f"flatten(transform(heads, (h, k) -> {one}))")
+    return let("sorted", f"array_sort({candidates})", f"if(size(sorted) < 2, sorted, {swept})")
 
 
 def context_flags(df: DataFrame, word_labels: bool = False) -> str | None:

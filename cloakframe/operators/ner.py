@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions import constants as K
 from cloakframe.functions.patterns import SPACE
 from cloakframe.functions.sqltext import SOH, STX
+from cloakframe.operators.detect import let
 
 
 def chunk_text(df: DataFrame, text: str = "text", size: int = K.NER_CHUNK_WORDS,
@@ -24,18 +25,20 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = K.NER_CHUNK_WORDS,
     words = F.split(F.col(text), space)
     df = df.where(F.length(text) > 0).withColumn("_w", words).withColumn("_n", F.size("_w"))
     # Words and the spaces between them alternate; an offset is the length of all
-    # parts before a word, and is needed once per chunk only.
+    # parts before a word.  Each stride is summed once, then the strides' sums run on.
     fenced = rf"split(regexp_replace(replace(`{text}`, {SOH}, {STX}), r'{space}', '\u0001$0\u0001'), {SOH})"
     lengths = f"transform({fenced}, p -> length(p))"
+    strides = let("lens", lengths, f"transform(sequence(0, (_n - 1) div {stride}), k -> "
+                  f"aggregate(slice(lens, k * {2 * stride} + 1, {2 * stride}), 0, (a, n) -> a + n))")
+    offsets = f"aggregate({strides}, array(0), (a, s) -> concat(a, array(element_at(a, -1) + s)))"
     starts = F.expr(f"if(_n <= {size}, array(0), sequence(0, _n - 1, {stride}))")
     keep = [c for c in df.columns if c not in ("_w", "_n", text)]
-    out = (df.withColumn("_o", F.expr(f"if(_n <= {size}, array(0), {lengths})"))
+    out = (df.withColumn("_o", F.expr(f"if(_n <= {size}, array(0), {offsets})"))
            .select(*keep, text, "_w", "_n", "_o", F.posexplode_outer(starts).alias("chunk_no", "_s")))
     body = F.when(F.col("_n") <= size, F.col(text)).otherwise(
         F.array_join(F.slice("_w", F.col("_s") + 1, F.lit(size)), " "))
     return (out.withColumn("chunk_text", body)
-            .withColumn("start_offset", F.expr(
-                "aggregate(slice(_o, 1, 2 * _s), 0, (a, n) -> a + n)"))
+            .withColumn("start_offset", F.expr("_o[chunk_no]"))
             .withColumn("end_offset", F.col("start_offset") + F.length("chunk_text"))
             .select(*keep, "chunk_no", "start_offset", "end_offset", "chunk_text"))
 

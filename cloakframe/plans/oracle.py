@@ -379,8 +379,8 @@ ORACLES["running_stats"] = f"""SELECT session_id, call_no, count(*) OVER w AS to
 
 # --- incremental and span algebra --------------------------------------------------------------------------
 
-TURNS = f"""turns AS MATERIALIZED (SELECT CAST(conv_id AS STRING) AS session_id, turn // 2 AS step_no, role AS element_id,
-    {synth.TURN_TEXT} AS text FROM conversations)"""
+TURNS = f"""turns AS MATERIALIZED (SELECT CAST(conv_id AS STRING) AS session_id, {synth.TURN_STEP} AS step_no, role AS element_id,
+    {synth.TURN_TEXT} AS text FROM conversations CROSS JOIN (VALUES (0), (1)) r(again))"""
 _DIFF = f"""WITH {TURNS}, diffed AS (SELECT t.session_id, t.step_no, t.element_id, CASE WHEN p.session_id IS NULL THEN 'new'
     WHEN p.text IS NOT DISTINCT FROM t.text THEN 'unchanged' ELSE 'modified' END AS change
     FROM turns t LEFT JOIN turns p ON p.session_id = t.session_id AND p.element_id = t.element_id AND p.step_no = t.step_no - 1)"""

@@ -77,10 +77,10 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as snapshots: two turns make a step, each role is an element."""
-    rows = table(spark, sf_dir, "conversations")
+    """Conversations as snapshots: two turns make a step, shown twice; each role is an element."""
+    rows = table(spark, sf_dir, "conversations").withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
     return rows.select(
-        F.col("conv_id").cast("string").alias("session_id"), F.floor(F.col("turn") / 2).alias("step_no"),
+        F.col("conv_id").cast("string").alias("session_id"), F.expr(synth.TURN_STEP).alias("step_no"),
         (F.col("turn") % 2).cast("int").alias("element_pos"),
         F.col("role").alias("element_id"),
         F.expr(synth.TURN_TEXT).alias("text"))

@@ -95,10 +95,11 @@ INPUTS = {
 _S = "CAST(user_id AS STRING)"
 _E = "CAST(event_id AS STRING)"
 
-# Turns of a conversation as elements.  Short texts repeat from step to step, so
-# that some elements do not change; every third conversation leaves an address.
-TURN_TEXT = ("concat(CASE WHEN length(text) < 300 THEN left(text, 1) ELSE text END, "
-             "CASE WHEN conv_id % 3 = 0 THEN concat(' write to user', CAST(conv_id AS STRING), '@mail.example.com') ELSE '' END)")
+# Turns of a conversation as elements, whole texts.  Every turn is shown in two steps, and two of three stay as
+# they are in the second, so that elements are new, modified and unchanged; every third conversation leaves an address.
+TURN_STEP = "CAST(2 * floor(turn / 2) + again AS BIGINT)"
+TURN_TEXT = ("concat(coalesce(text, ''), CASE WHEN conv_id % 3 = 0 THEN concat(' write to user', CAST(conv_id AS STRING), '@mail.example.com') ELSE '' END, "
+             "CASE WHEN again = 1 AND (conv_id + turn) % 3 = 0 THEN ' (edited)' ELSE '' END)")
 
 # Raw protocol lines, some of them broken.
 MESSAGES = {
