@@ -5,15 +5,16 @@
    how common their hash bucket is among all retained values, rare ones first;
    two linked nodes share so many retained values that the first few of each in
    this order must meet (prefix filtering), so only those enter inverted lists.
-3. Every list proposes its members to a pivot, not to each other.  A union sketch
-   estimates the similarity, whole sets confirm it, and confirmed links are
-   joined to components.  Lists whose other members still lie in different
-   components go on: short ones with all remaining pairs, long ones with more
-   pivots a round, until every pair of a list is compared or already connected.
+3. Every list proposes its members to a pivot, not to each other.  Proposals
+   whose sizes or 256-bit signatures (a bit of the smallest hash in each of 256
+   classes) rule a link out end in the join; then a union sketch estimates the
+   similarity, whole sets confirm it, and confirmed links are joined to
+   components.  Lists whose other members still lie in different components go
+   on: short ones with all remaining pairs, long ones with more pivots a round,
+   until every pair of a list is compared or already connected.
 
-With sketch size k the estimate of a linked pair lies below the filter with
-probability under 1e-8 (six standard deviations); sets of at most k shingles are
-compared exactly.
+A linked pair falls below one of the estimates with probability under 1e-8 (six
+standard deviations); sets of at most k shingles are compared exactly.
 
 Defined cases: null, empty and blank texts have no shingles and stay alone; a
 text with fewer words than a shingle is one shingle; rows without doc_id are
@@ -35,7 +36,9 @@ from cloakframe.llm.components import components
 
 SKETCH = 96
 BUCKETS = 1 << 17
-SHORT_LIST = 32  # members of a list that are compared with all others in the second turn; four times as many in each later one
+SHORT_LIST = 256  # members of a list that are compared with all others in the second turn; four times as many in each later one
+BITS = 256
+SIGNATURE = [f"s{k}" for k in range(BITS // 64)]
 BITMAP = 1 << 20
 
 
@@ -71,17 +74,32 @@ def set_key(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
+def signature(values: np.ndarray) -> bytes:
+    """One bit of the smallest hash in each of 256 classes; ``values`` ascend."""
+    bits = np.zeros(BITS, bool)
+    at = (values & np.uint64(BITS - 1)).astype(np.int64)[::-1]
+    bits[at] = ((values >> np.uint64(8)) & np.uint64(1)).astype(bool)[::-1]  # the smallest is written last
+    return np.packbits(bits).tobytes()
+
+
+def agreeing(need: float) -> int:
+    """Signature bits in which two sets of similarity ``need`` agree, six standard deviations aside."""
+    p = (1 + need) / 2
+    return math.floor(BITS * p - 6 * math.sqrt(BITS * p * (1 - p)))
+
+
 def _sketches(width: int, size: int):
     def run(batches):
         for batch in batches:
-            n, key, sketch = [], [], []
+            n, key, sketch, sign = [], [], [], []
             for _, s in shingle_sets(text_array(batch.column("text")), width):
                 n.append(len(s))
                 key.append(set_key(s) if len(s) else None)
                 sketch.append(s[:size].tobytes())
+                sign.append(signature(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n", "key", "sketch"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(sign, pa.binary())],
+                names=["doc_id", "n", "key", "sketch", "sign"],
             )
 
     return run
@@ -108,16 +126,21 @@ def prefix_size(kept: int, n: int, size: int, need: float) -> int:
 def _prefixes(level: np.ndarray, size: int, need: float):
     def run(batches):
         for batch in batches:
-            values, nodes, counts = [], [], []
-            for key, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "sketch")), strict=True):
+            values, nodes, counts, signs = [], [], [], []
+            for key, n, sketch, sign in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "sketch", "sign")), strict=True):
                 s = np.frombuffer(sketch, np.uint64)
                 order = np.lexsort((s, level[s % np.uint64(BUCKETS)]))[: prefix_size(len(s), n, size, need)]
                 values.append(s[order])
                 nodes += [key] * len(order)
                 counts.append(np.full(len(order), n, np.int64))
+                signs.append(np.repeat(np.frombuffer(sign, np.int64)[None], len(order), 0))
             flat = np.concatenate(values).astype(np.int64) if values else np.empty(0, np.int64)
             many = np.concatenate(counts) if counts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(nodes, pa.binary()), pa.array(many)], names=["value", "node", "n"])
+            bits = np.concatenate(signs) if signs else np.empty((0, len(SIGNATURE)), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat), pa.array(nodes, pa.binary()), pa.array(many), *[pa.array(np.ascontiguousarray(b)) for b in bits.T]],
+                names=["value", "node", "n", *SIGNATURE],
+            )
 
     return run
 
@@ -184,13 +207,11 @@ class _Links:
         likely = stored(both.mapInArrow(_estimated(self.size, self.percent / 100), "a binary, b binary"))
         # Texts of the nodes concerned: a bitmap of fixed size keeps most others out of the shuffle.
         used = likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct()
-        rep = self.nodes.join(used, "key", "left_semi").select("doc_id")
         bits = np.zeros(BITMAP, bool)
-        for r in rep.select(F.pmod("doc_id", F.lit(BITMAP)).alias("bit")).distinct().collect():
+        for r in self.nodes.join(used, "key", "left_semi").select(F.pmod("doc_id", F.lit(BITMAP)).alias("bit")).distinct().collect():
             bits[r.bit] = True
-        texts = self.docs.select("doc_id", "text").mapInArrow(_needed_texts(self.width, bits), "key binary, text string")
-        own = self.nodes.join(used, "key", "left_semi").select("key", "doc_id")
-        texts = stored(texts.where("key is not null").join(own.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+        texts = self.docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_needed_texts(self.width, bits), "key binary, text string")
+        texts = stored(texts.where("key is not null").dropDuplicates(["key"]))
         both = likely.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
         both = both.join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
         return stored(both.mapInArrow(_confirmed(self.width, self.percent), "a binary, b binary"))
@@ -204,16 +225,27 @@ def _pivots(lists: DataFrame, turn: int) -> DataFrame:
     components come first, up to a number that grows by turns; a list that is
     short enough is compared completely.
     """
+    told = ["node", "n", "component", *SIGNATURE]
     if not turn:
         order = F.xxhash64("node", F.pmod("value", F.lit(4)))
-        best = lists.groupBy("value").agg(F.min(F.struct(order.alias("h"), "node", "n", "component")).alias("p"))
-        return best.select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component"))
+        best = lists.groupBy("value").agg(F.min(F.struct(order.alias("h"), *told)).alias("p"))
+        return best.select("value", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in told])
     many = lists.groupBy("value", "component").agg(F.count("*").alias("m"))
     ranked = lists.join(many, ["value", "component"]).withColumn(
         "rank", F.row_number().over(Window.partitionBy("value").orderBy("m", "component", "node"))
     )
     chosen = ranked.where(F.col("rank") <= SHORT_LIST * 4 ** (turn - 1))
-    return chosen.select("value", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"))
+    return chosen.select("value", *[F.col(c).alias(f"pivot_{c}") for c in told])
+
+
+def _proposals(lists: DataFrame, pivots: DataFrame, need: float) -> DataFrame:
+    """Distinct pairs (a, b) of list members and pivots that sizes, components and signatures allow."""
+    x, y = lists.alias("x"), pivots.alias("y")
+    alike = sum(F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.pivot_{s}"))) for s in SIGNATURE) <= BITS - agreeing(need)
+    fits = (F.col("x.n") >= need * F.col("y.pivot_n") - 1e-9) & (F.col("y.pivot_n") >= need * F.col("x.n") - 1e-9)
+    apart = (F.col("x.node") != F.col("y.pivot_node")) & (F.col("x.component") != F.col("y.pivot_component"))
+    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & apart & fits & alike)
+    return pairs.select(F.least("x.node", "y.pivot_node").alias("a"), F.greatest("x.node", "y.pivot_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: int = SKETCH) -> DataFrame:
@@ -223,33 +255,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
     ``width``-word shingles are linked; a component's smallest doc_id is kept.
     """
     need = percent / 100
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_sketches(width, size), "doc_id long, n long, key binary, sketch binary"), "none")
+    rows = stored(docs.select("doc_id", "text").mapInArrow(_sketches(width, size), "doc_id long, n long, key binary, sketch binary, sign binary"), "none")
     live = rows.where("key is not null and doc_id is not null")
-    nodes = stored(live.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "none")
+    nodes = stored(live.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sign").alias("sign")), "none")
 
     count = nodes.select("sketch").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(BUCKETS, np.int64)
     seen[count["bucket"].to_numpy(np.int64)] = count["n"].to_numpy(np.int64)
     level = np.log2(np.maximum(1, seen * BUCKETS / max(1, seen.sum()))).astype(np.int8)
 
-    listed = stored(nodes.select("key", "n", "sketch").mapInArrow(_prefixes(level, size, need), "value long, node binary, n long"), "none")
+    signed = "".join(f", {c} long" for c in SIGNATURE)
+    listed = stored(nodes.select("key", "n", "sketch", "sign").mapInArrow(_prefixes(level, size, need), f"value long, node binary, n long{signed}"))
     shared = listed.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
     lists = stored(listed.join(shared, "value", "left_semi").withColumn("component", F.col("node")))
     finder = _Links(docs, nodes, width, percent, size)
     links, labels, turn = None, None, 0
-    fits = (F.col("n") >= need * F.col("pivot_n") - 1e-9) & (F.col("pivot_n") >= need * F.col("n") - 1e-9)
     while True:
         top = stored(_pivots(lists, turn))
-        apart = (F.col("node") != F.col("pivot")) & (F.col("component") != F.col("pivot_component"))
-        pairs = lists.join(top, "value").where(apart & fits)
-        found = finder.confirm(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+        found = finder.confirm(_proposals(lists, top, need))
         links = found if links is None else links.unionByName(found)
-        labels = stored(components(links))
+        if labels is None or not found.isEmpty():
+            labels = stored(components(links))
         # What is left: members that were no pivots, in lists that span several components.
-        rest = lists.drop("component").join(top.select("value", F.col("pivot").alias("node")), ["value", "node"], "left_anti")
+        rest = lists.drop("component").join(top.select("value", F.col("pivot_node").alias("node")), ["value", "node"], "left_anti")
         rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spans = rest.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
-        lists = stored(rest.join(spans, "value", "left_semi").select("value", "node", "n", "component"))
+        lists = stored(rest.join(spans, "value", "left_semi").select("value", "node", "n", *SIGNATURE, "component"))
         if lists.isEmpty():
             break
         turn += 1
