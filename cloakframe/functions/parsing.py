@@ -61,14 +61,32 @@ def grounding(text: Column, width: Column, height: Column) -> Column:
             .otherwise(_result(none, none, none, none, none, none, 0.0)))
 
 
-def vision_answer(text: Column) -> Column:
-    """Screen type, confidence and layout flags of a model's answer, with defaults."""
+def vision_answer(text: Column, width: Column | None = None, height: Column | None = None) -> Column:
+    """Screen type, confidence and layout flags of a model's answer, with defaults.
+
+    The whole outermost object is read, as layout and regions are nested.  With
+    a screen size, ``detected_regions`` holds its boxes (x, y, w, h) in pixels.
+    """
     obj = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     got = F.from_json(obj, "screen_type string, confidence double, layout struct<visual_density:string,"
-                           "has_active_modal:boolean,has_sticky_footer:boolean,canvas_heavy:boolean>")
+                           "has_active_modal:boolean,has_sticky_footer:boolean,canvas_heavy:boolean>, "
+                           "detected_regions array<struct<type:string,label:string,bbox_1000:array<double>,bbox:array<double>>>")
     bad = F.try_parse_json(obj).isNull()
     layout = got["layout"]
+
+    def region(r: Column) -> Column:
+        b = F.coalesce(F.when(F.size(r["bbox_1000"]) > 0, r["bbox_1000"]), r["bbox"])
+        x, y = _scaled(b[1], width), _scaled(b[0], height)
+        box = F.array(x, y, F.greatest(F.lit(1), _scaled(b[3], width) - x), F.greatest(F.lit(1), _scaled(b[2], height) - y))
+        return F.struct(F.coalesce(r["type"], F.lit("element")).alias("type"), F.when(F.size(b) == 4, box).alias("bbox"),
+                        F.coalesce(r["label"], F.lit("")).alias("label"))
+
+    regions = []
+    if width is not None and height is not None:
+        placed = F.filter(F.transform(got["detected_regions"], region), lambda r: r["bbox"].isNotNull())
+        regions = [F.when(bad | placed.isNull(), F.filter(placed, lambda r: F.lit(False))).otherwise(placed).alias("detected_regions")]
     return F.struct(
+        *regions,
         F.when(bad, "unknown").otherwise(F.coalesce(got["screen_type"], F.lit("unknown"))).alias("screen_type"),
         F.when(bad, 0.5).otherwise(F.coalesce(got["confidence"], F.lit(0.85))).alias("confidence"),
         F.coalesce(layout["visual_density"], F.lit("medium")).alias("visual_density"),
@@ -99,11 +117,12 @@ def obstacle_answer(text: Column, width: Column, height: Column) -> Column:
 def verify_answer(text: Column) -> Column:
     obj = F.regexp_extract(text, FIRST_OBJECT, 0)
     got = F.from_json(obj, "verified boolean, change_detected boolean, confidence double, reasoning string")
+    bad = F.try_parse_json(obj).isNull()
     return F.struct(
         F.coalesce(got["verified"], F.lit(True)).alias("verified"),
         F.coalesce(got["change_detected"], F.lit(True)).alias("change_detected"),
-        F.coalesce(got["confidence"], F.lit(0.9)).alias("confidence"),
-        F.coalesce(got["reasoning"], F.lit("")).alias("reasoning"))
+        F.when(bad, 0.6).otherwise(F.coalesce(got["confidence"], F.lit(0.9))).alias("confidence"),
+        F.when(bad, F.left(text, F.lit(200))).otherwise(F.coalesce(got["reasoning"], F.lit(""))).alias("reasoning"))
 
 
 def clean_model_text(text: Column) -> Column:

@@ -691,12 +691,17 @@ ORACLES["json_repair"] = """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN c
     WHEN 3 THEN concat('{"steps": [{"id": ', o_orderkey, '}, {"id": 2}]}') WHEN 4 THEN concat('{"id": ', o_orderkey, ', broken') WHEN 5 THEN concat('{"note": "a b", "id": ', o_orderkey, '}') ELSE '' END AS repaired,
     o_orderkey % 7 IN (0, 1, 2, 3, 5) AS parses FROM orders"""
 ORACLES["vision_parse"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN concat('s', o_orderkey) ELSE 'unknown' END AS screen_type,
-    CAST(CASE o_orderkey % 3 WHEN 1 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS confidence, 'medium' AS visual_density, false AS has_active_modal, false AS has_sticky_footer, o_orderkey % 3 = 0 AS canvas_heavy FROM orders"""
+    CAST(CASE o_orderkey % 3 WHEN 1 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS confidence, 'medium' AS visual_density, false AS has_active_modal, false AS has_sticky_footer, o_orderkey % 3 = 0 AS canvas_heavy,
+    CAST(o_orderkey % 3 = 0 AS BIGINT) AS n_regions, CASE WHEN o_orderkey % 3 = 0 THEN 'header' END AS region_type,
+    CASE WHEN o_orderkey % 3 = 0 THEN x1 END AS x, CASE WHEN o_orderkey % 3 = 0 THEN y1 END AS y, CASE WHEN o_orderkey % 3 = 0 THEN greatest(1, x2 - x1) END AS w,
+    CASE WHEN o_orderkey % 3 = 0 THEN greatest(1, y2 - y1) END AS h
+    FROM (SELECT o_orderkey, CAST(trunc(o_orderkey % 300 / 1000.0 * 1280) AS BIGINT) AS x1, CAST(trunc(o_orderkey % 500 / 1000.0 * 720) AS BIGINT) AS y1,
+        CAST(trunc((o_orderkey % 300 + 50) / 1000.0 * 1280) AS BIGINT) AS x2, CAST(trunc((o_orderkey % 500 + 100) / 1000.0 * 720) AS BIGINT) AS y2 FROM orders)"""
 ORACLES["obstacle_parse"] = """SELECT o_orderkey, o_orderkey % 3 = 0 AS has_obstacle, CASE WHEN o_orderkey % 3 = 0 THEN 'cookie_banner' ELSE 'none' END AS obstacle_type,
     CAST(CASE o_orderkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN o_orderkey % 3 = 2 THEN 'no json' ELSE '' END AS description, 'NONE' AS suggested_action,
     CASE WHEN o_orderkey % 3 = 0 THEN CAST(trunc(15 / 1000.0 * 1280) AS BIGINT) END AS dismiss_x, CASE WHEN o_orderkey % 3 = 0 THEN CAST(trunc((o_orderkey % 1000 + 500) / 2.0 / 1000.0 * 720) AS BIGINT) END AS dismiss_y FROM orders"""
-ORACLES["verify_parse"] = """SELECT o_orderkey, o_orderkey % 3 <> 0 AS verified, o_orderkey % 3 <> 1 AS change_detected, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 0.9 END AS DOUBLE) AS confidence,
-    CASE WHEN o_orderkey % 3 = 0 THEN 'r' ELSE '' END AS reasoning FROM orders"""
+ORACLES["verify_parse"] = """SELECT o_orderkey, o_orderkey % 3 <> 0 AS verified, o_orderkey % 3 <> 1 AS change_detected, CAST(CASE o_orderkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.9 ELSE 0.6 END AS DOUBLE) AS confidence,
+    CASE o_orderkey % 3 WHEN 0 THEN 'r' WHEN 1 THEN '' ELSE left(concat('no json ', repeat(CAST(o_orderkey AS STRING), 60)), 200) END AS reasoning FROM orders"""
 ORACLES["image_decode"] = "SELECT c_custkey, c_name AS body FROM customer"
 ORACLES["epoch_time"] = "SELECT event_id, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS epoch, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM events"
 ORACLES["json_columns"] = "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, concat('{\"k\":', props->>'$.k', '}') AS again FROM events"

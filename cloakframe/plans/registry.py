@@ -850,7 +850,7 @@ def role_infer(spark, sf_dir):
 @query
 def screen_types(spark, sf_dir):
     rows = table(spark, sf_dir, "pages")
-    return rows.select("page_id", T.screen_type(F.lit(""), F.col("url"), F.col("html")).alias("screen_type"))
+    return rows.select("page_id", T.screen_type(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.col("url"), F.col("html")).alias("screen_type"))
 
 
 def _page_elements_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1119,10 +1119,16 @@ def json_repair(spark, sf_dir):
 @query
 def vision_parse(spark, sf_dir):
     k = F.col("o_orderkey")
-    text = (F.when(k % 3 == 0, F.concat(F.lit('ok {"screen_type": "s'), k.cast("string"), F.lit('", "confidence": 0.5, "layout": {"canvas_heavy": true}}')))
+    box = F.concat((k % 500).cast("string"), F.lit(", "), (k % 300).cast("string"), F.lit(", "), (k % 500 + 100).cast("string"), F.lit(", "), (k % 300 + 50).cast("string"))
+    text = (F.when(k % 3 == 0, F.concat(F.lit('ok {"screen_type": "s'), k.cast("string"), F.lit('", "confidence": 0.5, "layout": {"canvas_heavy": true}, "detected_regions": '
+                                        '[{"type": "header", "label": "h", "bbox_1000": ['), box, F.lit(']}, {"bbox": [1, 2]}]}')))
             .when(k % 3 == 1, F.lit('{"confidence": 0.25}')).otherwise("no json"))
-    got = P.vision_answer(F.col("t"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")).select("o_orderkey", got.alias("g")).select("o_orderkey", "g.*")
+    got = P.vision_answer(F.col("t"), F.lit(1280), F.lit(720))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")).select("o_orderkey", got.alias("g")).select("o_orderkey", "g.*")
+    first = F.get("detected_regions", F.lit(0))
+    return rows.select("o_orderkey", "screen_type", "confidence", "visual_density", "has_active_modal", "has_sticky_footer", "canvas_heavy",
+                       F.size(F.coalesce("detected_regions", F.array())).cast("long").alias("n_regions"), first["type"].alias("region_type"),
+                       *[first["bbox"][i].cast("long").alias(n) for i, n in enumerate(("x", "y", "w", "h"))])
 
 
 @query
@@ -1138,7 +1144,7 @@ def obstacle_parse(spark, sf_dir):
 def verify_parse(spark, sf_dir):
     k = F.col("o_orderkey")
     text = (F.when(k % 3 == 0, F.lit('{"verified": false, "confidence": 0.5, "reasoning": "r"}'))
-            .when(k % 3 == 1, F.lit('{"change_detected": false}')).otherwise("no json"))
+            .when(k % 3 == 1, F.lit('{"change_detected": false}')).otherwise(F.concat(F.lit("no json "), F.repeat(k.cast("string"), F.lit(60)))))
     got = P.verify_answer(F.col("t"))
     return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")).select("o_orderkey", got.alias("g")).select("o_orderkey", "g.*")
 

@@ -47,7 +47,15 @@ class _Node:
                        or (tag == "input" and (attrs.get("type") or "").lower() == "hidden"))
 
     def text(self) -> str:
-        return "".join(p if isinstance(p, str) else p.text() for p in self.parts)
+        """All text inside, in order; a loop, as pages nest tags without limit."""
+        out, todo = [], list(reversed(self.parts))
+        while todo:
+            part = todo.pop()
+            if isinstance(part, str):
+                out.append(part)
+            else:
+                todo.extend(reversed(part.parts))
+        return "".join(out)
 
 
 class _Page(HTMLParser):
@@ -82,11 +90,15 @@ class _Page(HTMLParser):
         self.open.parts.append(data)
 
 
-def _parse(html: str | None) -> list[_Node]:
+def _parse(html: str | None) -> tuple[list[_Node], str | None]:
+    """Nodes of a page up to its first fault, and the fault (null for a page that parses)."""
     page = _Page()
-    page.feed(html or "")
-    page.close()
-    return page.nodes
+    try:
+        page.feed(html or "")
+        page.close()
+    except (AssertionError, ValueError, IndexError, RecursionError) as fault:
+        return page.nodes, f"{type(fault).__name__}: {fault}"
+    return page.nodes, None
 
 
 def _selector(node: _Node) -> str:
@@ -187,7 +199,7 @@ def _extract(pages: DataFrame, rows_of, schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [{"page_id": pid, **row} for pid, html in zip(batch["page_id"], batch["html"])
-                    for row in rows_of(_parse(html))]
+                    for row in rows_of(_parse(html)[0])]
             yield pd.DataFrame(rows, columns=names)
 
     return pages.select("page_id", "html").mapInPandas(run, schema)
@@ -204,21 +216,24 @@ def page_forms(pages: DataFrame) -> DataFrame:
 
 
 def page_snapshots(pages: DataFrame) -> DataFrame:
-    """One snapshot row per page, elements and forms nested, in a single pass."""
+    """One snapshot row per page, elements and forms nested, in a single pass.
+
+    A page that cannot be parsed to its end keeps what was read, and ``error`` says why.
+    """
     def nested(schema: str) -> str:
         fields = [part.split(" ", 1) for part in schema.split(", ")[1:]]
         return "array<struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">>"
 
-    schema = f"page_id bigint, url string, title string, elements {nested(ELEMENT_ROW)}, forms {nested(FORM_ROW)}"
+    schema = f"page_id bigint, url string, title string, elements {nested(ELEMENT_ROW)}, forms {nested(FORM_ROW)}, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for pid, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
-                nodes = _parse(html)
+                nodes, error = _parse(html)
                 title = next((n.text().strip() for n in nodes if n.tag == "title"), "")
-                rows.append((pid, url, title, list(_elements(nodes)), list(_forms(nodes))))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "title", "elements", "forms"])
+                rows.append((pid, url, title, list(_elements(nodes)), list(_forms(nodes)), error))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "title", "elements", "forms", "error"])
 
     return (pages.select("page_id", "url", "html").mapInPandas(run, schema)
             .withColumn("elements_count", F.size("elements"))

@@ -138,3 +138,13 @@ def test_incremental_scan_reuses_spans(spark):
     full = spans.explode_spans(scan_elements(both)).select(keys)
     assert incremental.incremental_spans(both).select(keys).exceptAll(full).count() == 0
     assert incremental.incremental_spans(both).count() == full.count()
+
+
+def test_bad_pages_do_not_stop_the_job(spark):
+    deep = "<div>" * 5000 + "deep" + "</div>" * 5000 + '<a href="x">end</a>'
+    pages = spark.createDataFrame([(1, "u", "<a href='a'>one</a><![foo[ x ]]><a href='b'>two</a>"), (2, "u", deep), (3, "u", None)],
+                                  "page_id long, url string, html string")
+    got = {r.page_id: r for r in html.page_snapshots(pages).collect()}
+    assert got[2].error is None and got[2].elements[-1].text == "end" and got[3].elements_count == 0
+    assert got[1].elements[0].text == "one"
+    assert {r.page_id for r in html.page_elements(pages).collect()} == {1, 2}
