@@ -710,3 +710,14 @@ ORACLES["map_merge"] = "SELECT event_id, event_type AS k, CAST(event_id AS STRIN
 # --- streams -------------------------------------------------------------------------------------------------------------------------------
 
 ORACLES["stream_redact"] = f"{WR}{DOC_REDACTED} SELECT session_id, step_no, text FROM redacted"
+
+# --- extension points ------------------------------------------------------------------------------------------
+
+_LUHN = " + ".join(f"d{i} // 5 + d{i} * 2 % 10" if i % 2 else f"d{i}" for i in range(1, 17))
+ORACLES["sql_functions"] = f"""WITH {PLANS}, digits AS (SELECT *, concat('411111111111111', step_id) AS card FROM steps_),
+    each_digit AS (SELECT *, {", ".join(f"CAST(card[{i}] AS INT) AS d{i}" for i in range(1, 17))} FROM digits)
+    SELECT session_id, step_id, level, CASE step_id % 3 WHEN 0 THEN 'SPII' WHEN 1 THEN 'PII' ELSE {q("PII") if "NAME" in K.TIERS["PII"] else q("SPII") if "NAME" in K.TIERS["SPII"] else q("CONTEXTUAL")} END AS category,
+    action AS kind, ({_LUHN}) % 10 = 0 AS luhn FROM each_digit"""
+ORACLES["custom_detector"] = """SELECT doc_id, CAST(len(found) AS BIGINT) AS n, CAST(strpos(text, found[1]) - 1 AS BIGINT) AS first_start, found[1] AS first_value
+    FROM (SELECT doc_id, text, regexp_extract_all(text, '[0-9A-Fa-f]{32,}') AS found FROM documents WHERE regexp_matches(text, '[0-9]{4}')) WHERE len(found) > 0"""
+ORACLES["snapshot_source"] = f"WITH {TURNS} SELECT session_id, step_no, element_id, text FROM turns"

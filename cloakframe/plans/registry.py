@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions import constants as K
 from cloakframe.functions import geometry as G
 from cloakframe.functions import parsing as P
+from cloakframe.functions import sqlfuncs
 from cloakframe.functions import text as T
 from cloakframe.functions.risk import risk_level, risk_reason
 from cloakframe.operators import (activity, audit, detect, incremental, messages, ner, ocr, segments,
@@ -1214,3 +1215,39 @@ def stream_steps(spark, sf_dir):
     out.awaitTermination()
     return spark.read.parquet(f"{root}/out").select(
         "session_id", "step_id", "seq", "op", "state", "attempts", "accepted", "code")
+
+
+# --- extension points ----------------------------------------------------------------------------
+
+
+@query
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions, called from SQL."""
+    sqlfuncs.register(spark)
+    plan_steps(spark, sf_dir).createOrReplaceTempView("_plan_steps")
+    return spark.sql("""
+        SELECT session_id, step_id, risk_level(action, description) AS level,
+               pii_category(CASE step_id % 3 WHEN 0 THEN 'CARD' WHEN 1 THEN 'EMAIL' ELSE 'NAME' END) AS category,
+               token_type(concat('[', action, '_', step_id, ']')) AS kind,
+               luhn_valid(concat('411111111111111', step_id)) AS luhn
+        FROM _plan_steps""")
+
+
+@query
+def custom_detector(spark, sf_dir):
+    """A detector of the user's own over the documents: long hex values."""
+    own = detect.Detector(1, "HEX", "[0-9A-Fa-f]{32,}", "digits4")
+    found = detect.scan_fields(documents(spark, sf_dir), ("text",), detectors=(own,))
+    return found.select("doc_id", F.size("spans").cast("long").alias("n"), F.get("spans", F.lit(0))["start"].cast("long").alias("first_start"),
+                        F.get("spans", F.lit(0))["value"].alias("first_value")).where("n > 0")
+
+
+@query
+def snapshot_source(spark, sf_dir):
+    """Snapshots written as JSON and read back by the source, then exploded to elements."""
+    rows = turns(spark, sf_dir).groupBy("session_id", "step_no").agg(
+        F.sort_array(F.collect_list(F.struct("element_pos", F.col("element_id").alias("id"), "text"))).alias("elements"))
+    path = f"{checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    rows.write.json(path)
+    back = snapshots.read_snapshots(spark, path, lines=True)
+    return snapshots.explode_elements(back).select("session_id", "step_no", "element_id", "text")

@@ -9,9 +9,9 @@ from cloakframe.functions.text import first_filled
 from cloakframe.schema import MEMORY_TABLE, SESSION_TABLE, SNAPSHOT
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot files (one JSON document each), read with a fixed schema."""
-    return spark.read.schema(SNAPSHOT).option("multiLine", True).json(path)
+def read_snapshots(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Snapshot files, read with a fixed schema: one JSON document each, or one per line."""
+    return spark.read.schema(SNAPSHOT).option("multiLine", not lines).json(path)
 
 
 def stream_snapshots(spark: SparkSession, path: str) -> DataFrame:
