@@ -98,8 +98,9 @@ def _sketches(width: int, size: int):
                 sketch.append(s[:size].tobytes())
                 sign.append(signature(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(sign, pa.binary())],
-                names=["doc_id", "n", "key", "sketch", "sign"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()),
+                 *[pa.array(np.ascontiguousarray(c)) for c in np.frombuffer(b"".join(sign), np.int64).reshape(-1, len(SIGNATURE)).T]],
+                names=["doc_id", "n", "key", "sketch", *SIGNATURE],
             )
 
     return run
@@ -126,21 +127,14 @@ def prefix_size(kept: int, n: int, size: int, need: float) -> int:
 def _prefixes(level: np.ndarray, size: int, need: float):
     def run(batches):
         for batch in batches:
-            values, nodes, counts, signs = [], [], [], []
-            for key, n, sketch, sign in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "sketch", "sign")), strict=True):
+            values, nodes = [], []
+            for key, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "sketch")), strict=True):
                 s = np.frombuffer(sketch, np.uint64)
                 order = np.lexsort((s, level[s % np.uint64(BUCKETS)]))[: prefix_size(len(s), n, size, need)]
                 values.append(s[order])
                 nodes += [key] * len(order)
-                counts.append(np.full(len(order), n, np.int64))
-                signs.append(np.repeat(np.frombuffer(sign, np.int64)[None], len(order), 0))
             flat = np.concatenate(values).astype(np.int64) if values else np.empty(0, np.int64)
-            many = np.concatenate(counts) if counts else np.empty(0, np.int64)
-            bits = np.concatenate(signs) if signs else np.empty((0, len(SIGNATURE)), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat), pa.array(nodes, pa.binary()), pa.array(many), *[pa.array(np.ascontiguousarray(b)) for b in bits.T]],
-                names=["value", "node", "n", *SIGNATURE],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(nodes, pa.binary())], names=["value", "node"])
 
     return run
 
@@ -183,11 +177,16 @@ def _needed_texts(width: int, bits: np.ndarray):
 def _confirmed(width: int, percent: int):
     def run(batches):
         for batch in batches:
+            # A text in several pairs of a batch is cut into shingles once.
+            keys = batch.column("a").to_pylist() + batch.column("b").to_pylist()
+            place = {k: i for i, k in reversed(list(enumerate(keys)))}
+            texts = pa.concat_arrays([text_array(batch.column("text_a")), text_array(batch.column("text_b"))])
+            order = list(place)
+            sets = {order[k]: s for k, s in shingle_sets(texts.take(pa.array(list(place.values()))), width)}
             ok = []
-            pairs = zip(shingle_sets(text_array(batch.column("text_a")), width), shingle_sets(text_array(batch.column("text_b")), width), strict=True)
-            for (_, a), (_, b) in pairs:
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * both >= percent * (len(a) + len(b) - both))
+            for a, b in zip(keys[: len(batch)], keys[len(batch) :], strict=True):
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                ok.append(100 * both >= percent * (len(sets[a]) + len(sets[b]) - both))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
@@ -220,14 +219,14 @@ class _Links:
 def _pivots(lists: DataFrame, turn: int) -> DataFrame:
     """(value, pivot, pivot_n, pivot_component): the members of every list to compare with the whole list now.
 
-    First one member per list, one of four hash orders, so that the lists of a
+    First one member per list, one of two hash orders, so that the lists of a
     group of copies share few pivots.  Later the members of the list's smaller
     components come first, up to a number that grows by turns; a list that is
     short enough is compared completely.
     """
     told = ["node", "n", "component", *SIGNATURE]
     if not turn:
-        order = F.xxhash64("node", F.pmod("value", F.lit(4)))
+        order = F.xxhash64("node", F.pmod("value", F.lit(2)))
         best = lists.groupBy("value").agg(F.min(F.struct(order.alias("h"), *told)).alias("p"))
         return best.select("value", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in told])
     many = lists.groupBy("value", "component").agg(F.count("*").alias("m"))
@@ -255,19 +254,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
     ``width``-word shingles are linked; a component's smallest doc_id is kept.
     """
     need = percent / 100
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_sketches(width, size), "doc_id long, n long, key binary, sketch binary, sign binary"), "none")
+    signed = "".join(f", {c} long" for c in SIGNATURE)
+    rows = stored(docs.select("doc_id", "text").mapInArrow(_sketches(width, size), f"doc_id long, n long, key binary, sketch binary{signed}"), "none")
     live = rows.where("key is not null and doc_id is not null")
-    nodes = stored(live.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sign").alias("sign")), "none")
+    nodes = stored(live.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sketch", *SIGNATURE)]), "none")
 
     count = nodes.select("sketch").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(BUCKETS, np.int64)
     seen[count["bucket"].to_numpy(np.int64)] = count["n"].to_numpy(np.int64)
     level = np.log2(np.maximum(1, seen * BUCKETS / max(1, seen.sum()))).astype(np.int8)
 
-    signed = "".join(f", {c} long" for c in SIGNATURE)
-    listed = stored(nodes.select("key", "n", "sketch", "sign").mapInArrow(_prefixes(level, size, need), f"value long, node binary, n long{signed}"))
+    listed = stored(nodes.select("key", "n", "sketch").mapInArrow(_prefixes(level, size, need), "value long, node binary"), "none")
     shared = listed.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
-    lists = stored(listed.join(shared, "value", "left_semi").withColumn("component", F.col("node")))
+    told = nodes.select(F.col("key").alias("node"), "n", *SIGNATURE)
+    lists = stored(listed.join(shared, "value", "left_semi").join(told, "node").withColumn("component", F.col("node")))
     finder = _Links(docs, nodes, width, percent, size)
     links, labels, turn = None, None, 0
     while True:
