@@ -13,6 +13,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.repeats import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakframe.llm.tokenfile import token_digest
 
@@ -69,6 +75,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeated_passages": op1_repeated_passages,
     "op2_token_files": op2_token_files,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
