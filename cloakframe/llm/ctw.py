@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cloakframe.llm.common import fold, hash64, raw, slices, stored, text_array, words_of
 
 DEPTH = 4
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 40 << 20
 END = 0xFF
 GRAM, WORD = 0, 1
 _LOWER = np.arange(256, dtype=np.uint8)
