@@ -34,6 +34,7 @@ GRAM = 10
 LEAST = 50
 LOOK = 16  # neighbours that each suffix is compared with, on either side
 BITS = 1 << 24
+MARKS = 1 << 20
 
 
 def _digests(batches):
@@ -48,6 +49,17 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary())], names=["doc_id", "n", "key"])
 
 
+def _marked(bits: np.ndarray):
+    """Pass documents on with a mark: may the id be one of those in the bitmap?"""
+
+    def run(batches):
+        for batch in batches:
+            mark = pa.array(bits[batch.column("doc_id").to_numpy() % len(bits)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), mark], names=["doc_id", "text", "spare"])
+
+    return run
+
+
 def retained(code: np.ndarray, first: np.ndarray, gram: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, gram hashes) of the minimisers of every text; ``code`` holds the words of all texts in order."""
     grams = np.zeros(max(0, len(code) - gram + 1), np.uint64)
@@ -199,9 +211,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     copies = keys.join(groups.where("first <> last"), "key")
     whole = copies.select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"),
                           F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other_doc_id"))
-    # One document of each group of copies is searched; those to leave out are known by id.
-    spare = copies.where("doc_id <> first").select("doc_id").distinct()
-    single = stored(named.join(spare, "doc_id", "left_anti"))
+    # One document of each group of copies is searched.  A bitmap of fixed size tells which texts cannot be spare
+    # copies; only the others are shuffled to be looked up.
+    spare = stored(copies.where("doc_id <> first").select("doc_id").distinct())
+    maybe = np.zeros(MARKS, bool)
+    maybe[spare.select(F.pmod("doc_id", F.lit(MARKS)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
+    marked = stored(named.mapInArrow(_marked(maybe), "doc_id long, text string, spare boolean"))
+    single = marked.where("not spare").drop("spare").unionByName(marked.where("spare").drop("spare").join(spare, "doc_id", "left_anti"))
 
     shared = single.mapInArrow(_grams(gram, least), "gram long").groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     parts = shared.select("gram").groupBy(F.pmod("gram", F.lit(256)).cast("int")).applyInArrow(_bitmap, "part int, bits binary").collect()
