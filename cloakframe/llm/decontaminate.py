@@ -9,8 +9,11 @@ with the target recall; the number of places is chosen per item length by
 simulation at the largest number of edits allowed.  Every hit is confirmed by
 the exact edit distance of the item to the best stretch of words around it.
 
-Windows that cannot match are skipped beforehand by a necessary condition: with
-at most e edits, at most e words of the window are foreign to all items.
+Windows that cannot match are skipped beforehand by necessary conditions: with
+at most e edits, at most e words of the window are foreign to all items, and of
+any e + q words of the item at least q stand in the stretch; the item's rarest
+words at hand are taken for these.  The same count ends hits before the edit
+distance is computed.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than
 ``min_words`` words are not searched; equal items are reported each; rows with a
@@ -25,10 +28,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from cloakframe.llm.common import hash64, slices, text_array, words_of
+from cloakframe.llm.common import slices, text_array, words_of
 
 WALKS = 4
 REPEATS = 32
@@ -42,8 +47,9 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word codes (never 0) of all texts in order, and where each text's begin."""
     words, first = words_of(texts)
     d = words.dictionary_encode()
-    plain = pa.array([w.lower().strip(MARKS) for w in d.dictionary.to_pylist()], pa.string())
-    code = np.where(np.array([w != "" for w in plain.to_pylist()], bool), hash64(plain) | np.uint64(1), np.uint64(0))
+    plain = pc.utf8_trim(pc.utf8_lower(d.dictionary), characters=MARKS)
+    live = pc.not_equal(plain, "").to_numpy(zero_copy_only=False)
+    code = np.where(live, pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False) | np.uint64(1), np.uint64(0)) if len(plain) else np.empty(0, np.uint64)
     code = code[d.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.uint64)
     live = code != 0
     return code[live], np.concatenate([[0], np.cumsum(live)])[first]
@@ -131,6 +137,7 @@ class Items:
     rate: float
     vocabulary: np.ndarray
     groups: list[tuple[int, int, list[int]]]  # words that must be checked at least, foreign words at most, item lengths
+    places: list[np.ndarray] = field(default_factory=list)  # of each item, its words' numbers in the vocabulary
     tables: dict[int, tuple[int, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: places, sorted keys, their items
     longest: int = 0
 
@@ -150,6 +157,7 @@ def prepare(ids: list[int | None], texts: list[str | None], rate: float, min_wor
         else:
             groups.append((n, math.floor(rate * n), [n]))
     out = Items(ids, code, first, rate, np.unique(np.concatenate([code[first[k] : first[k + 1]] for k in use])), groups, longest=lengths[-1])
+    out.places = [np.searchsorted(out.vocabulary, code[first[k] : first[k + 1]]) if k in set(use) else np.empty(0, np.int64) for k in range(len(ids))]
     for n in lengths:
         k, own = places_for(n, math.floor(rate * n), recall), np.array([i for i in use if sizes[i] == n])
         made = keys(code, first[own], n, k)
@@ -168,10 +176,21 @@ def search(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int]]:
     place = np.minimum(np.searchsorted(items.vocabulary, line), len(items.vocabulary) - 1)
     member = items.vocabulary[place] == line
     before = np.concatenate([[0], np.cumsum(member)])
+    seen = np.bincount(place[member], minlength=len(items.vocabulary))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for low, foreign, lengths in items.groups:
         count = before[low:] - before[: len(before) - low]
-        starts = np.flatnonzero(member[: len(count)] & (count >= low - foreign))
+        # Words by which a window shows itself: of each item, the rarest here, q more than it may lose.
+        telling, least = np.zeros(len(items.vocabulary), bool), len(line)
+        for own in items.places:
+            if len(own) in lengths:
+                e = math.floor(items.rate * len(own))
+                q = -(-(len(own) - e) // 2)
+                telling[own[np.argsort(seen[own], kind="stable")[: e + q]]] = True
+                least = min(least, q)
+        told = np.concatenate([[0], np.cumsum(telling[place] & member)])
+        reach = np.minimum(np.arange(len(count)) + lengths[-1] + foreign, len(line))
+        starts = np.flatnonzero(member[: len(count)] & (count >= low - foreign) & (told[reach] - told[: len(count)] >= least))
         if not len(starts):
             continue
         for n in lengths:
@@ -186,14 +205,21 @@ def search(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int]]:
             pairs = np.unique(np.stack([owner[which], np.repeat(hit % len(starts), many)]), axis=1)
             slack = math.floor(items.rate * n)
             for item in np.unique(pairs[0]):
-                at = starts[pairs[1][pairs[0] == item]]
+                at = np.sort(starts[pairs[1][pairs[0] == item]])
                 word = items.code[items.begin[item] : items.begin[item + 1]]
                 for part in range(0, len(at), 20_000):
                     some = at[part : part + 20_000]
                     text = np.searchsorted(begin, some, side="right") - 1
                     span = some[:, None] - slack + np.arange(n + 3 * slack)
                     inside = (span >= begin[text][:, None]) & (span < len(line))
-                    edits = substring_edits(word, np.where(inside, line[np.clip(span, 0, len(line) - 1)], np.uint64(0)))
+                    stretch = np.where(inside, line[np.clip(span, 0, len(line) - 1)], np.uint64(0))
+                    own = np.unique(word)
+                    at_own = np.minimum(np.searchsorted(own, stretch), len(own) - 1)
+                    can = np.count_nonzero(own[at_own] == stretch, axis=1) >= n - slack
+                    some, text, stretch = some[can], text[can], stretch[can]
+                    if not len(some):
+                        continue
+                    edits = substring_edits(word, stretch)
                     for t, s, e in zip(text[edits <= slack].tolist(), some[edits <= slack].tolist(), edits[edits <= slack].tolist(), strict=True):
                         if (t, item) not in best or (e, s) < best[t, item]:
                             best[t, item] = e, s
@@ -206,7 +232,7 @@ def _found(items: Items):
     def run(batches):
         for batch in batches:
             texts, docs, rows = text_array(batch.column("text")), batch.column("doc_id"), []
-            for lo, hi in slices(texts, 4 << 20):
+            for lo, hi in slices(texts):
                 for t, i, e, s in search(items, texts.slice(lo, hi - lo)):
                     rows.append((docs[lo + t].as_py(), items.ids[i], e, int(items.begin[i + 1] - items.begin[i]), s))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
