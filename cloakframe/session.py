@@ -43,7 +43,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a scratch one only in a single-machine session that names none."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not sc.master.startswith("local["):
+    if named is None and sc.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
