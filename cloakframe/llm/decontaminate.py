@@ -232,7 +232,7 @@ def _found(items: Items):
     def run(batches):
         for batch in batches:
             texts, docs, rows = text_array(batch.column("text")), batch.column("doc_id"), []
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 24 << 20):
                 for t, i, e, s in search(items, texts.slice(lo, hi - lo)):
                     rows.append((docs[lo + t].as_py(), items.ids[i], e, int(items.begin[i + 1] - items.begin[i]), s))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
