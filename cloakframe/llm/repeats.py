@@ -1,18 +1,20 @@
-"""Repeated passages: a sparse suffix array over minimiser positions.
+"""Repeated passages: every window of ``least`` words, grouped by its hash.
 
 1. Texts that are equal word for word are joined to one; longer ones of such
    copies repeat as a whole.
 2. A position is retained if its word gram has the smallest hash of some window
    of grams; windows are sized so that every passage of ``least`` words holds a
    retained position, the same one wherever the passage stands.
-3. Retained suffixes whose gram occurs once are left out (by a bitmap of fixed
-   size, then by their neighbours).  The others are sorted by gram and following
-   words, and each is compared with its neighbours in this order.
-4. A match is extended to the left and right word by word; if both together
-   reach ``least`` words of another document, the stretch repeats.  Stretches of
-   a document that touch are merged, so passages of any length are whole.
+3. Windows whose smallest gram occurs in one document are left out (by a bitmap
+   of fixed size).  The others are hashed and grouped, with the first and last
+   document of each; partial aggregation leaves one row per hash and task, so a
+   passage of very many documents is no burden for a single task.
+4. The hashes of more than one document are looked up by the windows again (a
+   second bitmap, then an equi-join).  The windows of a document that touch are
+   merged, so passages of any length are whole.
 
-Words are compared by 32-bit codes and grams by 64-bit ones.
+No number of equal or similar neighbours limits the search.  Words and grams are
+compared by 64-bit codes and windows by 96-bit ones.
 
 Defined cases: null, empty and short texts repeat nothing; rows without doc_id
 are not searched; rows with the same doc_id and text count as one document, so a
@@ -32,7 +34,6 @@ from cloakframe.llm.common import hash64, slices, stored, text_array, words_of
 
 GRAM = 10
 LEAST = 50
-LOOK = 16  # neighbours that each suffix is compared with, on either side
 BITS = 1 << 24
 MARKS = 1 << 20
 
@@ -60,24 +61,54 @@ def _marked(bits: np.ndarray):
     return run
 
 
-def retained(code: np.ndarray, first: np.ndarray, gram: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, gram hashes) of the minimisers of every text; ``code`` holds the words of all texts in order."""
+def _gram_hashes(code: np.ndarray, gram: int) -> np.ndarray:
     grams = np.zeros(max(0, len(code) - gram + 1), np.uint64)
     for k in range(gram):
         grams = (grams ^ code[k : k + len(grams)]) * np.uint64(0x9E3779B97F4A7C15)
         grams ^= grams >> np.uint64(31)
+    return grams
+
+
+def _smallest(h: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each window by doubling: low[i] = smallest of h[i : i + width]."""
+    low, size = h, 1
+    while size < width:
+        step = min(size, width - size)
+        low = np.minimum(low[:-step], low[step:])
+        size += step
+    return low
+
+
+def window_hashes(code: np.ndarray, least: int, salt: int) -> np.ndarray:
+    """64-bit hash of every ``least`` words in a row, from hashes of twice as many words each time."""
+    odd = [np.uint64(x) for x in ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))[salt]]
+
+    def joined(a, b):
+        h = ((a * odd[0]) ^ (a >> np.uint64(29))) + b * odd[1]
+        h = (h ^ (h >> np.uint64(32))) * odd[0]
+        return h ^ (h >> np.uint64(31))
+
+    n = len(code) - least + 1
+    power, size, out, done = code, 1, None, 0
+    while done < least:
+        if least & size:
+            part = power[done : done + n]
+            out, done = part if out is None else joined(out, part), done + size
+        if done < least:
+            power, size = joined(power[:-size], power[size:]), 2 * size
+    return out
+
+
+def retained(code: np.ndarray, first: np.ndarray, gram: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, gram hashes) of the minimisers of every text; ``code`` holds the words of all texts in order."""
+    grams = _gram_hashes(code, gram)
     at = []
     width = least - gram + 1
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a < least:
             continue
         h = grams[a : b - gram + 1]
-        # Minimum of each window by doubling: low[i] = smallest of h[i : i + size].
-        low, size = h, 1
-        while size < width:
-            step = min(size, width - size)
-            low = np.minimum(low[:-step], low[step:])
-            size += step
+        low = _smallest(h, width)
         # A gram is a minimiser if some window around it has it as its smallest.
         best, size = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)]), 1
         while size < width:
@@ -119,84 +150,48 @@ def _bitmap(key, grams):
     return pa.table({"part": [key[0].as_py()], "bits": [np.packbits(bits).tobytes()]}, schema=pa.schema([("part", pa.int32()), ("bits", pa.binary())]))
 
 
-def _suffixes(gram: int, least: int, bits: np.ndarray):
-    """Retained suffixes with the 32-bit codes of the words around them: ``least`` from the position on, ``least`` before it."""
+def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return bits[(h & np.uint64(255)).astype(np.int64), ((h >> np.uint64(8)) % np.uint64(BITS // 256)).astype(np.int64)]
+
+
+def _windows(gram: int, least: int, bits: np.ndarray, keys: np.ndarray | None = None):
+    """Windows whose smallest gram may be in ``bits`` and whose hash may be in ``keys``: hash (two parts), document, first word."""
 
     def run(batches):
         for batch in batches:
             texts, docs = text_array(batch.column("text")), batch.column("doc_id")
-            for lo, hi in slices(texts, 2 << 20):
+            for lo, hi in slices(texts, 4 << 20):
                 code, first = _codes(texts.slice(lo, hi - lo))
-                at, h = retained(code, first, gram, least)
-                some = bits[(h & np.uint64(255)).astype(np.int64), ((h >> np.uint64(8)) % np.uint64(BITS // 256)).astype(np.int64)]
-                at, h = at[some], h[some]
-                doc = np.searchsorted(first, at, side="right") - 1
-                narrow = np.concatenate([(code >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.zeros(1, np.uint32)])
-                for p in range(0, len(at), 20_000):
-                    a, d = at[p : p + 20_000], doc[p : p + 20_000]
-                    span = a[:, None] + np.arange(-least, least)
-                    inside = (span >= first[d][:, None]) & (span < first[d + 1][:, None])
-                    around = np.where(inside, narrow[np.where(inside, span, len(code))], np.uint32(0)).astype(">u4")
-                    after = [x.tobytes() for x in around[:, least:]]
-                    before = [x.tobytes() for x in around[:, :least]]
+                if len(code) < least:
+                    continue
+                some = _held(bits, _smallest(_gram_hashes(code, gram), least - gram + 1))
+                # A window lies in one text.
+                n = np.diff(first)
+                left = np.repeat(first[1:], n) - np.arange(len(code))
+                at = np.flatnonzero(some & (left[: len(some)] >= least))
+                h = window_hashes(code, least, 0)[at]
+                if keys is not None:
+                    kept = _held(keys, h)
+                    at, h = at[kept], h[kept]
+                check = (window_hashes(code, least, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                doc = np.repeat(np.arange(hi - lo), n)[at]
+                for p in range(0, len(at), 100_000):
+                    q = slice(p, p + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[p : p + 20_000].astype(np.int64)), pa.array(after, pa.binary()), pa.array(before, pa.binary()),
-                         docs.slice(lo, hi - lo).take(pa.array(d)), pa.array(a - first[d])],
-                        names=["gram", "after", "before", "doc_id", "at"],
+                        [pa.array(h[q].view(np.int64)), pa.array(check[q]), docs.slice(lo, hi - lo).take(pa.array(doc[q])), pa.array(at[q] - first[doc[q]])],
+                        names=["key", "check", "doc_id", "begin"],
                     )
 
     return run
 
 
-def _compared(least: int):
-    """Compare each sorted suffix with the LOOK ones before it; yield the stretch that other documents share with it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("other_doc_id", pa.int64())])
-
-    def run(batches):
-        held = None
-
-        def matrix(batch):
-            codes = [np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(-1, least) for c in ("after", "before")]
-            n = batch.num_rows
-            return [batch.column("gram").to_numpy(), codes[0], codes[1][:, ::-1], batch.column("doc_id").to_numpy(), batch.column("at").to_numpy(),
-                    np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64), np.zeros(n, np.int64)]
-
-        def run_length(a, b):
-            same = (a == b) & (a != 0)
-            return np.where(same.all(1), least, np.argmin(same, axis=1))
-
-        def out(rows):
-            hit = rows[8] > 0
-            doc, at = rows[3][hit], rows[4][hit]
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at - rows[6][hit]), pa.array(at + rows[5][hit]), pa.array(rows[7][hit])], schema=schema)
-
-        for batch in batches:
-            for p in range(0, batch.num_rows, 20_000):
-                rows = matrix(batch.slice(p, 20_000))
-                if held is not None:
-                    rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
-                old = 0 if held is None else len(held[0])
-                gram, after, before, doc, _, right, left, other, longest = rows
-                for d in range(1, LOOK + 1):
-                    j = np.arange(max(old, d), len(gram))
-                    j = j[(gram[j] == gram[j - d]) & (doc[j] != doc[j - d])]
-                    if not len(j):
-                        continue
-                    r, l = run_length(after[j], after[j - d]), run_length(before[j], before[j - d])
-                    ok = r + l >= least
-                    j, r, l = j[ok], r[ok], l[ok]
-                    for x, y in ((j, j - d), (j - d, j)):
-                        np.maximum.at(right, x, r)
-                        np.maximum.at(left, x, l)
-                        more = r + l > longest[x]
-                        other[x[more]], longest[x[more]] = doc[y[more]], (r + l)[more]
-                keep = max(0, len(gram) - LOOK)
-                yield out([x[:keep] for x in rows])
-                held = [x[keep:] for x in rows]
-        if held is not None:
-            yield out(held)
-
-    return run
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the 64-bit values of the column ``gram``."""
+    parts = keys.groupBy(F.pmod("gram", F.lit(256)).cast("int")).applyInArrow(_bitmap, "part int, bits binary").collect()
+    bits = np.zeros((256, BITS // 256), bool)
+    for r in parts:
+        bits[r.part] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
+    return bits
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -220,13 +215,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     single = marked.where("not spare").drop("spare").unionByName(marked.where("spare").drop("spare").join(spare, "doc_id", "left_anti"))
 
     shared = single.mapInArrow(_grams(gram, least), "gram long").groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
-    parts = shared.select("gram").groupBy(F.pmod("gram", F.lit(256)).cast("int")).applyInArrow(_bitmap, "part int, bits binary").collect()
-    bits = np.zeros((256, BITS // 256), bool)
-    for r in parts:
-        bits[r.part] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-    suffixes = single.mapInArrow(_suffixes(gram, least, bits), "gram long, after binary, before binary, doc_id long, at long")
-    ordered = suffixes.repartition("gram").sortWithinPartitions("gram", "after", "doc_id", "at")
-    found = ordered.mapInArrow(_compared(least), "doc_id long, begin long, end long, other_doc_id long")
+    bits = _bits(shared.select("gram"))
+    row = "key long, check int, doc_id long, begin long"
+    groups = single.mapInArrow(_windows(gram, least, bits), row).groupBy("key", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    common = stored(groups.where("first <> last"))
+    again = single.mapInArrow(_windows(gram, least, bits, _bits(common.select(F.col("key").alias("gram")))), row)
+    found = again.join(common, ["key", "check"]).select("doc_id", "begin", (F.col("begin") + least).alias("end"),
+                                                        F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other_doc_id"))
 
     rows = found.unionByName(whole)
     line = Window.partitionBy("doc_id").orderBy("begin", "end")

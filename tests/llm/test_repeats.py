@@ -63,3 +63,38 @@ def test_every_window_holds_a_retained_position():
     assert len(at) < 0.1 * len(code)
     again, _ = repeats.retained(np.concatenate([code[:7], code[500:600]]), np.array([0, 7, 107]), 10, 50)
     assert set(again - 7 + 500) & set(at.tolist())
+
+
+def test_common_footer_hides_no_partner(frame):
+    """45 words stand in very many documents; a few of them also share the words before, in pairs."""
+    r = random.Random(7)
+    fresh = lambda n: ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5))) for _ in range(n)]
+    footer = fresh(45)
+    lead = [fresh(10) for _ in range(20)]
+    rows = [(k, " ".join(fresh(20) + (lead[k % 20] if k < 40 else fresh(10)) + footer)) for k in range(600)]
+    r.shuffle(rows)
+    want = brute(rows, 50)
+    assert {d for d, _ in want} == set(range(40))
+    assert covered(repeats.repeated_passages(frame(rows)).collect()) == want
+
+
+def test_copies_in_one_document_hide_no_partner(frame):
+    """One document holds a passage 40 times, another one once; so with a text of one word."""
+    r = random.Random(8)
+    fresh = lambda n: ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5))) for _ in range(n)]
+    passage, often = fresh(60), []
+    for _ in range(40):
+        often += passage + fresh(5)
+    rows = [(1, " ".join(often)), (2, " ".join(fresh(30) + passage + fresh(30))), (3, " ".join(["ther"] * 300)), (4, " ".join(["ther"] * 80 + fresh(30)))]
+    assert covered(repeats.repeated_passages(frame(rows)).collect()) == brute(rows, 50)
+
+
+def test_window_hashes_depend_on_the_words_alone():
+    r = np.random.default_rng(1)
+    code = r.integers(0, 2**63, 400, dtype=np.uint64)
+    code[200:260] = code[20:80]
+    for least in (1, 2, 10, 47, 50, 64):
+        for salt in (0, 1):
+            h = repeats.window_hashes(code, least, salt)
+            assert len(h) == 400 - least + 1 and len(np.unique(h)) == len(h) - max(0, 61 - least)
+            assert (h[200 : 261 - least] == h[20 : 81 - least]).all()
