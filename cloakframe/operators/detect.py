@@ -34,14 +34,14 @@ class Detector:
     """One detection stage.
 
     ``keep`` is a predicate over a match ``m`` and the field content ``{c}``.
-    ``gate`` is a cheap test that must hold before the pattern is tried, and
-    ``when`` a context flag (or its negation with ``!``).
+    ``gate`` is a cheap test that must hold before the pattern is tried; the
+    default always holds.  ``when`` is a context flag (or its negation with ``!``).
     """
 
     priority: int
     type: str
     pattern: str
-    gate: str
+    gate: str = "always"
     keep: str = "true"
     when: tuple[str, ...] = field(default_factory=tuple)
 
@@ -96,6 +96,7 @@ REGISTRY: tuple[Detector, ...] = (
 _FLAGS = ("public_area", "page_edge", "support_phone", "bank", "uan", "dob", "passport",
           "otp", "dl", "vehicle")
 _GATES = {
+    "always": "true",
     "at": "contains({c}, '@')",
     "plus": "contains({c}, '+')",
     "dotted": "({c} rlike '[0-9][.][0-9]')",

@@ -1236,7 +1236,7 @@ def sql_functions(spark, sf_dir):
 @query
 def custom_detector(spark, sf_dir):
     """A detector of the user's own over the documents: long hex values."""
-    own = detect.Detector(1, "HEX", "[0-9A-Fa-f]{32,}", "digits4")
+    own = detect.Detector(1, "HEX", "[0-9A-Fa-f]{32,}")
     found = detect.scan_fields(documents(spark, sf_dir), ("text",), detectors=(own,))
     return found.select("doc_id", F.size("spans").cast("long").alias("n"), F.get("spans", F.lit(0))["start"].cast("long").alias("first_start"),
                         F.get("spans", F.lit(0))["value"].alias("first_value")).where("n > 0")

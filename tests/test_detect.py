@@ -191,6 +191,16 @@ def test_custom_detector(spark):
     assert [(r.type, r.value) for r in rows] == [("TICKET", "TCK-1234")]
 
 
+def test_custom_detector_without_gate(spark, tmp_path):
+    from cloakframe.plans.registry import QUERIES
+
+    values = ["abcdef" * 6, "a1b2c3d4" * 4, "0123" * 8]
+    rows = [(i, f"see {v} now", "en", "s") for i, v in enumerate(values)] + [(3, "abcdef", "en", "s"), (4, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["custom_detector"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n, r.first_start, r.first_value) for r in got) == [(i, 1, 4, v) for i, v in enumerate(values)]
+
+
 @pytest.mark.parametrize("number,ok", [("4532015112830366", True), ("1234567890123456", False), ("42", False)])
 def test_luhn(spark, number, ok):
     from cloakframe.functions.text import luhn_valid
