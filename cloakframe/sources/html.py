@@ -112,7 +112,7 @@ def _selector(node: _Node) -> str:
     return " > ".join(reversed(steps))
 
 
-def _label(node: _Node, by_target: dict[str, _Node]) -> str | None:
+def _label(node: _Node, by_target: dict[str, _Node], most: int | None) -> str | None:
     target = by_target.get(node.attrs.get("id") or "")
     if target is None:
         up = node
@@ -121,7 +121,7 @@ def _label(node: _Node, by_target: dict[str, _Node]) -> str | None:
         target = up
     if target is None and node.prev is not None and node.prev.tag == "label":
         target = node.prev
-    return (target.text().strip()[:100] or None) if target is not None else None
+    return (target.text().strip()[:most] or None) if target is not None else None
 
 
 def _role(node: _Node) -> str:
@@ -152,7 +152,7 @@ def _value(node: _Node) -> str:
     return node.attrs.get("value", "") if node.tag in ("input", "button") else ""
 
 
-def _elements(nodes: list[_Node]) -> Iterator[dict]:
+def _elements(nodes: list[_Node], max_text: int | None, max_value: int | None, max_label: int | None) -> Iterator[dict]:
     by_target: dict[str, _Node] = {}
     for n in nodes:
         if n.tag == "label" and n.attrs.get("for"):
@@ -163,7 +163,7 @@ def _elements(nodes: list[_Node]) -> Iterator[dict]:
             continue
         count += 1
         kind = n.attrs.get("type") or ""
-        body = "" if n.tag in ("input", "textarea") else n.text().strip()[:200]
+        body = "" if n.tag in ("input", "textarea") else n.text().strip()[:max_text]
         up = n.parent if n.parent is not None and n.parent.tag != "#root" else None
         yield {
             "element_pos": count - 1,
@@ -171,10 +171,10 @@ def _elements(nodes: list[_Node]) -> Iterator[dict]:
             "tag": n.tag.upper(), "selector": _selector(n), "role": _role(n), "type": kind or None,
             "placeholder": n.attrs.get("placeholder") or None, "href": n.attrs.get("href") or None,
             "autocomplete": n.attrs.get("autocomplete") or None, "text": body or None,
-            "value": _value(n)[:200] or None, "parent_tag": up.tag if up else None,
+            "value": _value(n)[:max_value] or None, "parent_tag": up.tag if up else None,
             "parent_class": ((up.attrs.get("class") or "").strip() or None) if up else None,
             "parent_id": (up.attrs.get("id") or None) if up else None,
-            "nearby_labels": _label(n, by_target), "interactive": True}
+            "nearby_labels": _label(n, by_target, max_label), "interactive": True}
 
 
 def _forms(nodes: list[_Node]) -> Iterator[dict]:
@@ -205,9 +205,14 @@ def _extract(pages: DataFrame, rows_of, schema: str) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, schema)
 
 
-def page_elements(pages: DataFrame) -> DataFrame:
-    """Interactive, visible elements of each page in document order."""
-    return _extract(pages, _elements, ELEMENT_ROW)
+def page_elements(pages: DataFrame, max_text: int | None = None, max_value: int | None = None,
+                  max_label: int | None = None) -> DataFrame:
+    """Interactive, visible elements of each page in document order.
+
+    Texts, values and labels are whole unless a greatest length is given (the
+    reference has 200, 200 and 100); what is cut off is not seen by detection.
+    """
+    return _extract(pages, lambda nodes: _elements(nodes, max_text, max_value, max_label), ELEMENT_ROW)
 
 
 def page_forms(pages: DataFrame) -> DataFrame:
@@ -215,10 +220,12 @@ def page_forms(pages: DataFrame) -> DataFrame:
     return _extract(pages, _forms, FORM_ROW)
 
 
-def page_snapshots(pages: DataFrame) -> DataFrame:
+def page_snapshots(pages: DataFrame, max_text: int | None = None, max_value: int | None = None,
+                   max_label: int | None = None) -> DataFrame:
     """One snapshot row per page, elements and forms nested, in a single pass.
 
     A page that cannot be parsed to its end keeps what was read, and ``error`` says why.
+    The greatest lengths are those of ``page_elements``.
     """
     def nested(schema: str) -> str:
         fields = [part.split(" ", 1) for part in schema.split(", ")[1:]]
@@ -232,7 +239,7 @@ def page_snapshots(pages: DataFrame) -> DataFrame:
             for pid, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
                 nodes, error = _parse(html)
                 title = next((n.text().strip() for n in nodes if n.tag == "title"), "")
-                rows.append((pid, url, title, list(_elements(nodes)), list(_forms(nodes)), error))
+                rows.append((pid, url, title, list(_elements(nodes, max_text, max_value, max_label)), list(_forms(nodes)), error))
             yield pd.DataFrame(rows, columns=["page_id", "url", "title", "elements", "forms", "error"])
 
     return (pages.select("page_id", "url", "html").mapInPandas(run, schema)

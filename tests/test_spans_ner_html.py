@@ -148,3 +148,18 @@ def test_bad_pages_do_not_stop_the_job(spark):
     assert got[2].error is None and got[2].elements[-1].text == "end" and got[3].elements_count == 0
     assert got[1].elements[0].text == "one"
     assert {r.page_id for r in html.page_elements(pages).collect()} == {1, 2}
+
+
+def test_long_fields_stay_whole_unless_a_length_is_given(spark):
+    mail, long = "jo@site.example", "x" * 300 + " "
+    page = (f'<label for="a">{long}{mail}</label><textarea id="a">{long}{mail}</textarea><a href="/">{long}{mail}</a>'
+            f'<input value="{long}{mail}"><button>{long}{mail}</button>')
+    pages = spark.createDataFrame([(1, "http://x.example/", page)], "page_id bigint, url string, html string")
+    whole = long + mail
+    fields = lambda rows: [(e.tag, e.text, e.value, e.nearby_labels) for e in rows]
+    expected = [("TEXTAREA", None, whole, whole), ("A", whole, None, None), ("INPUT", None, whole, None), ("BUTTON", whole, None, None)]
+    assert fields(html.page_elements(pages).orderBy("element_pos").collect()) == expected
+    assert fields(html.page_snapshots(pages).first().elements) == expected
+    cut = [(t, a and a[:200], b and b[:150], c and c[:100]) for t, a, b, c in expected]
+    assert fields(html.page_elements(pages, 200, 150, 100).orderBy("element_pos").collect()) == cut
+    assert fields(html.page_snapshots(pages, max_text=200, max_value=150, max_label=100).first().elements) == cut
