@@ -129,12 +129,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, cut:
     ``most`` bounds the labelled documents per class used for fitting; weights
     restore the classes' shares among all labelled rows outside the held fold.
     """
-    x, y = sample_features(docs, labels, "quality", most, False)
+    x, y = sample_features(docs, labels, "quality", most, True)
     seen = {r.quality: r.n for r in labels.where(fold("doc_id", 5) != 0).groupBy("quality").agg(F.count("*").alias("n")).collect()}
     weight = np.where(y == 1, seen.get(1, 0) / max(1, (y == 1).sum()), seen.get(0, 0) / max(1, (y == 0).sum()))
     model = fit(x, y.astype(np.float64), weight)
     features = feature_columns()
-    rows = counted(docs.select("doc_id", "text"), repeats=False).select("doc_id", *[features[n].alias(n) for n in FEATURES])
+    rows = counted(docs.select("doc_id", "text")).select("doc_id", *[features[n].alias(n) for n in FEATURES])
     score = 1 / (1 + F.exp(-logit(model, {n: F.col(n) for n in FEATURES})))
     return rows.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= cut).cast("int")

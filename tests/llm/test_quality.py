@@ -85,3 +85,13 @@ def test_scores_of_odd_texts_without_labels(spark, frame):
     assert len(rows) == 3 and all(r.score == 0.5 for r in rows)
     rows = quality.quality_scores(frame([None, "", "a b", "$$$ ###"] * 5), labels(spark, [(i, i % 2, 0) for i in range(20)])).collect()
     assert len(rows) == 20 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_score_sees_passages_that_repeat(spark, frame):
+    """Every text holds each word six times; in the odd ones a passage of two rounds stands three times."""
+    r = random.Random(3)
+    vocabulary = [f"w{i:02d}" for i in range(60)]
+    rounds = lambda n: [w for _ in range(n) for w in r.sample(vocabulary, 60)]
+    texts = [" ".join(rounds(2) * 3 if i % 2 else rounds(6)) for i in range(200)]
+    got = quality.quality_scores(frame(texts), labels(spark, [(i, 1 - i % 2, 0) for i in range(200)])).collect()
+    assert max(x.score for x in got if x.doc_id % 2) < 0.3 < 0.7 < min(x.score for x in got if x.doc_id % 2 == 0)
