@@ -74,6 +74,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.mixing import mixed_documents
+
+    return mixed_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_repeated_passages": op1_repeated_passages,
     "op2_token_files": op2_token_files,
@@ -85,6 +91,7 @@ QUERIES = {
     "op8_quality_score": op8_quality_score,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
+    "op12_source_mix": op12_source_mix,
 }
 SQL: dict[str, str] = {
     "op3_near_duplicates": r"""
@@ -105,5 +112,38 @@ reach AS (
 ), least_id AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, g.doc_id = component_id AS kept
 FROM g JOIN least_id USING (doc_id)
+""",
+    "op12_source_mix": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS digest FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST(rank % 3 + 1 AS DOUBLE) AS weight, CASE rank % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS bend,
+         3 * source_size AS cap, sum(source_size) OVER () AS words, sum(rank % 3 + 1) OVER () AS weights FROM s
+), f AS (
+  SELECT *, CAST(words - coalesce(sum(cap) OVER b, 0) AS BIGINT) AS rest, CAST(weights - coalesce(sum(rank % 3 + 1) OVER b, 0) AS BIGINT) AS unfilled,
+         row_number() OVER (ORDER BY cap / weight, rank) AS place
+  FROM w WINDOW b AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (SELECT place AS p, rest AS r, unfilled AS u FROM f WHERE rest <= cap / weight * unfilled ORDER BY place LIMIT 1),
+t AS (
+  SELECT source, source_size, weight * (1 - bend) AS w0, weight * (1 + bend) AS w1,
+         CASE WHEN place < p THEN CAST(cap AS DOUBLE) ELSE weight * r / u END AS target FROM f CROSS JOIN l
+), q AS (
+  SELECT d.*, source_size, target, w0, w1, CAST(floor(target + 0.5) AS BIGINT) AS quota,
+         CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, source_size * pass + before AS start FROM q CROSS JOIN (VALUES (0), (1), (2)) v(pass) WHERE size > 0 AND source_size * pass + before < quota
+), a AS (SELECT *, start / quota * ((w1 + w0) / 2) AS area FROM c),
+m AS (
+  SELECT *, 2 * area / (w0 + sqrt(w0 * w0 + 2 * (w1 - w0) * area)) AS time FROM a
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY time, source NULLS LAST, digest, pass, doc_id NULLS LAST) - 1 AS place FROM m
+), taken AS (
+  SELECT row, CAST(sum(least(size, quota - start)) AS BIGINT) AS taken, min(place) AS first_place, min(time) AS first_time FROM o GROUP BY row
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_place, first_time FROM q LEFT JOIN taken USING (row)
 """,
 }
