@@ -74,12 +74,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=100, most_words=5, top=2000)
+
+
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakframe.llm.mixing import mixed_documents
 
     return mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakframe.llm.conversations import damage, repair_report
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(damage(conversations), conversations)
+
+
 QUERIES = {
     "op1_repeated_passages": op1_repeated_passages,
     "op2_token_files": op2_token_files,
@@ -91,7 +104,9 @@ QUERIES = {
     "op8_quality_score": op8_quality_score,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
+    "op11_collocations": op11_collocations,
     "op12_source_mix": op12_source_mix,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 SQL: dict[str, str] = {
     "op3_near_duplicates": r"""
@@ -112,6 +127,29 @@ reach AS (
 ), least_id AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, g.doc_id = component_id AS kept
 FROM g JOIN least_id USING (doc_id)
+""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM w CROSS JOIN (VALUES (1), (2), (3), (4), (5)) v(size) WHERE len(w) >= size
+), n AS (SELECT lang, count(*) AS n FROM g WHERE size = 1 GROUP BY lang),
+f AS (SELECT lang, phrase, size, count(*) AS f FROM g GROUP BY lang, phrase, size HAVING count(*) >= 100),
+c AS (
+  SELECT s.lang, s.phrase, s.size, s.f FROM f s WHERE s.size > 1 AND NOT EXISTS (
+    SELECT 1 FROM f t WHERE t.lang = s.lang AND t.size > s.size AND 100 * t.f >= 100 * s.f AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' '))
+), k AS (
+  SELECT c.lang, c.phrase, c.f AS a, k.k, array_to_string(string_split(phrase, ' ')[1:k.k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k.k + 1:], ' ') AS tail
+  FROM c CROSS JOIN (VALUES (1), (2), (3), (4)) k(k) WHERE k.k < c.size
+), s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, n.n, CAST((CAST(1000 AS HUGEINT) * k.a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.head JOIN f y ON y.lang = k.lang AND y.phrase = k.tail JOIN n ON n.lang = k.lang
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """,
     "op12_source_mix": r"""
 WITH d AS (
@@ -145,5 +183,71 @@ m AS (
   SELECT row, CAST(sum(least(size, quota - start)) AS BIGINT) AS taken, min(place) AS first_place, min(time) AS first_time FROM o GROUP BY row
 )
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_place, first_time FROM q LEFT JOIN taken USING (row)
+""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(
+           string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS draw
+  FROM conversations CROSS JOIN crc
+), faulty AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+         CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN draw = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM drawn WHERE draw <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM faulty
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, left(role, 1) AS letter,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous, count(*) OVER (PARTITION BY conv_id) AS n FROM numbered
+), marked AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+                 WHEN right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+         n - i AS behind FROM seen
+), symbols AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late FROM marked
+), best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS done, {'c': 0, 'a': ''} AS v1, {'c': 6, 'a': 'II'} AS v2, {'c': 3, 'a': 'I'} AS v3, {'c': 0, 'a': ''} AS v4
+  FROM symbols WHERE behind = 0
+  UNION ALL
+  SELECT conv_id, done + 1, least(b1, {'c': 3 + u.c, 'a': 'I' || u.a}), least(b2, {'c': 3 + u.c, 'a': 'I' || u.a}), u, least(b4, {'c': 3 + b3.c, 'a': 'I' || b3.a})
+  FROM (SELECT *, least(b3, {'c': 3 + b4.c, 'a': 'I' || b4.a}) AS u FROM (
+    SELECT p.conv_id, done,
+      list_min([{'c': 4 + v1.c, 'a': 'D' || v1.a}, CASE WHEN NOT must AND letter = 's' THEN {'c': late + v2.c, 'a': 'K' || v2.a} END,
+                CASE WHEN NOT must AND letter = 'u' THEN {'c': late + v3.c, 'a': 'K' || v3.a} END,
+                CASE WHEN NOT must THEN {'c': 3 + late + v3.c, 'a': 'R' || v3.a} END]) AS b1,
+      list_min([{'c': 4 + v2.c, 'a': 'D' || v2.a}, CASE WHEN NOT must AND letter = 'u' THEN {'c': late + v3.c, 'a': 'K' || v3.a} END,
+                CASE WHEN NOT must THEN {'c': 3 + late + v3.c, 'a': 'R' || v3.a} END]) AS b2,
+      list_min([{'c': 4 + v3.c, 'a': 'D' || v3.a}, CASE WHEN NOT must AND letter = 'a' THEN {'c': late + v4.c, 'a': 'K' || v4.a} END,
+                CASE WHEN NOT must THEN {'c': 3 + late + v4.c, 'a': 'R' || v4.a} END]) AS b3,
+      list_min([{'c': 4 + v4.c, 'a': 'D' || v4.a}, CASE WHEN NOT must AND letter = 'u' THEN {'c': late + v3.c, 'a': 'K' || v3.a} END,
+                CASE WHEN NOT must THEN {'c': 3 + late + v3.c, 'a': 'R' || v3.a} END]) AS b4
+    FROM best p JOIN symbols s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.behind = p.done))
+), solved AS (
+  SELECT b.conv_id, b.v1.c AS cost, b.v1.a AS audit FROM best b JOIN (SELECT conv_id, max(i) AS n FROM symbols GROUP BY 1) s
+    ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND b.done = s.n
+), walked AS (
+  SELECT conv_id, audit, 1 AS pos, CAST(1 AS BIGINT) AS i, 1 AS g, '' AS said FROM solved
+  UNION ALL
+  SELECT w.conv_id, audit, pos + 1, CASE WHEN e = 'I' THEN w.i ELSE w.i + 1 END, CASE WHEN e = 'D' THEN g ELSE to_ END,
+         CASE WHEN e = 'D' THEN said ELSE said || CASE WHEN said = '' THEN '' ELSE chr(10) END ||
+           CASE WHEN e = 'K' THEN s.role ELSE CASE WHEN to_ = 3 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN e = 'I' THEN '' ELSE s.text END END
+  FROM (SELECT *, substr(audit, pos, 1) AS e FROM walked WHERE pos <= length(audit)) w
+  LEFT JOIN symbols s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i,
+  LATERAL (SELECT CASE WHEN e = 'K' AND letter = 's' THEN 2 WHEN g = 3 THEN 4 ELSE 3 END AS to_) x
+), repaired AS (SELECT conv_id, said FROM walked WHERE pos > length(audit)),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (previous IS NOT NULL AND previous || letter NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+), ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM ids LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM ids.conv_id
 """,
 }
