@@ -34,8 +34,8 @@ from cloakframe.llm.common import raw, slices, stored, text_array
 from cloakframe.llm.mixing import along
 
 SIDE = 512  # side of the first tile
-DENSE = 1 << 22  # cells that a task counts by address
-BLOCK = 8 << 20  # bytes of text in a block
+DENSE = SIDE * SIDE  # cells that are counted by address
+BLOCK = 12 << 20  # bytes of text in a block
 WORD_BITS, PHRASE_BITS = 28, 35
 _END = np.zeros(256, bool)
 _END[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -73,7 +73,7 @@ def _rows(rows: list[tuple], schema: pa.Schema = _ROWS) -> pa.RecordBatch:
 
 
 def _band(ids: np.ndarray) -> np.ndarray:
-    """0 for the first SIDE ids, 1 for as many more, then twice as many each."""
+    """0 for the first SIDE ids, 1 for as many more, then twice as many each; wide tiles are cut by the phrase."""
     return np.where(ids < SIDE, 0, np.frexp((ids // SIDE).astype(np.float64))[1]).astype(np.int64)
 
 
@@ -83,8 +83,8 @@ def _first(band: int) -> int:
 
 def _shape(tile: int) -> tuple[int, int, int, int, int]:
     """(first phrase, first word, words across, cuts, cells) of a tile number."""
-    row, column, cut = tile >> 16, tile >> 8 & 0xFF, tile & 0xFF
-    cuts = 1 << min(max(row, column), 6)
+    row, column = tile >> 16, tile >> 8 & 0xFF
+    cuts = 1 << min(max(row - 4, column - 4, 0), 6)
     wide, high = max(SIDE, _first(column)), max(SIDE, _first(row))
     return _first(row), _first(column), wide, cuts, -(-high // cuts) * wide
 
@@ -92,7 +92,7 @@ def _shape(tile: int) -> tuple[int, int, int, int, int]:
 def tiles_of(phrases: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Tile number of each cell: bands of both ids, and the cut of the phrase in a thin tile."""
     row, column = _band(phrases), _band(words)
-    cuts = np.left_shift(1, np.minimum(np.maximum(row, column), 6))
+    cuts = np.left_shift(1, np.clip(np.maximum(row, column) - 4, 0, 6))
     return row << 16 | column << 8 | phrases & (cuts - 1)
 
 
@@ -379,7 +379,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5) ->
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     first = stored(rows.mapInArrow(_tokenize, f"{ROWS}, lang string, word string, local long, n long"))
     lines = first.where("kind = 1")
-    salts = max(8, math.isqrt(lines.count()))
+    n_blocks = lines.count()
+    salts = max(1, min(n_blocks // 32, 8 + math.isqrt(n_blocks)))  # a tile's rows, in both rounds of adding up
     counts = stored(first.where("kind = 0").groupBy("lang", "word").agg(F.sum("n").alias("f")))
     sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     words = stored(along(counts.where(F.col("f") >= least), [F.col("f").desc(), F.col("lang").asc(), F.col("word").asc()], "id"))
