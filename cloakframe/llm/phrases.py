@@ -9,10 +9,10 @@ phrases of three words, and so on: a phrase can only be frequent if both its
 parts without the last and without the first word are.
 
 Texts are cut into blocks of whole documents.  Neither the vocabulary nor the
-frequent phrases are broadcast or held by a task: a block states its words
-(later its cells, one row per tile), gets back the ranks of the frequent ones
-by a join, and goes on with numbers only.  Counts of a tile are summed in two
-rounds, so a tile that every block fills is not one task's work.
+frequent phrases are broadcast or held by a task: a block states its words, a
+row per bucket of hashes (later its cells, a row per tile), gets back the ranks
+of the frequent ones, and goes on with numbers only.  Counts of a tile are
+summed in two rounds, so a tile that every block fills is not one task's work.
 
 Defined cases: A-Z is lower-cased; pieces end at . , ; : ! ? and at line ends,
 words at blanks and tabs.  A null text is empty, a null lang is ``und``.  A
@@ -23,19 +23,23 @@ frequent, and for an empty table, there are no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cloakframe.llm.common import raw, slices, stored, text_array
 from cloakframe.llm.mixing import along
 
 SIDE = 512  # side of the first tile
 DENSE = SIDE * SIDE  # cells that are counted by address
-BLOCK = 12 << 20  # bytes of text in a block
+BLOCK = 8 << 20  # bytes of text in a block
+BUCKET_BITS = 8  # words are dealt to buckets by these bits of their hash
 WORD_BITS, PHRASE_BITS = 28, 35
 _END = np.zeros(256, bool)
 _END[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -171,36 +175,61 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, row, piece
 
 
-_FIRST = pa.schema([*_ROWS, ("lang", pa.string()), ("word", pa.string()), ("local", pa.int64()), ("n", pa.int64())])
+_FIRST = pa.schema([*_ROWS, ("c", pa.binary()), ("d", pa.binary()), ("base", pa.int64()), ("lang", pa.string()), ("n", pa.int64())])
+FIRST = f"{ROWS}, c binary, d binary, base long, lang string, n long"
+
+
+def _shelf(langs: list[str], entries: list[str]) -> bytes:
+    """Words of a bucket with their languages, compressed; words hold no line ends."""
+    body = "\n".join([json.dumps(langs), *entries]).encode()
+    return len(body).to_bytes(8, "little") + bytes(pa.compress(body, "zstd", asbytes=True))
+
+
+def _unshelf(body: bytes) -> tuple[list[str], list[str]]:
+    first, *entries = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True).decode().split("\n")
+    return json.loads(first), entries
 
 
 def _tokenize(batches):
-    """Blocks: one row of local word numbers (-1 between pieces), and one row per distinct word and language."""
+    """Blocks: a row of local word numbers (kind 1, -1 between pieces), rows of distinct words by bucket (kind 0), and words per language (kind 2).
+
+    Words are known by 96 bits of a hash of language and word; local numbers
+    follow the order of the hashes, so a bucket's words are numbered in a row.
+    """
     task, block = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         texts, langs = text_array(batch.column("text")), batch.column("lang").dictionary_encode()
-        lang_of = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        lang_of, names = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), langs.dictionary.to_pylist()
         for lo, hi in slices(texts, BLOCK):
             words, row, piece = _split(texts.slice(lo, hi - lo))
             if not len(words):
                 continue
             coded = words.dictionary_encode()
             size = len(coded.dictionary)
-            both = lang_of[lo + row] * size + coded.indices.to_numpy()
-            used, local, n = np.unique(both, return_inverse=True, return_counts=True)
+            used, local, n = np.unique(lang_of[lo + row] * size + coded.indices.to_numpy(), return_inverse=True, return_counts=True)
+            spelled = coded.dictionary.take(pa.array(used % size)).to_pylist()
+            entries = [f"{k}\t{w}" for k, w in zip((used // size).tolist(), spelled, strict=True)]
+            hashes = [xxhash.xxh3_128_intdigest(f"{names[k]}\t{w}") for k, w in zip((used // size).tolist(), spelled, strict=True)]
+            high = np.array([h >> 64 for h in hashes], np.uint64).astype(np.int64)
+            tag = np.array([h & 0x7FFFFFFF for h in hashes], np.int64)
+            order = np.lexsort((tag, high))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            local, n, high, tag = place[local], n[order], high[order], tag[order]
             breaks = piece[1:] != piece[:-1]
             line = np.full(len(local) + int(breaks.sum()), -1, np.int64)
             line[np.arange(len(local)) + np.append(0, np.cumsum(breaks))] = local
-            number, k = task | block, len(used)
+            number = task | block
             block += 1
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array([v], f.type) for v, f in zip((number, 1, None, squeeze(line), None, None, None, None, None), _FIRST, strict=True)]], schema=_FIRST
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, number)), pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()),
-                 langs.dictionary.take(pa.array(used // size)).cast(pa.string()), coded.dictionary.take(pa.array(used % size)), pa.array(np.arange(k)), pa.array(n)],
-                schema=_FIRST,
-            )
+            rows = [(number, 1, None, squeeze(line), None, None, None, None, None, None)]
+            bucket = high >> (64 - BUCKET_BITS)
+            bounds = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+            for at, end in zip(bounds, [*bounds[1:], len(order)], strict=True):
+                shelf = _shelf(names, [entries[k] for k in order[at:end].tolist()])
+                rows.append((number, 0, int(bucket[at]), squeeze(high[at:end], True), squeeze(n[at:end]), squeeze(tag[at:end]), shelf, at, None, None))
+            of = np.bincount(lang_of[lo + row], minlength=len(names))
+            rows += [(number, 2, None, None, None, None, None, None, name, int(k)) for name, k in zip(names, of, strict=True) if k]
+            yield _rows(rows, _FIRST)
 
 
 def _stated(block: int, grams: np.ndarray, words: np.ndarray, size: int) -> list[tuple]:
@@ -215,7 +244,8 @@ def _stated(block: int, grams: np.ndarray, words: np.ndarray, size: int) -> list
         return []
     # Of a run that no phrase covers one place is left, to keep its sides apart.
     keep = cover | np.append(True, cover[:-1])
-    grams, words = grams[keep], words[keep]
+    words = words[keep]
+    grams = words if size == 1 else grams[keep]
     ahead = len(grams) - size
     if ahead <= 0:
         return []
@@ -226,7 +256,7 @@ def _stated(block: int, grams: np.ndarray, words: np.ndarray, size: int) -> list
     tile = tiles_of(phrase, word)
     order = np.argsort(tile, kind="stable")
     bounds = np.flatnonzero(np.append(True, np.diff(tile[order]) != 0))
-    rows = [(block, 1, None, squeeze(grams), squeeze(words))]
+    rows = [(block, 1, None, squeeze(grams), None if grams is words else squeeze(words))]
     for lo, hi in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
         mine = order[lo:hi]
         t = int(tile[mine[0]])
@@ -236,27 +266,25 @@ def _stated(block: int, grams: np.ndarray, words: np.ndarray, size: int) -> list
 
 
 def _name_words(batches):
-    """Blocks with ranked words, from (block, kind 0, local, id) rows and then the block's line."""
+    """Blocks with ranked words, from their answers (kind 0: local numbers, ranks) and then the block's line (kind 1)."""
     block, local, ids = None, [], []
     for batch in batches:
-        blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-        places, numbers, lines = batch.column("local").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False), batch.column("a")
-        bounds = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1]))) if len(blocks) else []
-        for lo, hi in zip(bounds, np.append(bounds[1:], len(blocks)).astype(int), strict=True):
-            if blocks[lo] != block:
-                block, local, ids = blocks[lo], [], []
-            if kinds[lo] == 0:
-                local.append(places[lo:hi].astype(np.int64))
-                ids.append(numbers[lo:hi].astype(np.int64))
+        for b, kind, x, y in zip(*(batch.column(k) for k in ("block", "kind", "a", "b")), strict=True):
+            if b.as_py() != block:
+                block, local, ids = b.as_py(), [], []
+            if kind.as_py() == 0:
+                local.append(unsqueeze(x.as_py()))
+                ids.append(unsqueeze(y.as_py()))
+                continue
+            if not local:
                 continue
-            line = unsqueeze(lines[int(lo)].as_py())
+            line = unsqueeze(x.as_py())
             rank = np.full(int(line.max()) + 2, -1, np.int64)
-            if local:
-                rank[np.concatenate(local)] = np.concatenate(ids)
-            words = rank[line]  # the break, -1, is the last entry
-            if len(words) and words.max() >= 1 << WORD_BITS:
+            rank[np.concatenate(local)] = np.concatenate(ids)
+            words = rank[line]  # a break, -1, is the last entry
+            if words.max() >= 1 << WORD_BITS:
                 raise ValueError("more frequent words than ids")
-            yield _rows(_stated(int(block), words, words, 1))
+            yield _rows(_stated(block, words, words, 1))
 
 
 def _name_phrases(size: int):
@@ -275,7 +303,8 @@ def _name_phrases(size: int):
                     continue
                 if not codes:
                     continue
-                grams, words = unsqueeze(x.as_py()), unsqueeze(y.as_py())
+                grams = unsqueeze(x.as_py())
+                words = unsqueeze(y.as_py()) if y.is_valid else grams
                 known, number = np.concatenate(codes), np.concatenate(ids)
                 order = np.argsort(known)
                 known, number = known[order], number[order]
@@ -374,25 +403,184 @@ def _answer(batches):
         yield _rows(rows)
 
 
+_WORDS = "tile int, a binary, b binary, c binary, d binary"
+_WORDS_SCHEMA = pa.schema([("tile", pa.int32()), *[(k, pa.binary()) for k in "abcd"]])
+
+
+def _add_words(least: int):
+    """Hashes, counts, tags and the least block that has each word, of one bucket after the other, summed; counts under ``least`` go.
+
+    Rows come from blocks (with their number, and no d) or are sums already.
+    """
+
+    def run(batches):
+        tile, parts, held, limit = None, [], 0, 1 << 18
+
+        def merged():
+            high, n, tag, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((tag, high))
+            high, n, tag, owner = high[order], n[order], tag[order], owner[order]
+            first = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (tag[1:] != tag[:-1])))
+            return high[first], np.add.reduceat(n, first), tag[first], np.minimum.reduceat(owner, first)
+
+        def out():
+            high, n, tag, owner = merged()
+            keep = n >= least
+            row = (tile, squeeze(high[keep], True), squeeze(n[keep]), squeeze(tag[keep]), squeeze(owner[keep]))
+            return _rows([row] if keep.any() else [], _WORDS_SCHEMA)
+
+        for batch in batches:
+            for t, block, a, n, c, d in zip(batch.column("tile").to_pylist(), batch.column("block").to_pylist(), *(batch.column(k) for k in "abcd"), strict=True):
+                if t != tile:
+                    if tile is not None:
+                        yield out()
+                    tile, parts, held, limit = t, [], 0, 1 << 18
+                high = unsqueeze(a.as_py())
+                owner = unsqueeze(d.as_py()) if d.is_valid else np.full(len(high), block, np.int64)
+                parts.append((high, unsqueeze(n.as_py()), unsqueeze(c.as_py()), owner))
+                held += len(high)
+                if held >= limit:
+                    parts = [merged()]
+                    held = len(parts[0][0])
+                    limit = max(1 << 18, 2 * held)
+        if tile is not None:
+            yield out()
+
+    return run
+
+
+def _open_words(batches):
+    """One row per frequent word: bucket, hash, tag, f, owner."""
+    for batch in batches:
+        for t, a, n, c, d in zip(batch.column("tile").to_pylist(), *(batch.column(k) for k in "abcd"), strict=True):
+            high = unsqueeze(a.as_py())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(high), t, np.int32)), *[pa.array(unsqueeze(x.as_py())) for x in (a, c, n, d)]], names=["tile", "high", "tag", "f", "owner"]
+            )
+
+
+def _close_words(batches):
+    """Hashes, ranks, tags and owners of a bucket's frequent words, gathered again."""
+    tile, parts = None, []
+
+    def out():
+        high, ids, tag, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return _rows([(tile, squeeze(high, True), squeeze(ids), squeeze(tag), squeeze(owner))], _WORDS_SCHEMA)
+
+    for batch in batches:
+        tiles = batch.column("tile").to_numpy()
+        columns = [batch.column(k).to_numpy() for k in ("high", "id", "tag", "owner")]
+        bounds = np.flatnonzero(np.append(True, tiles[1:] != tiles[:-1])) if len(tiles) else []
+        for lo, hi in zip(bounds, np.append(bounds[1:], len(tiles)).astype(int), strict=True):
+            if tile is not None and tiles[lo] != tile:
+                yield out()
+                parts = []
+            tile = int(tiles[lo])
+            parts.append([c[lo:hi] for c in columns])
+    if tile is not None:
+        yield out()
+
+
+_NAMED = "block long, kind int, a binary, b binary, id long, lang string, word string"
+_NAMED_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("id", pa.int64()), ("lang", pa.string()), ("word", pa.string())])
+
+
+def _answer_words(batches):
+    """Ranks of the frequent words of a block (kind 0), and the spelling of those that it owns (kind 3); a bucket's frequent words stand first."""
+    tile, high, tag, ids, owner = None, None, None, None, None
+    for batch in batches:
+        rows = []
+        for b, kind, t, a, n, c, d, base in zip(*(batch.column(k) for k in ("block", "kind", "tile", "a", "b", "c", "d", "base")), strict=True):
+            t, b = t.as_py(), b.as_py()
+            if kind.as_py() == -1:
+                tile, high, ids, tag, owner = t, *(unsqueeze(x.as_py()) for x in (a, n, c, d))
+                continue
+            if t != tile:
+                continue
+            mine, marks = unsqueeze(a.as_py()), unsqueeze(c.as_py())
+            at = np.searchsorted(high, mine)
+            hit = np.zeros(len(mine), bool)
+            found = np.zeros(len(mine), np.int64)
+            left = np.flatnonzero(at < len(high))
+            while len(left):  # words of one 64-bit hash differ in the tag
+                same = high[at[left]] == mine[left]
+                left = left[same]
+                ok = tag[at[left]] == marks[left]
+                hit[left[ok]], found[left[ok]] = True, at[left[ok]]
+                left = left[~ok]
+                at[left] += 1
+                left = left[at[left] < len(high)]
+            if not hit.any():
+                continue
+            local = np.flatnonzero(hit)
+            rows.append((b, 0, squeeze(local + base.as_py(), True), squeeze(ids[found[local]]), None, None, None))
+            own = local[owner[found[local]] == b]
+            if len(own):
+                langs, entries = _unshelf(d.as_py())
+                for k in own.tolist():
+                    code, word = entries[k].split("\t")
+                    rows.append((b, 3, None, None, int(ids[found[k]]), langs[int(code)], word))
+        yield _rows(rows, _NAMED_SCHEMA)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 64):
+    """Rows here are blocks and tiles, up to megabytes each: few of them go to Python at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n_words, f) of all phrases that occur ``least`` times, and (lang, n) with the words of each language."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    first = stored(rows.mapInArrow(_tokenize, f"{ROWS}, lang string, word string, local long, n long"))
-    lines = first.where("kind = 1")
+    first = stored(rows.mapInArrow(_tokenize, FIRST), "none")
+    sizes = first.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("n"))
+    with _small_batches(docs.sparkSession):
+        levels = _levels(first, least, most_words)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.select("lang", "phrase", "n_words", "f"), sizes
+
+
+def _levels(first: DataFrame, least: int, most_words: int) -> list[DataFrame]:
+    """Frequent words, then frequent phrases of two words and more, with their ranks; all stored."""
+    lines, vocabulary = first.where("kind = 1"), first.where("kind = 0")
     n_blocks = lines.count()
     salts = max(1, min(n_blocks // 32, 8 + math.isqrt(n_blocks)))  # a tile's rows, in both rounds of adding up
-    counts = stored(first.where("kind = 0").groupBy("lang", "word").agg(F.sum("n").alias("f")))
-    sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = stored(along(counts.where(F.col("f") >= least), [F.col("f").desc(), F.col("lang").asc(), F.col("word").asc()], "id"))
+    salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+
+    def added(rows: DataFrame, add, schema: str, columns: list[str]) -> DataFrame:
+        """Rows of a tile added up by salts, then over them."""
+        if salts > 1:
+            dealt = rows.select("tile", salt, *columns).repartition("tile", "salt").sortWithinPartitions("tile", "salt")
+            rows = dealt.select("tile", *columns).mapInArrow(add(1), schema).withColumn("block", F.lit(None).cast("long"))
+        return stored(rows.select("tile", *columns).repartition("tile").sortWithinPartitions("tile").mapInArrow(add(least), schema), "none")
+
+    bare = vocabulary.select("tile", "block", "a", "b", "c", F.lit(None).cast("binary").alias("d"))
+    sums = added(bare, _add_words, _WORDS, ["block", "a", "b", "c", "d"])
+    opened = sums.mapInArrow(_open_words, "tile int, high long, tag long, f long, owner long")
+    ranked = stored(along(opened, [F.col("f").desc(), F.col("high").asc(), F.col("tag").asc()], "id"))
+    shelves = ranked.select("tile", "high", "tag", "id", "owner").repartition("tile").sortWithinPartitions("tile", "high", "tag")
+    asked = stored(shelves.mapInArrow(_close_words, _WORDS), "none").select("tile", "a", "b", "c", "d", F.lit(-1).alias("kind"), every_salt)
+    asked = asked.unionByName(vocabulary.select("block", "kind", "tile", "a", "c", "d", "base", salt), allowMissingColumns=True)
+    asked = asked.repartition("tile", "salt").sortWithinPartitions("tile", "salt", "kind").select("block", "kind", "tile", "a", "b", "c", "d", "base")
+    named = stored(asked.mapInArrow(_answer_words, _NAMED))
+    words = stored(named.where("kind = 3").select("id", "lang", "word").join(ranked.select("id", "f"), "id"))
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "f")]
-    named = first.where("kind = 0").select("block", "lang", "word", "local").join(words.select("lang", "word", "id"), ["lang", "word"])
-    named = named.select("block", F.lit(0).alias("kind"), "local", "id").unionByName(lines.select("block", "kind", "a"), allowMissingColumns=True)
-    blocks = stored(named.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_name_words, ROWS))
+    both = named.where("kind = 0").select("block", "kind", "a", "b").unionByName(lines.select("block", "kind", "a", "b"))
+    blocks = stored(both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_name_words, ROWS), "none")
     for size in range(2, most_words + 1):
         tiles = blocks.where("kind = 2")
-        salted = tiles.select("tile", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), "a", "b")
-        sums = salted.repartition("tile", "salt").sortWithinPartitions("tile", "salt").select("tile", "a", "b").mapInArrow(_add_up(1), _SUMS)
-        sums = stored(sums.repartition("tile").sortWithinPartitions("tile").mapInArrow(_add_up(least), _SUMS))
+        sums = added(tiles, _add_up, _SUMS, ["block", "a", "b"])
+        if sums.isEmpty():
+            break
         opened = sums.mapInArrow(_open_tiles, "tile int, address long, phrase_id long, word_id long, f long")
         found = stored(along(opened, [F.col("f").desc(), F.col("phrase_id").asc(), F.col("word_id").asc()], "id"))
         head = levels[-1].select(F.col("id").alias("phrase_id"), "lang", F.col("phrase").alias("_head"))
@@ -402,15 +590,12 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5) ->
         if size == most_words:
             break
         ranks = found.select("tile", "address", "id").repartition("tile").sortWithinPartitions("tile", "address").mapInArrow(_close_tiles, _SUMS)
-        asked = stored(ranks).select(F.lit(None).cast("long").alias("block"), F.lit(0).alias("kind"), "tile", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        asked = asked.unionByName(tiles.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")))
+        asked = stored(ranks, "none").select(F.lit(None).cast("long").alias("block"), F.lit(0).alias("kind"), "tile", "a", "b", every_salt)
+        asked = asked.unionByName(tiles.withColumn("salt", salt))
         answers = asked.repartition("tile", "salt").sortWithinPartitions("tile", "salt", "kind").select("block", "kind", "tile", "a", "b").mapInArrow(_answer, ROWS)
         both = answers.unionByName(blocks.where("kind = 1"))
-        blocks = stored(both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_name_phrases(size), ROWS))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select("lang", "phrase", "n_words", "f"), sizes
+        blocks = stored(both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_name_phrases(size), ROWS), "none")
+    return levels
 
 
 def collocations(docs: DataFrame, least: int = 100, most_words: int = 5, top: int | None = 2000, covered: int = 100) -> DataFrame:
