@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import constants as K
 from cloakframe.functions.text import severity
+from cloakframe.operators.leakproof import occurrences
 from cloakframe.operators.segments import block_of, running_sum, running_sums
 from cloakframe.operators.spans import ELEMENT_KEY
 from cloakframe.operators.tokens import password_element
 
 OUTGOING_FIELDS = ("text", "placeholder", "value", "href", "nearby_labels", "selector",
                    "parent_class", "parent_id")
-SMALL_VAULT = 200          # values per session that are compared one by one
-GRAM = 8                   # prefix length used to look values up in a text
-MIN_SECRET = 3
-BITMAP_WORDS = 1 << 14     # 64-bit words of the gram filter: 128 KiB, fixed
+MIN_SECRET = 3             # characters; shorter values are no secrets to the proof
 
 
 def outgoing_text(df: DataFrame) -> Column:
@@ -25,90 +23,46 @@ def outgoing_text(df: DataFrame) -> Column:
     return F.concat_ws("\u0001", *fields)
 
 
-def checkable(vault: DataFrame) -> DataFrame:
+def checkable(vault: DataFrame, min_secret: int = MIN_SECRET) -> DataFrame:
     """Vault values long enough to be told apart from ordinary text."""
-    return (vault.where((F.length("value") >= MIN_SECRET) & (F.col("value") != K.HIDDEN_VALUE))
+    return (vault.where((F.length("value") >= min_secret) & (F.col("value") != K.HIDDEN_VALUE))
             .select("session_id", "token", "value"))
 
 
-def leaks(payload: DataFrame, vault: DataFrame, small_vault: int = SMALL_VAULT,
-          key: tuple[str, ...] = ELEMENT_KEY) -> DataFrame:
+def leaks(payload: DataFrame, vault: DataFrame, key: tuple[str, ...] = ELEMENT_KEY,
+          min_secret: int = MIN_SECRET) -> DataFrame:
     """Every (row, token) whose raw value still occurs in the row's outgoing text.
 
-    The search is by substring and exact.  Sessions with few values compare
-    them directly.  For larger vaults, comparing every text with every value is
-    out of the question: values are looked up by their first characters
-    instead.  A text offers its character windows, a fixed-size bitmap of the
-    vault's prefixes drops nearly all of them in place, and the rest meet their
-    values in an equi-join on (session, prefix) before the exact check.
+    The search is by substring and exact, for vaults of any size; a row meets
+    the values of its own session.
     """
-    texts = payload.select(*key, outgoing_text(payload).alias("_out"))
-    secrets = checkable(vault)
-    sizes = secrets.groupBy("session_id").agg(F.count("*").alias("_n"))
-    few = (secrets.join(sizes.where(F.col("_n") <= small_vault), "session_id")
-           .groupBy("session_id")
-           .agg(F.collect_list(F.struct("token", "value")).alias("_secrets")))
-    direct = (texts.join(few, "session_id")
-              .select(*key, F.explode_outer(F.filter(
-                  "_secrets", lambda s: F.contains(F.col("_out"), s["value"]))).alias("s"))
-              .where(F.col("s").isNotNull()).select(*key, "s.token"))
-    many = secrets.join(sizes.where(F.col("_n") > small_vault), "session_id").drop("_n")
-    return direct.unionByName(_leaks_by_prefix(texts, many, key))
-
-
-def _leaks_by_prefix(texts: DataFrame, secrets: DataFrame, key: tuple[str, ...],
-                     all_texts: bool = False) -> DataFrame:
-    width = F.least(F.length("value"), F.lit(GRAM))
-    secrets = secrets.withColumn("_gram", F.left("value", width))
-    bits = BITMAP_WORDS * 64
-
-    def slot(gram: Column) -> Column:
-        return F.pmod(F.xxhash64(gram), F.lit(bits))
-
-    words = (secrets.select(slot(F.col("_gram")).alias("h"))
-             .groupBy(F.shiftright("h", 6).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 AS int))")).alias("b")))
-    dense = secrets.sparkSession.range(BITMAP_WORDS).withColumnRenamed("id", "w").join(words, "w", "left")
-    bitmap = dense.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")))),
-        lambda x: x["b"]).alias("_bitmap"))
-    # One row of BITMAP_WORDS longs, whatever the size of the vault.
-    near = texts
-    if not all_texts:
-        near = near.join(secrets.select("session_id").distinct(), "session_id", "left_semi")
-    near = near.join(F.broadcast(bitmap))
-    windows = []
-    for size in range(MIN_SECRET, GRAM + 1):
-        # A capturing look-ahead lists all windows of one size in linear time.
-        grams = f"regexp_extract_all(_out, r'(?s)(?=(.{{{size}}}))', 1)"
-        windows.append(
-            f"filter({grams}, g -> getbit(element_at(_bitmap, cast(shiftright(pmod(xxhash64(g), "
-            f"{bits}L), 6) AS int) + 1), cast(pmod(xxhash64(g), {bits}L) % 64 AS int)) = 1)")
-    # Outer explodes: an inner one would get a filter that repeats the search.
-    hits = near.select(*key, F.explode_outer(F.expr(
-        f"array_distinct(concat({', '.join(windows)}))")).alias("_gram"))
-    pairs = (hits.where(F.col("_gram").isNotNull()).join(secrets, ["session_id", "_gram"])
-             .select(*key, "token", "value"))
-    return (pairs.join(texts, list(key))
-            .where(F.contains(F.col("_out"), F.col("value")))
-            .select(*key, "token"))
-
-
-def leaks_across_sessions(payload: DataFrame, vault: DataFrame,
-                          key: tuple[str, ...] = ELEMENT_KEY) -> DataFrame:
-    """Values of any session that occur in any outgoing text, by the same lookup."""
-    texts = payload.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.lit(0).alias("session_id"),
-                           outgoing_text(payload).alias("_out"))
-    secrets = checkable(vault).select(
-        F.lit(0).alias("session_id"), "value",
-        F.struct(F.col("session_id").alias("owner_session"), "token").alias("token"))
-    found = _leaks_by_prefix(texts, secrets, (*[f"_k_{k}" for k in key], "session_id"), True)
-    return found.select(*[F.col(f"_k_{k}").alias(k) for k in key], "token.*")
-
-
-def egress_report(payload: DataFrame, vault: DataFrame, small_vault: int = SMALL_VAULT) -> DataFrame:
+    keys = [f"_k_{k}" for k in key]
+    texts = payload.select(F.col("session_id").alias("_scope"), outgoing_text(payload).alias("_out"),
+                           *[F.col(k).alias(f"_k_{k}") for k in key])
+    secrets = checkable(vault, min_secret).select(
+        F.col("session_id").alias("_scope"), F.col("value").alias("_value"), "token")
+    found = occurrences(texts, secrets, keys, ["token"])
+    return found.select(*[F.col(f"_k_{k}").alias(k) for k in key], "token")
+
+
+def leaks_across_sessions(payload: DataFrame, vault: DataFrame, key: tuple[str, ...] = ELEMENT_KEY,
+                          min_secret: int = MIN_SECRET) -> DataFrame:
+    """Values of any session that occur in any outgoing text, by the same search.
+
+    Every text is read once for each part of all values.
+    """
+    keys = [f"_k_{k}" for k in key]
+    texts = payload.select(F.lit("").alias("_scope"), outgoing_text(payload).alias("_out"),
+                           *[F.col(k).alias(f"_k_{k}") for k in key])
+    secrets = checkable(vault, min_secret).select(
+        F.lit("").alias("_scope"), F.col("value").alias("_value"), F.col("session_id").alias("owner_session"), "token")
+    found = occurrences(texts, secrets, keys, ["owner_session", "token"])
+    return found.select(*[F.col(f"_k_{k}").alias(k) for k in key], "owner_session", "token")
+
+
+def egress_report(payload: DataFrame, vault: DataFrame, min_secret: int = MIN_SECRET) -> DataFrame:
     """Per snapshot: how many tokens leaked, which, and whether it may leave."""
-    found = (leaks(payload, vault, small_vault)
+    found = (leaks(payload, vault, min_secret=min_secret)
              .groupBy("session_id", "step_no")
              .agg(F.sort_array(F.collect_set("token")).alias("leaked_tokens")))
     snapshots = payload.select("session_id", "step_no").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.operators.detect import CONTEXT_COLUMNS, scan_elements
@@ -84,3 +84,39 @@ def incremental_spans(elements: DataFrame, scan=scan_elements) -> DataFrame:
         found.select("session_id", "element_id", "_version", "spans"),
         ["session_id", "element_id", "_version"])
     return explode_spans(reused, tuple(keys))
+
+
+def mark_versions(elements: DataFrame, known: DataFrame) -> DataFrame:
+    """``elements`` with ``change``, ``fingerprint``, ``version`` and ``known_spans``.
+
+    An element is compared with its row before, in this table or else in
+    ``known`` (session_id, element_id, fingerprint, spans).  ``version`` is the
+    place (step_no, element_pos) of the row whose content it still has; null if
+    that lies in ``known``, whose spans are then in ``known_spans``.
+    """
+    keys = ("session_id", "step_no", "element_pos", "element_id")
+    watched = [c for c in elements.columns if c not in keys]
+    history = Window.partitionBy("session_id", "element_id").orderBy("step_no", "element_pos")
+    earlier = known.select("session_id", "element_id", F.col("fingerprint").alias("_known"), F.col("spans").alias("known_spans"))
+    rows = elements.withColumn("fingerprint", F.sha2(F.to_json(F.struct(*watched)), 256))
+    rows = rows.join(earlier, ["session_id", "element_id"], "left")
+    before = F.coalesce(F.lag("fingerprint").over(history), F.col("_known"))
+    rows = rows.withColumn("change", F.when(before.isNull(), "new").when(before == F.col("fingerprint"), "unchanged").otherwise("modified"))
+    place = F.when(F.col("change") != "unchanged", F.struct("step_no", "element_pos"))
+    return rows.withColumn("version", F.last(place, ignorenulls=True).over(
+        history.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_known")
+
+
+def scan_versions(marked: DataFrame, columns: list[str], scan=scan_elements) -> DataFrame:
+    """(session_id, step_no, element_pos, element_id, spans) of the new and modified rows of a marked table: all that is scanned."""
+    fresh = marked.where(F.col("change") != "unchanged").select(*columns)
+    return scan(fresh).select("session_id", "step_no", "element_pos", "element_id", F.col("spans").cast(f"array<{SPAN}>").alias("spans"))
+
+
+def version_spans(marked: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Span rows of all rows of a marked table: scanned ones, those of an earlier row, or known ones."""
+    keys = ["session_id", "step_no", "element_pos", "element_id"]
+    found = scanned.select("session_id", "element_id", F.struct("step_no", "element_pos").alias("version"), "spans")
+    repeated = marked.where(F.col("version").isNotNull()).select(*keys, "version").join(found, ["session_id", "element_id", "version"])
+    kept = marked.where(F.col("version").isNull()).select(*keys, F.col("known_spans").alias("spans"))
+    return explode_spans(repeated.select(*keys, "spans").unionByName(kept), tuple(keys))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import constants as K
 from cloakframe.functions.risk import risk_level, risk_reason
-from cloakframe.operators.segments import fit_segment, last_known
+from cloakframe.operators.segments import carry, fit_segment
 from cloakframe.schema import PLAN_STEP
+from cloakframe.session import materialize
 
 
 def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -34,10 +35,12 @@ def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:
     is_object = F.coalesce(F.startswith("_kind", F.lit("OBJECT")), F.lit(False))
     code = (F.when(~is_object, "INVALID_JSON")
             .when(~(known & session_ok & stamp_ok & payload_ok), "INVALID_ENVELOPE"))
-    return parts.select(
-        *carried, text["type"].alias("type"), text["session_id"].alias("session_id"),
+    parsed = F.struct(
+        text["type"].alias("type"), text["session_id"].alias("session_id"),
         stamp.alias("client_timestamp"), F.coalesce(text["payload"], F.lit("{}")).alias("payload"),
         code.alias("code"))
+    # A filter on the code stays above the generator, so it does not parse again.
+    return parts.select(*carried, F.explode_outer(F.array(parsed)).alias("_m")).select(*carried, "_m.*")
 
 
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,19 +62,17 @@ def goal_for_plan(messages: DataFrame, order: tuple[str, ...] = ("ts", "seq"),
     consumed by the first trigger after it in its session, so a trigger gets
     the last goal only if no other trigger came in between.
     """
+    messages = materialize(messages)
     segment = segment if segment is not None else fit_segment(messages, ["session_id"], order[0])
-    stamped = messages.withColumn(
-        "_goal", F.when(F.col("goal").isNotNull(), F.struct(*order, "goal")))
-    known = last_known(stamped, ["session_id"], list(order), segment, F.col("_goal"), "_last_goal")
-    known = known.withColumn("_trig", F.when(F.col("triggers_plan"), F.struct(*order)))
-    known = last_known(known, ["session_id"], list(order), segment, F.col("_trig"), "_last_trigger",
-                       inclusive=False)
+    known = carry(messages, ["session_id"], list(order), segment,
+                  last={"_last_goal": F.when(F.col("goal").isNotNull(), F.struct(*order, "goal"))},
+                  before={"_last_trigger": F.when(F.col("triggers_plan"), F.struct(*order))})
     goal_at = F.struct(*[F.col(f"_last_goal.{o}") for o in order])
     # A trigger that itself carries a goal stores it first, then consumes it.
     fresh = F.col("_last_trigger").isNull() | (F.col("_last_trigger") < goal_at)
     return (known.where("triggers_plan")
             .withColumn("goal", F.when(F.coalesce(fresh, F.lit(False)), F.col("_last_goal.goal")))
-            .drop("_goal", "_last_goal", "_trig", "_last_trigger", "triggers_plan"))
+            .drop("_last_goal", "_last_trigger", "triggers_plan"))
 
 
 def normalize_steps(plans: DataFrame, steps: str = "steps") -> DataFrame:

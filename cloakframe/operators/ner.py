@@ -112,15 +112,23 @@ def dedupe_spans(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataF
     """Drop repeats from overlapping chunks, keeping the surer one.
 
     Compared with the last kept span: same type, start not before it, end at
-    most five characters past it.
+    most five characters past it.  A span of another type than the one before
+    it, or that ends more than five characters past all before it, is kept
+    whatever came before: there the line of spans is cut, and the pieces are
+    folded each on its own.
     """
-    span = F.struct("start", "end", "type", "value", "confidence")
-    fold = """aggregate(slice(l, 2, greatest(size(l) - 1, 0)),
-        named_struct('out', cast(array() AS array<struct<start:int,`end`:int,type:string,value:string,confidence:double>>), 'last', l[0]),
-        (a, x) -> if(x.start >= a.last.start AND x.`end` <= a.last.`end` + 5 AND x.type = a.last.type,
+    order = ["start", "end", "type", "value", "confidence"]
+    line = Window.partitionBy(*keys).orderBy(*order)
+    reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    goes_on = (F.col("type") == F.lag("type").over(line)) & (F.col("end") <= reach + 5)
+    pieces = (spans.select(*keys, *order).withColumn("_opens", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+              .withColumn("_piece", F.sum("_opens").over(line.rowsBetween(Window.unboundedPreceding, 0))))
+    cast = "array<struct<start:int,`end`:int,type:string,value:string,confidence:double>>"
+    fold = f"""aggregate(slice(l, 2, greatest(size(l) - 1, 0)),
+        named_struct('out', cast(array() AS {cast}), 'last', l[0]),
+        (a, x) -> if(x.`end` <= a.last.`end` + 5,
             named_struct('out', a.out, 'last', if(x.confidence > a.last.confidence, x, a.last)),
             named_struct('out', concat(a.out, array(a.last)), 'last', x)),
         a -> concat(a.out, array(a.last)))"""
-    cast = "array<struct<start:int,`end`:int,type:string,value:string,confidence:double>>"
-    return (spans.groupBy(*keys).agg(F.array_sort(F.collect_list(span)).cast(cast).alias("l"))
+    return (pieces.groupBy(*keys, "_piece").agg(F.array_sort(F.collect_list(F.struct(*order))).cast(cast).alias("l"))
             .select(*keys, F.explode_outer(F.expr(fold)).alias("s")).select(*keys, "s.*"))

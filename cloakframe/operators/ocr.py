@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions.geometry import box, merged_box
+from cloakframe.operators.intervals import overlap_join
 
 MIN_WORD_CONFIDENCE = 40
 FORM_REGIONS = ("auth_card", "form_area", "profile_section")
@@ -36,9 +37,8 @@ def pii_regions(spans: DataFrame, lines: DataFrame, words: DataFrame) -> DataFra
     """
     placed = line_offsets(lines).select(
         "image_id", "line_no", "line_start", "line_end", "x", "y", "w", "h")
-    crossing = (F.col("start") < F.col("line_end")) & (F.col("end") > F.col("line_start"))
     key = ["image_id", "start", "end", "type", "value"]
-    on_lines = (spans.select(*key).join(placed, "image_id").where(crossing)
+    on_lines = (overlap_join(spans.select(*key), placed, ["image_id"], ("start", "end"), ("line_start", "line_end"))
                 .groupBy(*key).agg(F.count("*").alias("n_lines"), F.min("line_no").alias("line_no"),
                                    merged_box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("line_box")))
     boxes = words.select("image_id", "line_no", F.lower("text").alias("_word"),

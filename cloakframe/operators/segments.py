@@ -84,17 +84,7 @@ def _prior(group: Sequence[str]) -> Window:
 def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], segment: Column,
                  amounts: dict[str, Column]) -> DataFrame:
     """Inclusive running sums along ``order`` within each group, all in one pass."""
-    names = list(amounts)
-    df = df.withColumn("_seg", segment).withColumns({f"_a_{n}": c for n, c in amounts.items()})
-    local = (Window.partitionBy(*group, "_seg").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carried = df.groupBy(*group, "_seg").agg(*[F.sum(f"_a_{n}").alias(f"_t_{n}") for n in names])
-    carried = carried.select(*group, "_seg", *[
-        F.coalesce(F.sum(f"_t_{n}").over(_prior(group)), F.lit(0)).alias(f"_c_{n}") for n in names])
-    summed = df.withColumns({f"_s_{n}": F.sum(f"_a_{n}").over(local) for n in names})
-    return (summed.join(carried, [*group, "_seg"])
-            .withColumns({n: F.coalesce(f"_s_{n}", F.lit(0)) + F.col(f"_c_{n}") for n in names})
-            .drop("_seg", *[f"_{k}_{n}" for k in "asc" for n in names]))
+    return carry(df, group, order, segment, sums=amounts)
 
 
 def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], segment: Column,
@@ -103,21 +93,38 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], segme
     return running_sums(df, group, order, segment, {out: amount})
 
 
+def carry(df: DataFrame, group: Sequence[str], order: Sequence[str], segment: Column, last: dict[str, Column] | None = None,
+          before: dict[str, Column] | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Several values along ``order`` of each group, in one shuffle with one table of segments.
+
+    ``last``: the last non-null value at or before each row; ``before``: the
+    last non-null value of earlier rows; ``sums``: inclusive running sums.
+    ``df`` is read twice, once for the table of segments.
+    """
+    last, before, sums = last or {}, before or {}, sums or {}
+    known = {**last, **before}
+    df = df.withColumn("_seg", segment).withColumns({f"_v_{n}": c for n, c in {**known, **sums}.items()})
+    local = Window.partitionBy(*group, "_seg").orderBy(*order)
+    upto, earlier = (local.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
+    at = _order_key(order)
+    totals = df.groupBy(*group, "_seg").agg(
+        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in known],
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    carried = totals.select(
+        *group, "_seg", *[F.last(f"_t_{n}", ignorenulls=True).over(_prior(group)).alias(f"_c_{n}") for n in known],
+        *[F.coalesce(F.sum(f"_t_{n}").over(_prior(group)), F.lit(0)).alias(f"_c_{n}") for n in sums])
+    inside = {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(upto if n in last else earlier) for n in known}
+    inside |= {f"_l_{n}": F.sum(f"_v_{n}").over(upto) for n in sums}
+    out = df.withColumns(inside).join(carried, [*group, "_seg"])
+    out = out.withColumns({n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in known} | {
+        n: F.coalesce(f"_l_{n}", F.lit(0)) + F.col(f"_c_{n}") for n in sums})
+    return out.drop("_seg", *[f"_{k}_{n}" for k in "vlc" for n in {**known, **sums}])
+
+
 def last_known(df: DataFrame, group: Sequence[str], order: Sequence[str], segment: Column,
                value: Column, out: str, inclusive: bool = True) -> DataFrame:
     """Last non-null ``value`` at or before each row (an as-of lookup).
 
     With ``inclusive=False`` the row's own value does not count.
     """
-    df = df.withColumn("_seg", segment).withColumn("_value", value)
-    upper = Window.currentRow if inclusive else -1
-    local = (Window.partitionBy(*group, "_seg").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, upper))
-    known = F.when(F.col("_value").isNotNull(), _order_key(order))
-    carried = (df.groupBy(*group, "_seg").agg(F.max_by("_value", known).alias("_last"))
-               .withColumn("_carry", F.last("_last", ignorenulls=True).over(_prior(group)))
-               .drop("_last"))
-    return (df.withColumn("_local", F.last("_value", ignorenulls=True).over(local))
-            .join(carried, [*group, "_seg"])
-            .withColumn(out, F.coalesce("_local", "_carry"))
-            .drop("_seg", "_value", "_local", "_carry"))
+    return carry(df, group, order, segment, **{"last" if inclusive else "before": {out: value}})

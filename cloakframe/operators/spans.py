@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakframe.operators.intervals import overlap_join
 from cloakframe.schema import SPAN
 
 ELEMENT_KEY = ("session_id", "step_no", "element_pos")
@@ -32,16 +33,7 @@ _MERGE = f"""aggregate(extra, coalesce(base, {_EMPTY}), (kept, x) ->
             WHEN i = array_position(transform(kept, j -> x.start < j.`end` AND x.`end` > j.start), true) - 1
                  AND x.confidence > k.confidence THEN x ELSE k END)
     ELSE concat(kept, array(x)) END)"""
-
-
-def merge_span_arrays(df: DataFrame, base: str, extra: str, out: str = "spans") -> DataFrame:
-    """Merge two span arrays of one field; overlaps keep the surer span."""
-    carried = [c for c in df.columns if c not in (base, extra, out)]
-    merged = df.select(*carried, F.expr(f"coalesce({base}, {_EMPTY})").alias("base"),
-                       F.expr(f"coalesce({extra}, {_EMPTY})").alias("extra"))
-    ordered = (f"array_sort({_MERGE}, (x, y) -> CASE WHEN x.start <> y.start "
-               "THEN x.start - y.start ELSE x.`end` - y.`end` END)")
-    return merged.select(*carried, F.expr(ordered).alias(out))
+_PARTS = ("field", "type", "value", "start", "end", "confidence", "method")
 
 
 def merge_span_tables(base: DataFrame, extra: DataFrame,
@@ -49,19 +41,31 @@ def merge_span_tables(base: DataFrame, extra: DataFrame,
     """Combine pattern spans with spans from another detector, per field.
 
     Both sides are span rows; the result has one row per field with the merged
-    array.  Fields are joined on their own key, so offsets of different fields
-    are never compared.
+    array, ordered by place.  The sorted spans of both sides are cut wherever
+    no earlier span reaches on; only spans of one such stretch can overlap, and
+    only they are compared.
     """
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        parts = ["field", "type", "value", "start", "end", "confidence", "method"]
-        span = F.struct(*[F.col(p) for p in parts])
-        listed = F.array_sort(F.collect_list(F.struct(F.col("start"), F.col("end"),
-                                                      F.col("type"), span.alias("s"))))
-        return (df.groupBy(*keys).agg(listed.alias("l"))
-                .select(*keys, F.expr(f"cast(transform(l, x -> x.s) AS array<{SPAN}>)").alias(name)))
-
-    joined = packed(base, "_base").join(packed(extra, "_extra"), list(keys), "full_outer")
-    return merge_span_arrays(joined, "_base", "_extra")
+    def rows(df: DataFrame, side: int) -> DataFrame:
+        return df.select(*keys, F.lit(side).alias("_side"), F.struct(*[F.col(p) for p in _PARTS]).cast(SPAN).alias("s"))
+
+    order = [F.col("s.start"), F.col("s.end"), F.col("s.type"), F.col("_side")]
+    line = Window.partitionBy(*keys).orderBy(*order)
+    reach = F.max("s.end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    both = rows(base, 0).unionByName(rows(extra, 1))
+    both = both.withColumn("_opens", F.when(reach.isNull() | (F.col("s.start") >= reach), 1).otherwise(0))
+    both = both.withColumn("_stretch", F.sum("_opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def listed(side: int, name: str) -> Column:
+        item = F.when(F.col("_side") == side, F.struct("s.start", "s.end", "s.type", "s"))
+        return F.array_sort(F.collect_list(item)).alias(name)
+
+    packed = both.groupBy(*keys, "_stretch").agg(listed(0, "_base"), listed(1, "_extra"))
+    packed = packed.select(*keys, "_stretch", *[F.expr(f"cast(transform(_{n}, x -> x.s) AS array<{SPAN}>)").alias(n) for n in ("base", "extra")])
+    ordered = (f"array_sort({_MERGE}, (x, y) -> CASE WHEN x.start <> y.start "
+               "THEN x.start - y.start ELSE x.`end` - y.`end` END)")
+    merged = packed.select(*keys, "_stretch", F.expr(ordered).alias("m"))
+    stretches = F.array_sort(F.collect_list(F.struct("_stretch", "m")))
+    return merged.groupBy(*keys).agg(F.flatten(F.transform(stretches, lambda x: x["m"])).alias("spans"))
 
 
 def span_density(spans: DataFrame, by: tuple[str, ...] = ("type", "method")) -> DataFrame:
@@ -70,5 +74,4 @@ def span_density(spans: DataFrame, by: tuple[str, ...] = ("type", "method")) ->
 
 def spans_on_lines(spans: DataFrame, lines: DataFrame, key: str = "image_id") -> DataFrame:
     """Spans with every text line they cross: equal image, overlapping offsets."""
-    crossing = (F.col("start") < F.col("line_end")) & (F.col("end") > F.col("line_start"))
-    return spans.join(lines, key).where(crossing)
+    return overlap_join(spans, lines, [key], ("start", "end"), ("line_start", "line_end"))

@@ -19,6 +19,7 @@ from cloakframe.functions import constants as K
 from cloakframe.functions.sqltext import in_list, quoted
 from cloakframe.operators.detect import let
 from cloakframe.operators.segments import fit_segment, last_known
+from cloakframe.session import materialize
 
 STATES = tuple(K.STEP_TRANSITIONS)
 STEP_OPS = ("run", "success", "fail", "block", "retry", "fallback", "approve", "deny", "skip")
@@ -96,6 +97,7 @@ def run_steps(events: DataFrame, segment: Column | None = None,
     session; by default it is fitted to the busiest session.  Only steps with
     more than ``step_limit`` events are cut.
     """
+    events = materialize(events.select("session_id", "step_id", "ts", "seq", "op", "error", "error_code"))
     segment = segment if segment is not None else fit_segment(events, ["session_id"])
     events = events.withColumn("at", F.struct("ts", F.col("seq").cast("bigint").alias("seq")))
     stop_at = F.when(F.col("op") == "stop", F.col("at"))
@@ -199,13 +201,10 @@ def retry_schedule(steps: DataFrame, timeout: str = "timeout_ms") -> DataFrame:
     The wait before attempt n+1 must end before the timeout, so the number of
     attempts follows from the timeout and rows are generated in place.
     """
-    # 300, 900, 2100, then 2000 ms more for every further attempt
-    limit = F.expr(f"cast(greatest(4, ceil({timeout} / 2000.0) + 4) AS int)")
-    waits = F.expr("transform(sequence(1, _max), n -> cast(least(300 * pow(2, n - 1), 2000) AS int))")
-    rows = (steps.withColumn("_max", limit).withColumn("_w", waits)
-            .withColumn("_cum", F.expr(
-                "transform(sequence(1, _max), n -> aggregate(slice(_w, 1, n), 0, (a, w) -> a + w))"))
-            .withColumn("_plan", F.expr(
-                f"filter(transform(_w, (w, i) -> named_struct('attempt', i + 1, 'backoff_ms', w, "
-                f"'elapsed_ms', _cum[i])), r -> r.elapsed_ms < {timeout})")))
-    return rows.select(*steps.columns, F.explode("_plan").alias("r")).select(*steps.columns, "r.*")
+    # Waits of 300, 600, 1200 and then 2000 ms end at 300 * (2^n - 1), and from the third on 2000 ms apart.
+    count = F.expr(f"cast(CASE WHEN {timeout} <= 2100 THEN 3 ELSE 3 + ceil(({timeout} - 2100) / 2000.0) END AS int)")
+    attempts = F.explode(F.sequence(F.lit(1), count)).alias("attempt")
+    elapsed = F.expr("cast(CASE WHEN attempt <= 3 THEN 300 * (pow(2, attempt) - 1) ELSE 2100 + 2000 * (attempt - 3) END AS int)")
+    rows = steps.select(*steps.columns, attempts).withColumn("elapsed_ms", elapsed)
+    return rows.where(F.col("elapsed_ms") < F.col(timeout)).select(
+        *steps.columns, "attempt", backoff_ms(F.col("attempt")).alias("backoff_ms"), "elapsed_ms")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.operators.intervals import points_in_boxes
+from cloakframe.operators.leakproof import occurrences
+
 
 def resolve_targets(steps: DataFrame, elements: DataFrame) -> DataFrame:
     """Element of each step: by selector, else by text, else by point.
 
     Each rule takes the first element in document order, the point rule the
-    last one (nothing else tells what lies on top).  Selectors are an equi-join;
-    only steps left over are compared with the elements of their own page.
+    last one (nothing else tells what lies on top).  Selectors are an equi-join.
+    Texts are found by the search for values in texts, page by page, points by
+    a grid; no step is compared with all elements of its page.
     """
     snap = ["session_id", "step_no"]
     e = elements.select(
@@ -23,16 +27,21 @@ def resolve_targets(steps: DataFrame, elements: DataFrame) -> DataFrame:
                    .groupBy(*ids).agg(F.min_by(found, "element_pos").alias("_m1")))
     rest = steps.select(*ids, "target_text", "target_x", "target_y").join(by_selector, ids, "left_anti")
     rest = rest.where((F.col("target_text") != "") | F.col("target_x").isNotNull())
-    c = F.col("_c")
-    by_text = (F.col("target_text") != "") & F.contains(F.trim("_text"), F.col("target_text"))
-    by_point = ((F.size(c) == 4) & F.col("target_x").between(c[0], c[0] + c[2])
-                & F.col("target_y").between(c[1], c[1] + c[3]))
-    rule = F.when(by_text, 2).when(by_point, 3)
-    rank = F.struct(rule.alias("rule"), F.when(rule == 3, -F.col("element_pos"))
-                    .otherwise(F.col("element_pos")).alias("pos"))
-    by_sight = (rest.join(e.drop("target_selector"), snap).withColumn("_rank", rank)
-                .where(F.col("_rank.rule").isNotNull()).groupBy(*ids)
-                .agg(F.min_by(F.struct("element_id", "_text", "_value", "_rank.rule"), "_rank").alias("_m2")))
+    page = F.concat_ws("\u0001", F.col("session_id"), F.col("step_no").cast("string"))
+    seen = F.struct("element_id", "_text", "_value")
+    texts = e.where(F.col("_text").isNotNull()).select(
+        page.alias("_scope"), F.trim("_text").alias("_out"), F.col("element_pos").alias("_pos"), seen.alias("_seen"))
+    wanted = rest.where(F.col("target_text") != "").select(page.alias("_scope"), "target_text").distinct()
+    shown = occurrences(texts, wanted.select("_scope", F.col("target_text").alias("_value"), "_scope", "target_text").toDF("_scope", "_value", "_page", "target_text"),
+                        ["_pos", "_seen"], ["_page", "target_text"])
+    by_text = (shown.groupBy("_page", "target_text").agg(F.min_by("_seen", "_pos").alias("_m2"))
+               .join(rest.select(*ids, "target_text", page.alias("_page")), ["_page", "target_text"]).select(*ids, "_m2"))
+    boxed = e.where(F.size("_c") == 4).select(*snap, "element_pos", seen.alias("_seen"), *[F.col("_c")[i].alias(f"_b{i}") for i in range(4)])
+    aimed = rest.where(F.col("target_x").isNotNull()).select(*ids, "target_x", "target_y").join(by_text.select(*ids), ids, "left_anti")
+    by_point = (points_in_boxes(aimed, boxed, snap, ("target_x", "target_y"), ("_b0", "_b1", "_b2", "_b3"))
+                .groupBy(*ids).agg(F.max_by("_seen", "element_pos").alias("_m3")))
+    by_sight = by_text.select(*ids, F.struct("_m2.*", F.lit(2).alias("rule")).alias("_m2")).unionByName(
+        by_point.select(*ids, F.struct("_m3.*", F.lit(3).alias("rule")).alias("_m2")))
     out = steps.join(by_selector, ids, "left").join(by_sight, ids, "left")
 
     def pick(name: str) -> Column:

@@ -710,6 +710,42 @@ ORACLES["map_merge"] = "SELECT event_id, event_type AS k, CAST(event_id AS STRIN
 # --- streams -------------------------------------------------------------------------------------------------------------------------------
 
 ORACLES["stream_redact"] = f"{WR}{DOC_REDACTED} SELECT session_id, step_no, text FROM redacted"
+# A reset at step 3 of every fourth conversation: what follows is another session to the vault.
+_TURN_ELEMENTS = f"""turns_ AS MATERIALIZED (SELECT concat(conv_id, '|', CASE WHEN conv_id % 4 = 0 AND {synth.TURN_STEP} >= 3 THEN 1 ELSE 0 END) AS session_id,
+    {synth.TURN_STEP} AS step_no, CAST(turn % 2 AS INT) AS element_pos, role AS element_id, {synth.TURN_TEXT} AS text
+    FROM conversations CROSS JOIN (VALUES (0), (1)) r(again))"""
+_PLACE = ["session_id", "step_no", "element_pos", "element_id"]
+_TURN_VAULT = f"{_TURN_ELEMENTS}, " + detect(f"SELECT session_id, step_no, element_pos, element_id, 'text' AS field, {clean('text')} AS content, {NO_CONTEXT} FROM turns_", _PLACE) + (
+    ",\nspans AS (SELECT * FROM found),\n" + vault("spans", "step_no"))
+_EK = "concat(session_id, '/', step_no, '/', element_pos) AS ek"
+ORACLES["stream_turns"] = f"{WR}{_TURN_VAULT}, keyed AS (SELECT *, {_EK} FROM real), els AS (SELECT *, {_EK} FROM turns_),\n" + redaction("els", ["text"]) + (
+    " SELECT split_part(e.session_id, '|', 1) AS session_id, e.step_no, e.element_id, CAST(e.element_pos AS BIGINT) AS element_pos, f.body AS text FROM els e JOIN f_text f USING (ek)")
+ORACLES["stream_vault"] = f"""WITH {_TURN_VAULT} SELECT split_part(session_id, '|', 1) AS session_id, token, type, value, token_no, first_step FROM vault
+    WHERE split_part(session_id, '|', 2) = CASE WHEN CAST(split_part(session_id, '|', 1) AS BIGINT) % 4 = 0 THEN '1' ELSE '0' END"""
+ORACLES["stream_scans"] = f"""WITH {_TURN_ELEMENTS}, seen AS (SELECT *, lag(text) OVER w AS before, row_number() OVER w AS n FROM turns_
+    WINDOW w AS (PARTITION BY session_id, element_id ORDER BY step_no, element_pos))
+    SELECT split_part(session_id, '|', 1) AS session_id, step_no, count(*) AS total, count(*) FILTER (n = 1) AS new,
+    count(*) FILTER (n > 1 AND text <> before) AS modified, count(*) FILTER (n > 1 AND text = before) AS unchanged,
+    count(*) FILTER (n = 1 OR text <> before) AS scanned FROM seen GROUP BY session_id, step_no"""
+_EVENTS = f"({derived('events', synth.STEP_EVENTS)})"
+_OUTCOMES = """ SELECT split_part(f.session_id, '|', 1) AS session_id, CAST(f.step_id AS BIGINT) AS step_id, o.seq, o.op, f.state, CAST(f.attempts AS BIGINT) AS attempts,
+    f.rejected = p.rejected AS accepted, CASE WHEN f.rejected > p.rejected THEN CASE o.op WHEN 'approve' THEN 'INVALID_APPROVAL' ELSE 'INVALID_TRANSITION' END
+        WHEN o.op = 'deny' THEN 'APPROVAL_DENIED' END AS code
+    FROM fold f JOIN own o ON o.session_id = f.session_id AND o.step_id = f.step_id AND o.n = f.n
+    JOIN fold p ON p.session_id = f.session_id AND p.step_id = f.step_id AND p.n = f.n - 1"""
+
+
+def lives(opens: str) -> str:
+    """The step machine over sessions that start over: a new life at every row where ``opens``."""
+    lived = f"""(SELECT * REPLACE (concat(session_id, '|', life) AS session_id) FROM (SELECT *, sum(CASE WHEN {opens} THEN 1 ELSE 0 END)
+        OVER (PARTITION BY session_id ORDER BY ts, seq) AS life FROM (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY ts, seq) AS before
+        FROM {_EVENTS})) WHERE NOT {synth.CLOSES})"""
+    return f"{WR}{STEPS.replace(_EVENTS, lived)}{_OUTCOMES}"
+
+
+ORACLES["stream_steps"] = lives(synth.CLOSES)
+ORACLES["stream_cleanup"] = lives(f"{synth.CLOSES} OR epoch_us(ts) - epoch_us(before) > 86400000000")
+ORACLES["stream_debounce"] = ORACLES["debounce"]
 
 # --- extension points ------------------------------------------------------------------------------------------
 
@@ -719,5 +755,5 @@ ORACLES["sql_functions"] = f"""WITH {PLANS}, digits AS (SELECT *, concat('411111
     SELECT session_id, step_id, level, CASE step_id % 3 WHEN 0 THEN 'SPII' WHEN 1 THEN 'PII' ELSE {q("PII") if "NAME" in K.TIERS["PII"] else q("SPII") if "NAME" in K.TIERS["SPII"] else q("CONTEXTUAL")} END AS category,
     action AS kind, ({_LUHN}) % 10 = 0 AS luhn FROM each_digit"""
 ORACLES["custom_detector"] = """SELECT doc_id, CAST(len(found) AS BIGINT) AS n, CAST(strpos(text, found[1]) - 1 AS BIGINT) AS first_start, found[1] AS first_value
-    FROM (SELECT doc_id, text, regexp_extract_all(text, '[0-9A-Fa-f]{32,}') AS found FROM documents WHERE regexp_matches(text, '[0-9]{4}')) WHERE len(found) > 0"""
+    FROM (SELECT doc_id, text, regexp_extract_all(text, '[0-9A-Fa-f]{32,}') AS found FROM documents) WHERE len(found) > 0"""
 ORACLES["snapshot_source"] = f"WITH {TURNS} SELECT session_id, step_no, element_id, text FROM turns"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions import constants as K
@@ -1178,43 +1178,135 @@ def map_merge(spark, sf_dir):
 
 # --- streams -----------------------------------------------------------------------------------------
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
-
-
 def _stream_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
+_FILES = 4  # files of a batch
+
+
+def _in_batches(df: DataFrame, batch: Column, n: int, root: str) -> DataFrame:
+    """A stream that brings the rows of ``df`` in ``n`` batches, one after the other."""
+    spark = df.sparkSession
+    numbered = materialize(df.withColumn("_batch", batch))
+    for i in range(n):
+        part = numbered.where(F.col("_batch") == i).drop("_batch")
+        part.repartition(_FILES).write.mode("append").parquet(f"{root}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", _FILES).parquet(f"{root}/in")
+
+
+def _thirds(df: DataFrame, column: str) -> Column:
+    """0, 1 or 2 by where a number lies between the least and the greatest of its column."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    return F.least(F.floor((F.col(column) - (low or 0)) * 3 / F.lit(max(1, (high or 0) - (low or 0) + 1))), F.lit(2))
+
+
+def _stateful(spark: SparkSession) -> None:
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _played(df: DataFrame, root: str) -> DataFrame:
+    """The output of a stream that runs until its input is used up."""
+    query_ = (df.writeStream.format("parquet").option("path", f"{root}/out")
+              .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    query_.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/out")
+
+
 @query
 def stream_redact(spark, sf_dir):
-    """Documents through the redaction stream: what it released."""
+    """Documents through the redaction stream in three batches: what it released."""
     from cloakframe.streaming.redaction import RedactionStream
 
     root = _stream_folder(spark)
     flow = RedactionStream(f"{root}/state")
-    elements = privacy.as_elements(_stream(spark, sf_dir, "documents"), "source", "doc_id")
-    flow.writer(elements, f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    elements = document_elements(spark, sf_dir)
+    stream = _in_batches(elements, _thirds(elements, "step_no"), 3, root)
+    flow.writer(stream, f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return flow.released(spark).select("session_id", "step_no", "text")
 
 
+def _turn_stream(spark: SparkSession, sf_dir: str):
+    """Turns in four batches of two steps; every fourth conversation is reset at its step 3, in the middle of a batch."""
+    from cloakframe.streaming.redaction import RedactionStream
+
+    root = _stream_folder(spark)
+    rows = turns(spark, sf_dir).withColumn("control", F.lit(None).cast("string"))
+    ids = rows.select("session_id").distinct().where(F.col("session_id").cast("long") % 4 == 0)
+    resets = ids.select("session_id", F.lit(3).cast("long").alias("step_no"), F.lit("reset").alias("control"))
+    rows = rows.unionByName(resets, allowMissingColumns=True)
+    flow = RedactionStream(f"{root}/state", compact_every=2)
+    stream = _in_batches(rows, F.least(F.floor(F.col("step_no") / 2), F.lit(3)), 4, root)
+    flow.writer(stream, f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return flow
+
+
 @query
-def stream_steps(spark, sf_dir):
-    """Step events through the stateful stream: the outcome of every event."""
+def stream_turns(spark, sf_dir):
+    """Conversations through the redaction stream, with cached spans, resets and compaction between batches."""
+    return _turn_stream(spark, sf_dir).released(spark).select("session_id", "step_no", "element_id", "element_pos", "text")
+
+
+@query
+def stream_scans(spark, sf_dir):
+    """What that stream scanned: the new and modified elements of each snapshot, and no others."""
+    return _turn_stream(spark, sf_dir).scans(spark).select("session_id", "step_no", "total", "new", "modified", "unchanged", "scanned")
+
+
+@query
+def stream_vault(spark, sf_dir):
+    """The vault of the sessions' present epochs, read back over a compacted base and later batches."""
+    return _turn_stream(spark, sf_dir).vault(spark).select("session_id", "token", "type", "value", "token_no", "first_step")
+
+
+def _live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step events of which some close their session."""
+    raw = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = raw.selectExpr(*synth.select_list(synth.STEP_EVENTS)).select("session_id", "step_id", "ts", "seq", "op")
+    return events.withColumn("op", F.when(F.expr(synth.CLOSES), "close").otherwise(F.col("op")))
+
+
+def _step_outcomes(spark: SparkSession, sf_dir: str, idle_ms: int | None) -> DataFrame:
     from cloakframe.streaming.steps import track_steps
 
+    _stateful(spark)
     root = _stream_folder(spark)
-    raw = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    events = raw.selectExpr(*synth.select_list(synth.STEP_EVENTS)).select("session_id", "step_id", "ts", "seq", "op")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = (track_steps(events).writeStream.format("parquet").option("path", f"{root}/out")
-           .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
-    out.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select(
-        "session_id", "step_id", "seq", "op", "state", "attempts", "accepted", "code")
+    events = _live_events(spark, sf_dir)
+    moment = events.withColumn("_at", F.unix_seconds("ts"))
+    stream = _in_batches(moment, _thirds(moment, "_at"), 3, root).drop("_at")
+    out = _played(track_steps(stream, idle_ms=idle_ms), root)
+    return out.where("step_id IS NOT NULL").select("session_id", "step_id", "seq", "op", "state", "attempts", "accepted", "code")
+
+
+@query
+def stream_steps(spark, sf_dir):
+    """Step events, some of which close their session, through the stateful stream: the outcome of every event."""
+    return _step_outcomes(spark, sf_dir, None)
+
+
+@query
+def stream_cleanup(spark, sf_dir):
+    """The same with sessions dropped when nothing comes for a day: their steps start over."""
+    return _step_outcomes(spark, sf_dir, 24 * 3600 * 1000)
+
+
+@query
+def stream_debounce(spark, sf_dir):
+    """Bursts of the event stream, closed by a quiet period and cut at a limit; a last event far ahead settles them all."""
+    from cloakframe.streaming.messages import settled_bursts
+
+    _stateful(spark)
+    root = _stream_folder(spark)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), "ts")
+    rows = rows.withColumn("_at", F.unix_seconds("ts"))
+    batch = _thirds(rows, "_at")
+    last = rows.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(
+        F.lit("\u0001end").alias("session_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(None).cast("long").alias("_at"))
+    rows = rows.unionByName(last).unionByName(last).unionByName(last).unionByName(last)
+    stream = _in_batches(rows, F.when(F.col("_at").isNull(), 3).otherwise(batch), 4, root).drop("_at")
+    out = _played(settled_bursts(stream, 6 * 3600, 24 * 3600, "1 hour"), root)
+    return out.where(F.col("session_id") != "\u0001end").select("session_id", "burst", "piece", "started_at", "last_event_at", "n_events")
 
 
 # --- extension points ----------------------------------------------------------------------------

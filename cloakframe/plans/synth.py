@@ -137,6 +137,9 @@ STEP_EVENTS = {
                    "WHEN 1 THEN 'PAGE_TIMEOUT' ELSE 'AUTH_REQUIRED' END END"),
 }
 
+# Events that close their session.
+CLOSES = "seq % 61 = 7"
+
 MEMORY_LOG = {
     "key": "concat('k', CAST(user_id AS STRING), '_', event_type)",
     "value": "props",

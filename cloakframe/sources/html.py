@@ -194,12 +194,18 @@ def _forms(nodes: list[_Node]) -> Iterator[dict]:
 
 
 def _extract(pages: DataFrame, rows_of, schema: str) -> DataFrame:
+    """Rows of each page; of a page with a fault, those before it, and one more that only has the fault in ``error``."""
+    schema = f"{schema}, error string"
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{"page_id": pid, **row} for pid, html in zip(batch["page_id"], batch["html"])
-                    for row in rows_of(_parse(html)[0])]
+            rows = []
+            for pid, html in zip(batch["page_id"], batch["html"]):
+                nodes, error = _parse(html)
+                rows += [{"page_id": pid, **row} for row in rows_of(nodes)]
+                if error:
+                    rows.append({"page_id": pid, "error": error})
             yield pd.DataFrame(rows, columns=names)
 
     return pages.select("page_id", "html").mapInPandas(run, schema)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from cloakframe.operators.messages import parse_messages, route, split_valid
 
@@ -30,10 +32,83 @@ def fan_out(raw: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]
     return raw.writeStream.foreachBatch(process)
 
 
-def settled_bursts(events: DataFrame, quiet: str = "300 milliseconds",
-                   late: str = "3 seconds", key: str = "session_id") -> DataFrame:
-    """Bursts of change events per key, closed after a quiet period."""
-    return (events.withWatermark("ts", late)
-            .groupBy(key, F.session_window("ts", quiet).alias("w"))
-            .agg(F.count("*").alias("n_events"), F.max("ts").alias("last_event_at"))
-            .select(key, F.col("w.start").alias("started_at"), "last_event_at", "n_events"))
+class BurstProcessor(StatefulProcessor):
+    """Bursts of one key, closed after a quiet period and cut at a hard limit.
+
+    Events wait, as counts per time, until the watermark has passed them, so
+    they are taken in order whatever the order they come in.  One timer is set
+    to the next thing that can happen: an event that becomes safe, the quiet
+    period over, or the limit reached.
+    """
+
+    def __init__(self, quiet_us: int, cap_us: int):
+        self.quiet, self.cap = quiet_us, cap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at bigint", "n bigint")
+        self.open = handle.getValueState("open", "burst bigint, start bigint, last bigint, piece bigint, first bigint, n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = np.concatenate([r["ts"].astype("datetime64[us]").astype("int64").to_numpy() for r in rows])
+        for at, n in zip(*(x.tolist() for x in np.unique(times, return_counts=True)), strict=True):
+            held = self.waiting.getValue((at,))[0] if self.waiting.containsKey((at,)) else 0
+            self.waiting.updateValue((at,), (held + n,))
+        yield self._advance(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _advance(self, key: str, watermark: int) -> pd.DataFrame:
+        waiting = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
+        burst, start, last, piece, first, n = self.open.get() if self.open.exists() else (0, None, None, 0, None, 0)
+        done = []
+
+        def emit():
+            nonlocal n
+            if n:
+                done.append((key, burst, piece, first, last, n))
+            n = 0
+
+        for at, count in waiting:
+            if at >= watermark:
+                break
+            if last is None or at - last > self.quiet:
+                emit()
+                burst, start, piece, first = burst + 1, at, 0, at
+            elif (at - start) // self.cap != piece:
+                emit()
+                piece, first = (at - start) // self.cap, at
+            elif not n:
+                first = at
+            last, n = at, n + count
+            self.waiting.removeKey((at,))
+        if last is not None and (watermark > last + self.quiet or watermark >= start + (piece + 1) * self.cap):
+            emit()
+        if last is not None:
+            self.open.update((burst, start, last, piece, first, n))
+        later = [at for at, _ in waiting if at >= watermark][:1]
+        if n:
+            later.append(min(last + self.quiet, start + (piece + 1) * self.cap))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if later:
+            self.handle.registerTimer(min(later) // 1000 + 1)
+        table = pd.DataFrame(done, columns=["key", "burst", "piece", "started_at", "last_event_at", "n_events"])
+        for name in ("started_at", "last_event_at"):
+            table[name] = pd.to_datetime(table[name], unit="us").astype("datetime64[ns]")
+        return table
+
+    def close(self) -> None:
+        pass
+
+
+def settled_bursts(events: DataFrame, quiet_s: float = 0.3, cap_s: float = 3.0, late: str = "3 seconds",
+                   key: str = "session_id") -> DataFrame:
+    """Bursts of change events per key: closed after a quiet period, cut every ``cap_s`` seconds from their start."""
+    rows = events.select(F.col(key).cast("string").alias("key"), "ts").withWatermark("ts", late)
+    out = rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=BurstProcessor(round(quiet_s * 1e6), round(cap_s * 1e6)),
+        outputStructType="key string, burst bigint, piece bigint, started_at timestamp, last_event_at timestamp, n_events bigint",
+        outputMode="Append", timeMode="EventTime")
+    return out.withColumnRenamed("key", key)

@@ -1,97 +1,240 @@
-"""Step tracking as a stateful stream, one state per session."""
+"""Step tracking as a stateful stream, a batch of events at a time.
+
+A session's steps are dealt to buckets, each with its own state, so a busy
+session is not one task's work; what concerns the whole session (pause, resume,
+stop, close) is sent to every bucket.  An event is a map from what a step may
+be to what it becomes.  The maps of a step's events are composed by doubling,
+for all steps of a bucket together, so the work is a few array operations per
+batch however the events are spread over steps.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cloakframe.functions import constants as K
 
 OUTPUT = ("session_id string, step_id int, ts timestamp, seq bigint, op string, state string, "
-          "attempts int, accepted boolean, code string, next_step_id int")
-_TRANSITIONS = K.STEP_TRANSITIONS
+          "attempts int, accepted boolean, code string")
+BUCKETS = 8
+CONTROLS = ("pause", "resume", "stop", "close")
+STATES = list(K.STEP_TRANSITIONS)
+#: What a step without a record is: in a session that runs, and in one that was stopped.
+ABSENT, ABSENT_STOPPED = len(STATES), len(STATES) + 1
+OPS = ["run", "success", "fail", "block", "retry", "fallback", "approve", "deny", "skip", "plan", "?"]
 _TARGETS = {"run": "RUNNING", "success": "SUCCESS", "fail": "FAILED", "block": "BLOCKED_APPROVAL",
-            "fallback": "HYBRID_FALLBACK", "approve": "RUNNING", "deny": "CANCELLED", "skip": "SKIPPED"}
-
-
-def _target(op: str, state: str, attempts: int, max_retries: int) -> str | None:
-    if op == "retry":
-        return "HYBRID_FALLBACK" if attempts >= max_retries else "RETRYING"
-    if op == "approve" and state != "BLOCKED_APPROVAL":
-        return None
-    return _TARGETS.get(op)
+            "fallback": "HYBRID_FALLBACK", "deny": "CANCELLED", "skip": "SKIPPED"}
+#: What lies between a step's events: nothing, a stop, a close, a close and then a stop.
+NOTHING, STOP, CLOSE, CLOSE_STOP = range(4)
+
+
+class Maps:
+    """Maps over (state, attempts up to the limit), numbered state * width + attempts, per (op, what lies before)."""
+
+    def __init__(self, max_retries: int):
+        self.width = max_retries + 1
+        n = (len(STATES) + 2) * self.width
+        self.between = np.array([[self._between(c, pre) for c in range(n)] for pre in range(4)], np.int16)
+        after = np.zeros((len(OPS), n), np.int16)
+        accepted, ran = np.zeros((len(OPS), n), bool), np.zeros((len(OPS), n), bool)
+        for k, op in enumerate(OPS):
+            for c in range(n):
+                after[k, c], accepted[k, c], ran[k, c] = self._event(op, c, max_retries)
+        pick = lambda table: np.stack([table[:, self.between[pre]] for pre in range(4)], 1).reshape(len(OPS) * 4, n)
+        self.after, self.accepted, self.ran = pick(after), pick(accepted), pick(ran)
+
+    def _between(self, c: int, pre: int) -> int:
+        state, attempts = divmod(c, self.width)
+        if pre in (CLOSE, CLOSE_STOP):
+            state, attempts = ABSENT, 0
+        if pre in (STOP, CLOSE_STOP):
+            if state == ABSENT:
+                state = ABSENT_STOPPED
+            elif state < len(STATES) and STATES[state] in ("PENDING", "RETRYING"):
+                state = STATES.index("CANCELLED")
+        return state * self.width + attempts
+
+    def _event(self, op: str, c: int, max_retries: int) -> tuple[int, bool, bool]:
+        state, attempts = divmod(c, self.width)
+        if op == "plan":
+            return STATES.index("PENDING") * self.width, True, False
+        now = "PENDING" if state == ABSENT else "CANCELLED" if state == ABSENT_STOPPED else STATES[state]
+        target = _TARGETS.get(op)
+        if op == "retry":
+            target = "HYBRID_FALLBACK" if attempts >= max_retries else "RETRYING"
+        elif op == "approve" and now == "BLOCKED_APPROVAL":
+            target = "RUNNING"
+        ok = target in K.STEP_TRANSITIONS[now]
+        ran = ok and target == "RUNNING"
+        return STATES.index(target if ok else now) * self.width + min(attempts + ran, max_retries), ok, ran
+
+
+def fold_events(step: np.ndarray, op: np.ndarray, before: np.ndarray, start: np.ndarray, attempts: np.ndarray, maps: Maps):
+    """Outcome of every event; events are sorted by step, then in order.
+
+    ``step`` numbers the steps from 0, ``before`` is what lies between an event
+    and the one before it; ``start`` and ``attempts`` are per step.  Returns per
+    event the number of (state, attempts), whether it was accepted, and the attempts.
+    """
+    n, code = len(step), op * 4 + before
+    first = np.append(True, step[1:] != step[:-1])
+    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    composed = maps.after[code]
+    d = 1
+    while d < n:
+        far = np.flatnonzero(np.arange(n) - d >= begin)
+        if not len(far):
+            break
+        composed[far] = np.take_along_axis(composed[far], composed[far - d].astype(np.int64), 1)
+        d *= 2
+    after = composed[np.arange(n), start[step]]
+    was = np.where(first, start[step], np.append(0, after[:-1]))
+    ran = maps.ran[code, was]
+    total = np.cumsum(ran)
+    reset = np.maximum.accumulate(np.where((op == OPS.index("plan")) | (before >= CLOSE), np.arange(n), -1))
+    since = np.where(reset >= begin, reset, begin)
+    count = total - (total[since] - ran[since]) + np.where(reset >= begin, 0, attempts[step])
+    return after, maps.accepted[code, was], count
 
 
 class StepProcessor(StatefulProcessor):
-    """Applies events of a session to its steps.
+    """Applies events to the steps of one bucket of a session.
 
     Ops are those of :mod:`cloakframe.operators.steps`, and ``plan`` (register
     a pending step) and ``close`` (drop the session).  An op the state does not
     allow yields a row with ``accepted`` false and a code; nothing is raised.
+    With ``idle_ms`` a session is closed when its events pause for longer; a
+    row with the op ``expire`` tells that, once, by a timer or by the next event.
     """
 
-    def __init__(self, max_retries: int = K.MAX_RETRIES, ttl_ms: int | None = None):
-        self.max_retries, self.ttl_ms = max_retries, ttl_ms
+    def __init__(self, max_retries: int = K.MAX_RETRIES, idle_ms: int | None = None):
+        self.max_retries, self.idle_ms = max_retries, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.steps = handle.getMapState("steps", "step_id int", "state string, attempts int",
-                                        ttlDurationMs=self.ttl_ms)
-        self.flags = handle.getValueState("flags", "paused boolean, stopped boolean",
-                                          ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.maps = Maps(self.max_retries)
+        self.steps = handle.getMapState("steps", "step_id int", "state int, attempts int, stops int")
+        self.flags = handle.getValueState("flags", "stops int, last_us bigint")
+
+    def _clear(self) -> None:
+        self.steps.clear()
+        self.flags.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        paused, stopped = self.flags.get() if self.flags.exists() else (False, False)
-        out = []
-        for e in events.itertuples(index=False):
-            if e.op == "close":
-                self.steps.clear()
-                paused = stopped = False
-                continue
-            if e.op in ("pause", "resume", "stop"):
-                paused, stopped = e.op == "pause", stopped or e.op == "stop"
-                if e.op == "stop":
-                    waiting = [(k, v) for k, v in self.steps.iterator() if v[0] in ("PENDING", "RETRYING")]
-                    for step, record in waiting:
-                        self.steps.updateValue(step, ("CANCELLED", record[1]))
-                out.append((key[0], None, e.ts, e.seq, e.op, None, None, True, None))
-                continue
-            step = int(e.step_id)
-            known = self.steps.containsKey((step,))
-            state, attempts = self.steps.getValue((step,)) if known else ("PENDING", 0)
-            target = "PENDING" if e.op == "plan" else _target(e.op, state, attempts, self.max_retries)
-            ok = e.op == "plan" or target in _TRANSITIONS[state]
-            if ok:
-                attempts = 0 if e.op == "plan" else attempts + (target == "RUNNING")
-                state = target
-            self.steps.updateValue((step,), (state, attempts))
-            code = None if ok else ("INVALID_APPROVAL" if e.op == "approve" else "INVALID_TRANSITION")
-            if ok and e.op == "deny":
-                code = "APPROVAL_DENIED"
-            out.append((key[0], step, e.ts, e.seq, e.op, state, int(attempts), ok, code))
-        self.flags.update((paused, stopped))
-        pending = [] if paused or stopped else [k[0] for k, v in self.steps.iterator() if v[0] == "PENDING"]
-        upcoming = min(pending) if pending else None
-        names = [c.split()[0] for c in OUTPUT.split(", ")]
-        table = pd.DataFrame([(*row, upcoming) for row in out], columns=names)
-        for name in ("step_id", "attempts", "next_step_id"):
-            table[name] = table[name].astype("Int32")
-        yield table
+        events = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable", ignore_index=True)
+        stops, last_us = self.flags.get() if self.flags.exists() else (0, None)
+        n = len(events)
+        at_us = events["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        ops = events["op"].to_numpy()
+        closed = np.full(2 * n + 2, -1)  # places: event g stands at 2g + 1, what expires before it at 2g
+        stopped = closed.copy()
+        expired = []
+        if self.idle_ms is not None:
+            earlier = np.append(at_us[0] if last_us is None else last_us, at_us[:-1])
+            for g in np.flatnonzero(at_us - earlier > self.idle_ms * 1000):
+                closed[2 * g] = 2 * g
+                expired.append(earlier[g] + self.idle_ms * 1000)
+        for name, place in (("close", closed), ("stop", stopped)):
+            g = np.flatnonzero(ops == name)
+            place[2 * g + 1] = 2 * g + 1
+        closed, stopped = np.maximum.accumulate(closed), np.maximum.accumulate(stopped)
+        control = np.isin(ops, CONTROLS)
+        own = np.flatnonzero(~control)
+        columns = {name: [] for name in (c.split()[0] for c in OUTPUT.split(", "))}
+        touched = {}
+        if len(own):
+            ids, numbers = np.unique(events["step_id"].to_numpy()[own].astype(np.int64), return_inverse=True)
+            start, attempts = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for k, step in enumerate(ids.tolist()):
+                if self.steps.containsKey((step,)):
+                    state, attempts[k], seen = self.steps.getValue((step,))
+                    start[k] = self.maps.between[STOP if seen < stops else NOTHING, state * self.maps.width + min(int(attempts[k]), self.max_retries)]
+                else:
+                    start[k] = (ABSENT_STOPPED if stops else ABSENT) * self.maps.width
+            order = np.argsort(numbers, kind="stable")
+            g, step = own[order], numbers[order]
+            place = 2 * g + 1
+            previous = np.where(np.append(True, step[1:] != step[:-1]), -1, np.append(0, place[:-1]))
+
+            def between(place, previous):
+                close = closed[place] > previous
+                stop = stopped[place] > np.where(close, closed[place], previous)
+                return np.where(close, CLOSE, NOTHING) + np.where(stop, STOP, NOTHING)
+
+            op = np.array([OPS.index(o) if o in OPS else OPS.index("?") for o in ops[g]])
+            after, accepted, count = fold_events(step, op, between(place, previous), start, attempts, self.maps)
+            rows_ = events.iloc[g]
+            approve, deny = op == OPS.index("approve"), op == OPS.index("deny")
+            code = np.where(accepted, np.where(deny, "APPROVAL_DENIED", None), np.where(approve, "INVALID_APPROVAL", "INVALID_TRANSITION"))
+            table = {"session_id": rows_["session_id"], "step_id": rows_["step_id"], "ts": rows_["ts"], "seq": rows_["seq"], "op": rows_["op"],
+                     "state": np.array(STATES, object)[after // self.maps.width], "attempts": count, "accepted": accepted, "code": code}
+            for name, values in table.items():
+                columns[name].append(pd.Series(np.asarray(values, object)))
+            last = np.flatnonzero(np.append(step[1:] != step[:-1], True))
+            end = np.full(len(last), 2 * n + 1)
+            final = self.maps.between[between(end, place[last]), after[last]]
+            gone = closed[-1] > place[last]
+            touched = {int(ids[s]): (int(f // self.maps.width), int(a)) for s, f, a, lost in zip(step[last], final, count[last], gone, strict=True) if not lost}
+        if closed[-1] >= 0:
+            self.steps.clear()
+            stops = 0
+        stops += int((np.flatnonzero(ops == "stop") * 2 + 1 > closed[-1]).sum())
+        for step, (state, attempts_now) in touched.items():
+            self.steps.updateValue((step,), (state, attempts_now, stops))
+        self.flags.update((stops, int(max(at_us[-1], last_us if last_us is not None else at_us[-1]))))
+        for g in np.flatnonzero(control & (events["bucket"].to_numpy() == 0)):
+            e = events.iloc[g]
+            for name, value in zip(columns, (e["session_id"], None, e["ts"], e["seq"], e["op"], None, None, True, None), strict=True):
+                columns[name].append(pd.Series([value], dtype=object))
+        yield self._table({name: pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype=object) for name, parts in columns.items()})
+        for us in expired:
+            yield self._expiry(key[0], int(us))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(at_us[-1] // 1000) + self.idle_ms + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        stops, last_us = self.flags.get()
+        self._clear()
+        yield self._expiry(key[0], last_us + self.idle_ms * 1000)
+
+    def _expiry(self, session: str, at_us: int) -> pd.DataFrame:
+        values = (session, None, pd.Timestamp(at_us, unit="us"), None, "expire", None, None, True, None)
+        return self._table({c.split()[0]: pd.Series([v], dtype=object) for c, v in zip(OUTPUT.split(", "), values, strict=True)})
+
+    @staticmethod
+    def _table(columns: dict[str, pd.Series]) -> pd.DataFrame:
+        table = pd.DataFrame(columns)
+        table["ts"] = pd.to_datetime(table["ts"]).astype("datetime64[ns]")
+        for name, kind in (("step_id", "Int32"), ("attempts", "Int32"), ("seq", "Int64"), ("accepted", "boolean")):
+            table[name] = table[name].astype(kind)
+        return table
 
     def close(self) -> None:
         pass
 
 
-def track_steps(events: DataFrame, max_retries: int = K.MAX_RETRIES,
-                ttl_ms: int | None = None) -> DataFrame:
+def track_steps(events: DataFrame, max_retries: int = K.MAX_RETRIES, idle_ms: int | None = None, late: str = "0 seconds",
+                buckets: int = BUCKETS) -> DataFrame:
     """Outcome row per event of a stream (session_id, step_id, ts, seq, op).
 
-    With ``ttl_ms`` idle sessions expire by processing time; such a stream needs
-    a running trigger, as an available-now run would wait for the clock.
+    With ``idle_ms`` a session whose events pause for longer is dropped by
+    event time; its state is then kept as one, because every event of it counts.
     """
-    return events.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=StepProcessor(max_retries, ttl_ms), outputStructType=OUTPUT,
-        outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+    buckets = 1 if idle_ms is not None else buckets
+    events = events.select("session_id", "step_id", "ts", "seq", "op")
+    if idle_ms is not None:
+        events = events.withWatermark("ts", late)
+    everywhere = F.sequence(F.lit(0), F.lit(buckets - 1))
+    where = F.when(F.col("op").isin(*CONTROLS), everywhere).otherwise(F.array(F.pmod(F.col("step_id"), F.lit(buckets))))
+    dealt = events.withColumn("bucket", F.explode(where))
+    return dealt.groupBy("session_id", "bucket").transformWithStateInPandas(
+        statefulProcessor=StepProcessor(max_retries, idle_ms), outputStructType=OUTPUT,
+        outputMode="Append", timeMode="EventTime" if idle_ms is not None else "None")

@@ -93,7 +93,7 @@ def test_round_trip_and_proof_over_random_pages(spark):
     assert (check.n_raw, check.n_redacted, check.n_unmatched, check.n_changed) == (200, 200, 0, 0)
 
 
-def test_prefix_lookup_equals_direct_comparison(spark):
+def test_leak_search_equals_direct_comparison(spark):
     rng = random.Random(5)
     letters = "abé@\n"
     values = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(60)}
@@ -101,15 +101,15 @@ def test_prefix_lookup_equals_direct_comparison(spark):
                                   "session_id string, token string, value string")
     e = elements_of(spark, [(f"s{i % 3}", i, 0, "".join(rng.choice(letters) for _ in range(60))) for i in range(150)])
     key = ["session_id", "step_no", "token"]
-    direct = audit.leaks(e, vault, small_vault=1000).select(*key)
-    lookup = audit.leaks(e, vault, small_vault=0).select(*key)
-    mixed = audit.leaks(e, vault, small_vault=29).select(*key)
+    found = audit.leaks(e, vault).select(*key)
     brute = {(r.session_id, r.step_no, v.token) for r in e.collect() for v in vault.collect()
              if v.session_id == r.session_id and len(v.value) >= 3 and v.value in r.text}
     assert len(brute) > 20
-    for df in (direct, lookup, mixed):
-        rows = [tuple(r) for r in df.collect()]
-        assert len(rows) == len(set(rows)) and set(rows) == brute
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute
+    shorter = {(r.session_id, r.step_no, r.token) for r in audit.leaks(e, vault, min_secret=1).collect()}
+    assert shorter == {(r.session_id, r.step_no, v.token) for r in e.collect() for v in vault.collect()
+                       if v.session_id == r.session_id and v.value in r.text}
     across = audit.leaks_across_sessions(e, vault)
     brute = {(r.step_no, v.token) for r in e.collect() for v in vault.collect() if len(v.value) >= 3 and v.value in r.text}
     assert {(r.step_no, r.token) for r in across.collect()} == brute
