@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cloakframe.session import checkpoint_dir
+from cloakframe.session import checkpoint_dir, remove
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -19,7 +19,15 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`stored` that nothing reads any more: what was made of them is stored itself."""
+    for df in tables:
+        remove(df.sparkSession, df.stored_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

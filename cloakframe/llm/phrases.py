@@ -539,7 +539,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5) ->
     """(lang, phrase, n_words, f) of all phrases that occur ``least`` times, and (lang, n) with the words of each language."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     first = stored(rows.mapInArrow(_tokenize, FIRST), "none")
-    sizes = first.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("n"))
+    sizes = stored(first.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("n")))
     with _small_batches(docs.sparkSession):
         levels = _levels(first, least, most_words)
     out = levels[0]
@@ -549,10 +549,10 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5) ->
 
 
 def _levels(first: DataFrame, least: int, most_words: int) -> list[DataFrame]:
-    """Frequent words, then frequent phrases of two words and more, with their ranks; all stored."""
+    """Frequent words, then frequent phrases of two words and more, with their ranks; all stored, and ``first`` and all else removed."""
     lines, vocabulary = first.where("kind = 1"), first.where("kind = 0")
     n_blocks = lines.count()
-    salts = max(1, min(n_blocks // 32, 8 + math.isqrt(n_blocks)))  # a tile's rows, in both rounds of adding up
+    salts = max(1, min(n_blocks // 256, 8 + math.isqrt(n_blocks)))  # a tile's rows, in both rounds of adding up
     salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt")
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
 
@@ -568,7 +568,8 @@ def _levels(first: DataFrame, least: int, most_words: int) -> list[DataFrame]:
     opened = sums.mapInArrow(_open_words, "tile int, high long, tag long, f long, owner long")
     ranked = stored(along(opened, [F.col("f").desc(), F.col("high").asc(), F.col("tag").asc()], "id"))
     shelves = ranked.select("tile", "high", "tag", "id", "owner").repartition("tile").sortWithinPartitions("tile", "high", "tag")
-    asked = stored(shelves.mapInArrow(_close_words, _WORDS), "none").select("tile", "a", "b", "c", "d", F.lit(-1).alias("kind"), every_salt)
+    shelved = stored(shelves.mapInArrow(_close_words, _WORDS), "none")
+    asked = shelved.select("tile", "a", "b", "c", "d", F.lit(-1).alias("kind"), every_salt)
     asked = asked.unionByName(vocabulary.select("block", "kind", "tile", "a", "c", "d", "base", salt), allowMissingColumns=True)
     asked = asked.repartition("tile", "salt").sortWithinPartitions("tile", "salt", "kind").select("block", "kind", "tile", "a", "b", "c", "d", "base")
     named = stored(asked.mapInArrow(_answer_words, _NAMED))
@@ -576,10 +577,12 @@ def _levels(first: DataFrame, least: int, most_words: int) -> list[DataFrame]:
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), F.lit(1).alias("n_words"), "f")]
     both = named.where("kind = 0").select("block", "kind", "a", "b").unionByName(lines.select("block", "kind", "a", "b"))
     blocks = stored(both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_name_words, ROWS), "none")
+    discard(first, sums, ranked, shelved, named)
     for size in range(2, most_words + 1):
         tiles = blocks.where("kind = 2")
         sums = added(tiles, _add_up, _SUMS, ["block", "a", "b"])
         if sums.isEmpty():
+            discard(sums)
             break
         opened = sums.mapInArrow(_open_tiles, "tile int, address long, phrase_id long, word_id long, f long")
         found = stored(along(opened, [F.col("f").desc(), F.col("phrase_id").asc(), F.col("word_id").asc()], "id"))
@@ -588,13 +591,17 @@ def _levels(first: DataFrame, least: int, most_words: int) -> list[DataFrame]:
         level = found.join(head, "phrase_id").join(tail, "word_id")
         levels.append(stored(level.select("id", "lang", F.concat_ws(" ", "_head", "word").alias("phrase"), F.lit(size).alias("n_words"), "f")))
         if size == most_words:
+            discard(sums, found)
             break
         ranks = found.select("tile", "address", "id").repartition("tile").sortWithinPartitions("tile", "address").mapInArrow(_close_tiles, _SUMS)
-        asked = stored(ranks, "none").select(F.lit(None).cast("long").alias("block"), F.lit(0).alias("kind"), "tile", "a", "b", every_salt)
+        ranks = stored(ranks, "none")
+        asked = ranks.select(F.lit(None).cast("long").alias("block"), F.lit(0).alias("kind"), "tile", "a", "b", every_salt)
         asked = asked.unionByName(tiles.withColumn("salt", salt))
         answers = asked.repartition("tile", "salt").sortWithinPartitions("tile", "salt", "kind").select("block", "kind", "tile", "a", "b").mapInArrow(_answer, ROWS)
         both = answers.unionByName(blocks.where("kind = 1"))
-        blocks = stored(both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_name_phrases(size), ROWS), "none")
+        used, blocks = blocks, stored(both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_name_phrases(size), ROWS), "none")
+        discard(used, sums, found, ranks)
+    discard(blocks)
     return levels
 
 
