@@ -33,9 +33,19 @@ _MERGE = f"""aggregate(extra, coalesce(base, {_EMPTY}), (kept, x) ->
             WHEN i = array_position(transform(kept, j -> x.start < j.`end` AND x.`end` > j.start), true) - 1
                  AND x.confidence > k.confidence THEN x ELSE k END)
     ELSE concat(kept, array(x)) END)"""
+_ORDERED = (f"array_sort({_MERGE}, (x, y) -> CASE WHEN x.start <> y.start "
+            "THEN x.start - y.start ELSE x.`end` - y.`end` END)")
 _PARTS = ("field", "type", "value", "start", "end", "confidence", "method")
 
 
+def merge_span_arrays(df: DataFrame, base: str, extra: str, out: str = "spans") -> DataFrame:
+    """Merge two span arrays of one field; overlaps keep the surer span."""
+    carried = [c for c in df.columns if c not in (base, extra, out)]
+    merged = df.select(*carried, F.expr(f"coalesce({base}, {_EMPTY})").alias("base"),
+                       F.expr(f"coalesce({extra}, {_EMPTY})").alias("extra"))
+    return merged.select(*carried, F.expr(_ORDERED).alias(out))
+
+
 def merge_span_tables(base: DataFrame, extra: DataFrame,
                       keys: tuple[str, ...] = (*ELEMENT_KEY, "field")) -> DataFrame:
     """Combine pattern spans with spans from another detector, per field.
@@ -61,9 +71,7 @@ def merge_span_tables(base: DataFrame, extra: DataFrame,
 
     packed = both.groupBy(*keys, "_stretch").agg(listed(0, "_base"), listed(1, "_extra"))
     packed = packed.select(*keys, "_stretch", *[F.expr(f"cast(transform(_{n}, x -> x.s) AS array<{SPAN}>)").alias(n) for n in ("base", "extra")])
-    ordered = (f"array_sort({_MERGE}, (x, y) -> CASE WHEN x.start <> y.start "
-               "THEN x.start - y.start ELSE x.`end` - y.`end` END)")
-    merged = packed.select(*keys, "_stretch", F.expr(ordered).alias("m"))
+    merged = packed.select(*keys, "_stretch", F.expr(_ORDERED).alias("m"))
     stretches = F.array_sort(F.collect_list(F.struct("_stretch", "m")))
     return merged.groupBy(*keys).agg(F.flatten(F.transform(stretches, lambda x: x["m"])).alias("spans"))
 

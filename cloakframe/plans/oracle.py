@@ -237,9 +237,17 @@ ORACLES["digit_functions"] = (
 ORACLES["email_parts"] = (
     "SELECT element_id, lower(split_part(text, '@', 1)) AS mailbox, lower(split_part(split_part(text, '@', 2), '.', 1)) AS provider "
     f"FROM ({derived('orders', synth.ELEMENTS)}) WHERE text LIKE '%@%'")
-ORACLES["number_guards"] = (
-    "SELECT o_orderkey, true AS tail_in_number, length(CAST(o_orderkey AS STRING)) > 1 OR true AS head_in_number, false AS tail_touches, true AS head_touches "
-    "FROM orders")
+_TAIL = "CASE o_orderkey % 5 WHEN 0 THEN '-12 34' WHEN 1 THEN '-1x34' WHEN 2 THEN ':34' WHEN 3 THEN '--34' ELSE 'z 34' END"
+_GUARD_TEXT = f"concat(CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN ' ' ELSE '7-' END, o_orderkey, {_TAIL})"
+
+
+def _guards(start: str, end: str) -> str:
+    return f"SELECT o_orderkey, NOT {LONE_NUMBER} AS in_number, NOT {LONE_WORD} AS touches FROM (SELECT o_orderkey, content, {start} AS start_pos, {end} AS end_pos FROM guarded)"
+
+
+ORACLES["number_guards"] = f"""WITH guarded AS (SELECT o_orderkey, {_GUARD_TEXT} AS content FROM orders), tails AS ({_guards('length(content) - 2', 'length(content)')}), heads AS ({_guards('1', '2')})
+    SELECT t.o_orderkey, t.in_number AS tail_in_number, h.in_number AS head_in_number, t.touches AS tail_touches, h.touches AS head_touches
+    FROM tails t JOIN heads h USING (o_orderkey)"""
 
 # --- tokens -----------------------------------------------------------------------------------
 
@@ -322,7 +330,8 @@ ORACLES["tok_resolve"] = f"""WITH {DOC_VAULT}
     SELECT session_id, token, session_id AS caller_session, value, 'resolved' AS status FROM vault
     UNION ALL SELECT session_id, token, 'src0', CASE WHEN session_id = 'src0' THEN value END, CASE WHEN session_id = 'src0' THEN 'resolved' ELSE 'rejected' END FROM vault
     UNION ALL SELECT session_id, token || 'x', session_id, NULL, 'not_found' FROM vault"""
-ORACLES["structure_check"] = ("SELECT count(*) AS n_raw, count(*) AS n_redacted, CAST(0 AS BIGINT) AS n_unmatched, CAST(0 AS BIGINT) AS n_changed FROM documents")
+ORACLES["structure_check"] = """SELECT count(*) AS n_raw, count(*) FILTER (doc_id % 7 <> 0) AS n_redacted, count(*) FILTER (doc_id % 7 = 0) AS n_unmatched,
+    count(*) FILTER (doc_id % 7 = 0 OR doc_id % 5 = 1) AS n_changed FROM documents"""
 ORACLES["vault_encryption"] = f"WITH {DOC_VAULT} SELECT session_id, token, value, false AS visible FROM vault"
 ORACLES["vault_flags"] = """SELECT CAST(user_id AS STRING) AS session_id,
     bool_or(event_type = 'view') AND user_id % 4 <> 0 AS has_email, false AS has_password,
@@ -351,6 +360,19 @@ ORACLES["egress_cross_session"] = f"""WITH {DOC_VAULT} SELECT d.source AS sessio
 ORACLES["egress_split"] = f"""{WR}{DOC_REDACTED}, mixed AS MATERIALIZED (SELECT session_id, step_no, text FROM redacted WHERE step_no % 3 <> 0
     UNION ALL SELECT source, doc_id, text FROM documents WHERE doc_id % 3 = 0), {report('mixed')}
     SELECT session_id, CASE WHEN safe THEN 'released' ELSE 'blocked' END AS outcome, count(*) AS n_rows FROM report GROUP BY ALL"""
+ORACLES["telemetry_leaks"] = f"""{WR}{DOC_REDACTED}, mixed AS MATERIALIZED (SELECT session_id, step_no, text FROM redacted WHERE step_no % 3 <> 0
+    UNION ALL SELECT source, doc_id, text FROM documents WHERE doc_id % 3 = 0), {report('mixed')},
+    proof AS (SELECT session_id, CAST(sum(leaked_count) AS BIGINT) AS leaked_count, bool_and(safe) AS zero_egress_verified FROM report GROUP BY session_id)
+    SELECT p.session_id, count(v.token) FILTER (v.category = 'SPII') AS spii_count, count(v.token) FILTER (v.category = 'PII') AS pii_count,
+    count(v.token) FILTER (v.category = 'CONTEXTUAL') AS contextual_count, count(v.token) AS total_masked, p.leaked_count, p.zero_egress_verified
+    FROM proof p LEFT JOIN vault v USING (session_id) GROUP BY p.session_id, p.leaked_count, p.zero_egress_verified"""
+_EXTRA = """extra AS (SELECT doc_id, source AS session_id, left(text, 4) AS value, CASE WHEN doc_id % 4 = 0 THEN 1.5 ELSE 0.9 END AS confidence FROM documents WHERE doc_id % 2 = 0 AND length(text) >= 4),
+    hit AS (SELECT f.doc_id, min(f.start_pos) AS start_pos FROM found f JOIN extra x USING (doc_id) WHERE f.start_pos < 4 AND f.end_pos > 0 GROUP BY f.doc_id),
+    spans AS (SELECT f.session_id, f.doc_id AS step_no, 0 AS element_pos, f.field, f.type, f.value, f.start_pos, f.confidence, f.method, f.start_pos AS prio
+        FROM found f LEFT JOIN hit h ON h.doc_id = f.doc_id AND h.start_pos = f.start_pos LEFT JOIN extra x ON x.doc_id = f.doc_id WHERE h.doc_id IS NULL OR x.confidence <= f.confidence
+      UNION ALL SELECT x.session_id, x.doc_id, 0, 'text', 'NAME', x.value, 0, x.confidence, 'NER', 0 FROM extra x LEFT JOIN hit h USING (doc_id)
+        LEFT JOIN found f ON f.doc_id = h.doc_id AND f.start_pos = h.start_pos WHERE h.doc_id IS NULL OR x.confidence > f.confidence)"""
+ORACLES["extra_spans"] = f"WITH {DOCS}, {_EXTRA}, {vault('spans', 'step_no')} SELECT session_id, token, type, value, token_no, first_step, method, CAST(confidence AS DOUBLE) AS confidence FROM vault"
 ORACLES["telemetry"] = f"""WITH {DOC_VAULT} SELECT s.session_id, count(v.token) FILTER (v.category = 'SPII') AS spii_count,
     count(v.token) FILTER (v.category = 'PII') AS pii_count, count(v.token) FILTER (v.category = 'CONTEXTUAL') AS contextual_count,
     count(v.token) AS total_masked, CAST(0 AS BIGINT) AS leaked_count, true AS zero_egress_verified
@@ -543,7 +565,22 @@ ORACLES["html_links"] = f"WITH {LINKS} SELECT page_id, CAST(i - 1 AS BIGINT) AS
 ORACLES["html_link_elements"] = f"WITH {LINKS} SELECT page_id, concat('e_', i) AS id, 'link' AS role, href, 'li' AS parent_tag FROM links"
 ORACLES["page_snapshots"] = f"""WITH {LINKS} SELECT p.page_id, p.url, count(l.i) AS elements_count, count(l.i) > 0 AS context_sufficient
     FROM pages p LEFT JOIN links l USING (page_id) GROUP BY p.page_id, p.url"""
-ORACLES["html_forms"] = "SELECT c_custkey AS page_id, CAST(0 AS BIGINT) AS form_pos, 'form-0' AS id, '/save' AS action, 'post' AS method, 'name,phone,seg,csrf,note' AS inputs FROM customer"
+ORACLES["html_forms"] = """SELECT c_custkey AS page_id, CAST(0 AS BIGINT) AS form_pos, 'form-0' AS id, concat('/save/', c_custkey % 3) AS action,
+    CASE WHEN c_custkey % 2 = 0 THEN 'post' ELSE 'get' END AS method, 'name,phone,seg,csrf,note' AS inputs, CAST(NULL AS STRING) AS error FROM customer"""
+_TEXT_LINK = q('(?i)<a\\s+[^>]*?href="[^"]*"[^>]*>(.*?)</a>')
+
+
+def _unescaped(expr: str) -> str:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+        expr = f"replace({expr}, '{name}', '{char}')"
+    return expr
+
+
+ORACLES["html_elements"] = f"""SELECT page_id, CAST(i - 1 AS BIGINT) AS element_pos, concat('e_', i) AS id, 'A' AS tag, 'body > nav > ul > li > a' AS selector, 'link' AS role,
+    CAST(NULL AS STRING) AS type, CAST(NULL AS STRING) AS placeholder, nullif({_unescaped('hs[i]')}, '') AS href, CAST(NULL AS STRING) AS autocomplete,
+    nullif(trim({_unescaped('ts[i]')}), '') AS text, CAST(NULL AS STRING) AS value, 'li' AS parent_tag, CAST(NULL AS STRING) AS parent_class, CAST(NULL AS STRING) AS parent_id,
+    CAST(NULL AS STRING) AS nearby_labels, true AS interactive, CAST(NULL AS STRING) AS error
+    FROM (SELECT page_id, hs, ts, unnest(range(1, len(hs) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, {_LINK}, 1) AS hs, regexp_extract_all(html, {_TEXT_LINK}, 1) AS ts FROM pages))"""
 ORACLES["form_elements"] = """SELECT c.c_custkey AS page_id, e.* REPLACE (CASE e.id WHEN 'e_1' THEN c.c_name WHEN 'e_3' THEN c.c_mktsegment WHEN 'e_5' THEN concat('n', c.c_custkey) END AS value,
       CASE e.id WHEN 'e_3' THEN concat('A', c.c_mktsegment) ELSE e.text END AS text)
     FROM customer c, (VALUES
@@ -625,6 +662,33 @@ ORACLES["ner_chunks"] = f"""WITH f AS (SELECT doc_id, text, string_split(regexp_
         CASE WHEN n <= {K.NER_CHUNK_WORDS} THEN text ELSE array_to_string(list_transform(range(s, least(s + {K.NER_CHUNK_WORDS}, n)), lambda j: parts[2 * j + 1]), ' ') END AS chunk_text FROM g)
     SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, start_offset, start_offset + length(chunk_text) AS end_offset, chunk_text FROM o"""
 
+# The line of spans is cut where a span is kept whatever came before it; each stretch is folded span by span.
+ORACLES["ner_dedupe"] = f"""{WR}{TOKENS}, typed AS (SELECT doc_id, {_TYPE} AS type, word AS value, start_pos, end_pos, round(score, 4) AS confidence FROM ents WHERE entity IN ('PER', 'LOC', 'ORG')),
+    twice AS (SELECT * FROM typed UNION ALL SELECT doc_id, type, value, start_pos + 1, end_pos + 3, CASE WHEN start_pos % 3 = 0 THEN 0.99 ELSE 0.5 END FROM typed),
+    placed AS (SELECT *, lag(type) OVER w AS kind, max(end_pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM twice
+        WINDOW w AS (PARTITION BY doc_id ORDER BY start_pos, end_pos, type, value, confidence)),
+    cut AS (SELECT *, sum(CASE WHEN kind = type AND end_pos <= reach + 5 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start_pos, end_pos, type, value, confidence ROWS UNBOUNDED PRECEDING) AS stretch FROM placed),
+    line AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, stretch ORDER BY start_pos, end_pos, type, value, confidence) AS i FROM cut),
+    fold AS (SELECT doc_id, stretch, i, 1 AS kept, start_pos, end_pos, type, value, confidence FROM line WHERE i = 1
+      UNION ALL SELECT l.doc_id, l.stretch, l.i, f.kept + CASE WHEN goes THEN 0 ELSE 1 END, CASE WHEN stays THEN f.start_pos ELSE l.start_pos END, CASE WHEN stays THEN f.end_pos ELSE l.end_pos END,
+        l.type, CASE WHEN stays THEN f.value ELSE l.value END, CASE WHEN stays THEN f.confidence ELSE l.confidence END
+      FROM fold f JOIN line l ON l.doc_id = f.doc_id AND l.stretch = f.stretch AND l.i = f.i + 1,
+        LATERAL (SELECT l.start_pos >= f.start_pos AND l.end_pos <= f.end_pos + 5 AND l.type = f.type AS goes) g, LATERAL (SELECT goes AND l.confidence <= f.confidence AS stays) s)
+    SELECT doc_id, arg_max(start_pos, i) AS start_pos, arg_max(end_pos, i) AS end_pos, arg_max(type, i) AS type, arg_max(value, i) AS value, CAST(arg_max(confidence, i) AS DOUBLE) AS confidence
+    FROM fold GROUP BY doc_id, stretch, kept"""
+_SPAN = "{'field': field, 'type': type, 'value': value, 's': start_pos, 'e': end_pos, 'c': confidence, 'm': method}"
+ORACLES["spans_merge"] = f"""{WR}{DOCS}, base AS (SELECT doc_id, field, type, value, CAST(start_pos AS BIGINT) AS start_pos, CAST(end_pos AS BIGINT) AS end_pos, confidence, method FROM found),
+    other AS (SELECT doc_id, field, 'NAME' AS type, value, CASE WHEN start_pos % 2 = 0 THEN start_pos - 3 ELSE end_pos + 5 END AS start_pos, CASE WHEN start_pos % 2 = 0 THEN start_pos + 1 ELSE end_pos + 9 END AS end_pos,
+        CASE WHEN start_pos % 4 = 0 THEN 1.5::DOUBLE ELSE 0.8::DOUBLE END AS confidence, 'NER' AS method FROM base),
+    lists AS MATERIALIZED (SELECT doc_id, list({_SPAN} ORDER BY start_pos, end_pos, type) AS kept FROM base GROUP BY doc_id),
+    others AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_pos, end_pos, type, value) AS i, {_SPAN} AS x FROM other),
+    fold AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, kept FROM lists
+      UNION ALL SELECT f.doc_id, f.i + 1, CASE WHEN coalesce(p, 0) = 0 THEN list_append(f.kept, o.x) WHEN o.x.c > f.kept[p].c THEN list_concat(list_append(f.kept[:p - 1], o.x), f.kept[p + 1:]) ELSE f.kept END
+      FROM (SELECT f.doc_id, f.i, f.kept, list_position(list_transform(f.kept, lambda k: o.x.s < k.e AND o.x.e > k.s), true) AS p, o.x AS x FROM fold f JOIN others o ON o.doc_id = f.doc_id AND o.i = f.i + 1) f,
+        LATERAL (SELECT f.x AS x) o),
+    last AS (SELECT doc_id, unnest(arg_max(kept, i)) AS k FROM fold GROUP BY doc_id)
+    SELECT doc_id, k.field AS field, k.type AS type, k.value AS value, k.s AS start_pos, k.e AS end_pos, k.c AS confidence, k.m AS method FROM last"""
+
 # --- images ------------------------------------------------------------------------------------------------------------------------
 
 ORACLES["ocr_lines"] = f"WITH {LINES} SELECT image_id, line_no, line_start, line_end FROM placed"
@@ -703,6 +767,8 @@ ORACLES["obstacle_parse"] = """SELECT o_orderkey, o_orderkey % 3 = 0 AS has_obst
 ORACLES["verify_parse"] = """SELECT o_orderkey, o_orderkey % 3 <> 0 AS verified, o_orderkey % 3 <> 1 AS change_detected, CAST(CASE o_orderkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.9 ELSE 0.6 END AS DOUBLE) AS confidence,
     CASE o_orderkey % 3 WHEN 0 THEN 'r' WHEN 1 THEN '' ELSE left(concat('no json ', repeat(CAST(o_orderkey AS STRING), 60)), 200) END AS reasoning FROM orders"""
 ORACLES["image_decode"] = "SELECT c_custkey, c_name AS body FROM customer"
+ORACLES["image_source"] = """SELECT c_nationkey AS nation, 'gif' AS format, count(*) % 120 + 1 + 256 * (c_nationkey % 100 + 1) AS width,
+    max(c_custkey) % 120 + 1 + 256 * (c_nationkey % 50 + 1) AS height, CAST(11 AS BIGINT) AS length FROM customer GROUP BY c_nationkey"""
 ORACLES["epoch_time"] = "SELECT event_id, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS epoch, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM events"
 ORACLES["json_columns"] = "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, concat('{\"k\":', props->>'$.k', '}') AS again FROM events"
 ORACLES["map_merge"] = "SELECT event_id, event_type AS k, CAST(event_id AS STRING) AS id, CAST(2 AS BIGINT) AS n FROM events"
@@ -756,4 +822,4 @@ ORACLES["sql_functions"] = f"""WITH {PLANS}, digits AS (SELECT *, concat('411111
     action AS kind, ({_LUHN}) % 10 = 0 AS luhn FROM each_digit"""
 ORACLES["custom_detector"] = """SELECT doc_id, CAST(len(found) AS BIGINT) AS n, CAST(strpos(text, found[1]) - 1 AS BIGINT) AS first_start, found[1] AS first_value
     FROM (SELECT doc_id, text, regexp_extract_all(text, '[0-9A-Fa-f]{32,}') AS found FROM documents) WHERE len(found) > 0"""
-ORACLES["snapshot_source"] = f"WITH {TURNS} SELECT session_id, step_no, element_id, text FROM turns"
+ORACLES["snapshot_stream"] = ORACLES["snapshot_source"] = f"WITH {TURNS} SELECT session_id, step_no, element_id, text FROM turns"

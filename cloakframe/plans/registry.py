@@ -277,7 +277,9 @@ def email_parts(spark, sf_dir):
 
 @query
 def number_guards(spark, sf_dir):
-    text = F.concat(F.lit("A"), F.col("o_orderkey").cast("string"), F.lit("-12 34"))
+    k = F.col("o_orderkey")
+    tail = F.when(k % 5 == 0, "-12 34").when(k % 5 == 1, "-1x34").when(k % 5 == 2, ":34").when(k % 5 == 3, "--34").otherwise("z 34")
+    text = F.concat(F.when(k % 3 == 0, "A").when(k % 3 == 1, " ").otherwise("7-"), k.cast("string"), tail)
     width = F.length("t")
     return (table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
             .select("o_orderkey",
@@ -362,8 +364,11 @@ def tok_resolve(spark, sf_dir):
 
 @query
 def structure_check(spark, sf_dir):
+    """Elements against a redaction that lost every seventh one and renamed some."""
     z = _sanitized(spark, sf_dir)
-    return tokens.structure_check(z.elements, z.redacted)
+    damaged = z.redacted.where(F.col("step_no") % 7 != 0).withColumn(
+        "element_id", F.when(F.col("step_no") % 5 == 1, F.concat("element_id", F.lit("x"))).otherwise(F.col("element_id")))
+    return tokens.structure_check(z.elements, damaged)
 
 
 @query
@@ -431,6 +436,27 @@ def egress_split(spark, sf_dir):
             .groupBy("session_id", "outcome").agg(F.count("*").alias("n_rows")))
 
 
+@query
+def telemetry_leaks(spark, sf_dir):
+    """Session totals when every third document skips redaction."""
+    z = _sanitized(spark, sf_dir).staged()
+    columns = ["session_id", "step_no", "element_pos", "text"]
+    mixed = z.redacted.select(*columns).where(F.col("step_no") % 3 != 0).unionByName(
+        z.elements.select(*columns).where(F.col("step_no") % 3 == 0))
+    return audit.telemetry(z.audit, audit.egress_report(mixed, z.vault))
+
+
+@query
+def extra_spans(spark, sf_dir):
+    """The vault with spans of another detector: the first four characters of every second document as a name."""
+    rows = documents(spark, sf_dir).where((F.col("doc_id") % 2 == 0) & (F.length("text") >= 4))
+    extra = privacy.as_elements(rows, "source", "doc_id").select(
+        "session_id", "step_no", "element_pos", "element_id", F.lit("text").alias("field"), F.lit("NAME").alias("type"), F.left("text", F.lit(4)).alias("value"),
+        F.lit(0).alias("start"), F.lit(4).alias("end"), F.when(F.col("step_no") % 4 == 0, 1.5).otherwise(0.9).alias("confidence"), F.lit("NER").alias("method"))
+    z = privacy.sanitize(document_elements(spark, sf_dir), extra)
+    return z.vault.select("session_id", "token", "type", "value", "token_no", "first_step", "method", "confidence")
+
+
 @query
 def telemetry(spark, sf_dir):
     return _sanitized(spark, sf_dir).telemetry
@@ -812,7 +838,8 @@ def html_link_elements(spark, sf_dir):
 def _pages_with_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as contact forms."""
     body = F.concat(
-        F.lit('<div id="main"><form action="/save" method="POST"><label for="n">Full name</label>'
+        F.lit('<div id="main"><form action="/save/'), (F.col("c_custkey") % 3).cast("string"),
+        F.when(F.col("c_custkey") % 2 == 0, '" method="POST">').otherwise('">'), F.lit('<label for="n">Full name</label>'
               '<input id="n" name="name" value="'), F.col("c_name"),
         F.lit('"><label>Phone <input name="phone" placeholder="98xxx"></label><p>Seg<p>'
               '<select name="seg"><option>A<option selected>'), F.col("c_mktsegment"),
@@ -824,7 +851,7 @@ def _pages_with_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def form_elements(spark, sf_dir):
-    return html.page_elements(_pages_with_forms(spark, sf_dir)).drop("interactive")
+    return html.page_elements(_pages_with_forms(spark, sf_dir)).drop("interactive", "error")
 
 
 @query
@@ -1156,6 +1183,20 @@ def image_decode(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", P.image_bytes(data).cast("string").alias("body"))
 
 
+@query
+def image_source(spark, sf_dir):
+    """Image files, one per nation of the customers and sized by them, read back as binary files."""
+    from cloakframe.sources.images import read_images
+
+    path = f"{checkpoint_dir(spark)}/images-{uuid.uuid4().hex}"
+    sizes = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(
+        (F.count("*") % 120 + 1).alias("low"), (F.max("c_custkey") % 120 + 1).alias("high"))
+    one = lambda c: F.char(F.col(c) if isinstance(c, str) else c)
+    data = F.concat(F.lit("GIF89a"), one("low"), one(F.col("nation") % 100 + 1), one("high"), one(F.col("nation") % 50 + 1))
+    sizes.select("nation", data.alias("value")).repartition("nation").write.partitionBy("nation").text(path)
+    return read_images(spark, path).select("nation", "format", "width", "height", "length")
+
+
 @query
 def epoch_time(spark, sf_dir):
     seconds = F.unix_seconds("ts")
@@ -1343,3 +1384,14 @@ def snapshot_source(spark, sf_dir):
     rows.write.json(path)
     back = snapshots.read_snapshots(spark, path, lines=True)
     return snapshots.explode_elements(back).select("session_id", "step_no", "element_id", "text")
+
+
+@query
+def snapshot_stream(spark, sf_dir):
+    """The same snapshots read as a stream, in three batches of files."""
+    rows = turns(spark, sf_dir).groupBy("session_id", "step_no").agg(
+        F.sort_array(F.collect_list(F.struct("element_pos", F.col("element_id").alias("id"), "text"))).alias("elements"))
+    root = _stream_folder(spark)
+    rows.repartition(12).write.json(f"{root}/in")
+    stream = snapshots.stream_snapshots(spark, f"{root}/in", files_per_batch=4)
+    return _played(snapshots.explode_elements(stream).select("session_id", "step_no", "element_id", "text"), root)

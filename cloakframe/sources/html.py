@@ -203,9 +203,9 @@ def _extract(pages: DataFrame, rows_of, schema: str) -> DataFrame:
             rows = []
             for pid, html in zip(batch["page_id"], batch["html"]):
                 nodes, error = _parse(html)
-                rows += [{"page_id": pid, **row} for row in rows_of(nodes)]
+                rows += [{"page_id": pid, "error": None, **row} for row in rows_of(nodes)]
                 if error:
-                    rows.append({"page_id": pid, "error": error})
+                    rows.append(dict.fromkeys(names) | {"page_id": pid, "error": error})
             yield pd.DataFrame(rows, columns=names)
 
     return pages.select("page_id", "html").mapInPandas(run, schema)

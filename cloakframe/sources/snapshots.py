@@ -14,9 +14,12 @@ def read_snapshots(spark: SparkSession, path: str, lines: bool = False) -> DataF
     return spark.read.schema(SNAPSHOT).option("multiLine", not lines).json(path)
 
 
-def stream_snapshots(spark: SparkSession, path: str) -> DataFrame:
+def stream_snapshots(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """The same as a stream: one JSON document per line."""
-    return spark.readStream.schema(SNAPSHOT).json(path)
+    reader = spark.readStream.schema(SNAPSHOT)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(path)
 
 
 def explode_elements(snapshots: DataFrame) -> DataFrame:

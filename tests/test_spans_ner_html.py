@@ -147,7 +147,8 @@ def test_bad_pages_do_not_stop_the_job(spark):
     got = {r.page_id: r for r in html.page_snapshots(pages).collect()}
     assert got[2].error is None and got[2].elements[-1].text == "end" and got[3].elements_count == 0
     assert got[1].elements[0].text == "one"
-    assert {r.page_id for r in html.page_elements(pages).collect()} == {1, 2}
+    rows = html.page_elements(pages).collect()
+    assert {r.page_id for r in rows} == {1, 2} and [r.page_id for r in rows if r.error] == [1] == [r.page_id for r in html.page_forms(pages).collect() if r.error]
 
 
 def test_long_fields_stay_whole_unless_a_length_is_given(spark):
