@@ -33,7 +33,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cloakframe.llm.common import raw, slices, stored, text_array
+from cloakframe.llm.common import discard, raw, slices, stored, text_array
 from cloakframe.llm.mixing import along
 
 SIDE = 512  # side of the first tile
