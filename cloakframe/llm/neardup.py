@@ -10,7 +10,10 @@
    classes) rule a link out end in the join; then a union sketch estimates the
    similarity, whole sets confirm it, and confirmed links are joined to
    components.  Lists whose other members still lie in different components go
-   on: short ones with all remaining pairs, long ones with more pivots a round,
+   on: short ones with all remaining pairs, long ones with few pivots that grow
+   by turns, taken from the largest component, to which the nodes just linked
+   belong (a text whose edited copies fill the list is found by its first copy
+   and connects the others), and from the smallest, which are soon used up;
    until every pair of a list is compared or already connected.
 
 A linked pair falls below one of the estimates with probability under 1e-8 (six
@@ -36,7 +39,8 @@ from cloakframe.llm.components import components
 
 SKETCH = 96
 BUCKETS = 1 << 17
-SHORT_LIST = 256  # members of a list that are compared with all others in the second turn; four times as many in each later one
+SHORT_LIST = 24  # members of a list that are all compared with each other in the second turn
+PIVOTS = 4  # members of a longer list that the second turn compares with it, from either end; four times as many in each later turn
 BITS = 256
 SIGNATURE = [f"s{k}" for k in range(BITS // 64)]
 BITMAP = 1 << 20
@@ -220,9 +224,9 @@ def _pivots(lists: DataFrame, turn: int) -> DataFrame:
     """(value, pivot, pivot_n, pivot_component): the members of every list to compare with the whole list now.
 
     First one member per list, one of two hash orders, so that the lists of a
-    group of copies share few pivots.  Later the members of the list's smaller
-    components come first, up to a number that grows by turns; a list that is
-    short enough is compared completely.
+    group of copies share few pivots.  Later some members of the list's largest
+    and of its smallest components, in a number that grows by turns; a list
+    that is short enough is compared completely.
     """
     told = ["node", "n", "component", *SIGNATURE]
     if not turn:
@@ -230,10 +234,14 @@ def _pivots(lists: DataFrame, turn: int) -> DataFrame:
         best = lists.groupBy("value").agg(F.min(F.struct(order.alias("h"), *told)).alias("p"))
         return best.select("value", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in told])
     many = lists.groupBy("value", "component").agg(F.count("*").alias("m"))
-    ranked = lists.join(many, ["value", "component"]).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("value").orderBy("m", "component", "node"))
-    )
-    chosen = ranked.where(F.col("rank") <= SHORT_LIST * 4 ** (turn - 1))
+    whole = many.groupBy("value").agg(F.sum("m").alias("members"))
+    line, order = Window.partitionBy("value"), [F.xxhash64("node"), F.col("node")]
+    ranked = lists.join(many, ["value", "component"]).join(whole, "value").withColumns({
+        "first": F.row_number().over(line.orderBy(F.col("m").desc(), "component", *order)),
+        "last": F.row_number().over(line.orderBy(F.col("m").asc(), "component", *order)),
+    })
+    most = PIVOTS * 4 ** (turn - 1)
+    chosen = ranked.where((F.col("members") <= SHORT_LIST) | (F.col("first") <= most) | (F.col("last") <= most))
     return chosen.select("value", *[F.col(c).alias(f"pivot_{c}") for c in told])
 
 
