@@ -3,11 +3,11 @@
 Strong patterns (assignments, access identifiers, long hex strings) are reported
 as they stand.  Weak parts, which alone are ordinary text (account names, opaque
 strings, endpoints), are reported only where complementary parts lie in the same
-scope (a paragraph) at most ``REACH`` code points apart: an identifier with a
-secret, an opaque string with an identifier or endpoint, an endpoint with both.
-The interval join runs over all parts of a batch at once: scopes are laid on one
-line with gaps wider than the reach, and each part looks up the complementary
-intervals by binary search; no pairs are built.
+scope (a paragraph, however long): an identifier with a secret, an opaque string
+with an identifier or endpoint, an endpoint with both.  The interval join runs
+over all parts of a batch at once: scopes are intervals on one line, each part
+looks up the one it begins in by binary search, and the kinds of every scope
+are counted; no pairs are built.
 
 Defined cases: a null or empty text has no spans; spans count code points, end
 exclusive; equal spans of one kind count once; very long texts are scanned whole;
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from cloakframe.llm.common import text_array
 
-REACH = 300
 STRONG = ["assign", "access", "hex"]
 KINDS = [*STRONG, "ident", "opaque", "endpoint"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -63,59 +62,41 @@ def weak_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def near(start: np.ndarray, end: np.ndarray, own: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """For the intervals ``own``: does one of ``among`` lie at most REACH away?  Both are masks of the same intervals."""
-    s, e = start[among], end[among]
-    order = np.argsort(s, kind="stable")
-    s, latest = s[order], np.maximum.accumulate(e[order]) if len(e) else e
-    k = np.searchsorted(s, end[own] + REACH, side="right")
-    out = np.zeros(int(own.sum()), bool)
-    some = k > 0
-    out[some] = latest[k[some] - 1] >= start[own][some] - REACH
-    return out
-
-
-def linked(start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Mask of the intervals to report: strong ones, and weak ones with complementary parts within reach."""
-    out = kind < len(STRONG)
-    ident, secret, point = np.isin(kind, (1, 3)), np.isin(kind, (0, 2, 4)), kind == 5
-    own = kind == 3
-    out[own] = near(start, end, own, secret)
-    own = kind == 4
-    out[own] = near(start, end, own, ident) | near(start, end, own, point)
-    out[point] = near(start, end, point, ident) & near(start, end, point, secret)
-    return out
+def linked(scope: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Mask of the parts to report: strong ones, and weak ones with complementary parts in their scope."""
+    n = int(scope.max()) + 1 if len(scope) else 0
+    ident, secret, point = (np.bincount(scope[np.isin(kind, k)], minlength=n)[scope] > 0 for k in ((1, 3), (0, 2, 4), (5,)))
+    weak = [(kind == 3) & secret, (kind == 4) & (ident | point), (kind == 5) & ident & secret]
+    return (kind < len(STRONG)) | weak[0] | weak[1] | weak[2]
 
 
 def scan(texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Reported spans (start, kind, end), in order, of every text."""
-    row, spans, line, at, found = [], [], [], 0, []
+    row, spans, scopes, begun, found = [], [], [], 0, []
     for k, text in enumerate(texts):
         strong = sorted(strong_spans(text))
         weak = []
         if strong or ":" in text or "=" in text or "ASIA" in text:
-            taken = [(s, e) for s, _, e in strong]
-            weak = [w for w in sorted(weak_spans(text)) if not any(w[0] < e and s < w[2] for s, e in taken)] if len(taken) < 50 else _apart(weak_spans(text), taken)
+            weak = _apart(weak_spans(text), [(s, e) for s, _, e in strong])
         found.append(strong)
         if weak:
             cuts = [m.end() for m in SCOPE.finditer(text)]
-            for s, kind, e in strong + weak:
-                scope = int(np.searchsorted(cuts, s, side="right")) if cuts else 0
-                row.append(k)
-                spans.append((s, kind, e))
-                line.append(at + s + scope * (REACH + 1))
-            at += len(text) + (len(cuts) + 1) * (REACH + 1)
+            parts = strong + weak
+            row += [k] * len(parts)
+            spans += parts
+            scopes.append(begun + np.searchsorted(np.array(cuts, np.int64), [s for s, _, _ in parts], side="right"))
+            begun += len(cuts) + 1
     if spans:
-        start = np.array(line)
         kind = np.array([x[1] for x in spans])
-        keep = linked(start, start + np.array([x[2] - x[0] for x in spans]), kind) & (kind >= len(STRONG))
-        for i in np.flatnonzero(keep):
-            found[row[i]] = [*found[row[i]], spans[i]]
+        for i in np.flatnonzero(linked(np.concatenate(scopes), kind) & (kind >= len(STRONG))).tolist():
+            found[row[i]].append(spans[i])
     return [sorted(set(x)) for x in found]
 
 
 def _apart(weak: list[tuple[int, int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Weak spans that overlap no taken one, by binary search."""
+    if not taken:
+        return sorted(weak)
     starts = np.array([s for s, _ in taken])
     latest = np.maximum.accumulate([e for _, e in taken])
     out = []
