@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cloakframe.llm.common import hash64, slices, stored, text_array, words_of
+from cloakframe.llm.common import discard, hash64, slices, stored, text_array, words_of
 from cloakframe.llm.components import components
 
 SKETCH = 96
@@ -217,7 +217,9 @@ class _Links:
         texts = stored(texts.where("key is not null").dropDuplicates(["key"]))
         both = likely.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
         both = both.join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-        return stored(both.mapInArrow(_confirmed(self.width, self.percent), "a binary, b binary"))
+        links = stored(both.mapInArrow(_confirmed(self.width, self.percent), "a binary, b binary"))
+        discard(likely, texts)
+        return links
 
 
 def _pivots(lists: DataFrame, turn: int) -> DataFrame:
@@ -276,6 +278,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
     shared = listed.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
     told = nodes.select(F.col("key").alias("node"), "n", *SIGNATURE)
     lists = stored(listed.join(shared, "value", "left_semi").join(told, "node").withColumn("component", F.col("node")))
+    discard(listed)
     finder = _Links(docs, nodes, width, percent, size)
     links, labels, turn = None, None, 0
     while True:
@@ -288,7 +291,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
         rest = lists.drop("component").join(top.select("value", F.col("pivot_node").alias("node")), ["value", "node"], "left_anti")
         rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spans = rest.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
-        lists = stored(rest.join(spans, "value", "left_semi").select("value", "node", "n", *SIGNATURE, "component"))
+        done, lists = lists, stored(rest.join(spans, "value", "left_semi").select("value", "node", "n", *SIGNATURE, "component"))
+        discard(done, top)
         if lists.isEmpty():
             break
         turn += 1
