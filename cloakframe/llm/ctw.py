@@ -28,10 +28,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cloakframe.llm.common import fold, hash64, raw, slices, stored, text_array, words_of
+from cloakframe.llm.common import discard, fold, hash64, raw, slices, stored, text_array, words_of
 
 DEPTH = 4
-BLOCK_BYTES = 40 << 20
+BLOCK_BYTES = 24 << 20
 END = 0xFF
 GRAM, WORD = 0, 1
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -181,7 +181,9 @@ def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
         mix = at.select("ctx", "node", (F.col("done") + F.col("left") * F.col("w") * kt).alias("done"), (F.col("left") * (1 - F.col("w"))).alias("left"))
     paths = _bits(grams.select("key")).join(mix, ["ctx", "node"])
     cost = F.log10(F.when(F.col("bit") == 1, F.col("done")).otherwise(1 - F.col("done")))
-    return paths.groupBy("key").agg(F.sum(cost).alias("value"))
+    out = stored(paths.groupBy("key").agg(F.sum(cost).alias("value")))
+    discard(*levels)
+    return out
 
 
 def _scored(depth: int, total: int, distinct: int, docs: int):
