@@ -39,6 +39,7 @@ from cloakframe.llm.mixing import along
 SIDE = 512  # side of the first tile
 DENSE = SIDE * SIDE  # cells that are counted by address
 BLOCK = 8 << 20  # bytes of text in a block
+BATCH = 2500  # documents that go to Python at a time
 BUCKET_BITS = 8  # words are dealt to buckets by these bits of their hash
 WORD_BITS, PHRASE_BITS = 28, 35
 _END = np.zeros(256, bool)
@@ -169,7 +170,7 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     first[begins] = keep[begins]
     at = np.flatnonzero(first)
     row = np.searchsorted(offsets, at, side="right") - 1
-    piece = np.cumsum(end)[at] + row
+    piece = np.searchsorted(np.flatnonzero(end), at) + row
     starts = np.append(np.flatnonzero(first[keep]), np.count_nonzero(keep)).astype(np.int32)
     words = pa.StringArray.from_buffers(len(at), pa.py_buffer(starts), pa.py_buffer(np.ascontiguousarray(_LOWER[body[keep]])))
     return words, row, piece
@@ -216,7 +217,9 @@ def _tokenize(batches):
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             local, n, high, tag = place[local], n[order], high[order], tag[order]
+            of = np.bincount(lang_of[lo + row], minlength=len(names))
             breaks = piece[1:] != piece[:-1]
+            del hashes, coded, words, row, piece
             line = np.full(len(local) + int(breaks.sum()), -1, np.int64)
             line[np.arange(len(local)) + np.append(0, np.cumsum(breaks))] = local
             number = task | block
@@ -227,7 +230,6 @@ def _tokenize(batches):
             for at, end in zip(bounds, [*bounds[1:], len(order)], strict=True):
                 shelf = _shelf(names, [entries[k] for k in order[at:end].tolist()])
                 rows.append((number, 0, int(bucket[at]), squeeze(high[at:end], True), squeeze(n[at:end]), squeeze(tag[at:end]), shelf, at, None, None))
-            of = np.bincount(lang_of[lo + row], minlength=len(names))
             rows += [(number, 2, None, None, None, None, None, None, name, int(k)) for name, k in zip(names, of, strict=True) if k]
             yield _rows(rows, _FIRST)
 
@@ -538,7 +540,8 @@ def _small_batches(spark: SparkSession, rows: int = 64):
 def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n_words, f) of all phrases that occur ``least`` times, and (lang, n) with the words of each language."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    first = stored(rows.mapInArrow(_tokenize, FIRST), "none")
+    with _small_batches(docs.sparkSession, BATCH):
+        first = stored(rows.mapInArrow(_tokenize, FIRST), "none")
     sizes = stored(first.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("n")))
     with _small_batches(docs.sparkSession):
         levels = _levels(first, least, most_words)
