@@ -105,3 +105,26 @@ def test_query_equals_sql(spark):
     want = con.execute(f"select {names} from ({queries.SQL['op3_near_duplicates']})").fetchall()
     got = [tuple(r) for r in queries.op3_near_duplicates(spark, DIR).select(*names.split(", ")).collect()]
     assert sorted(got) == sorted(want) and any(not k for *_, k in want)
+
+
+def test_edited_copies_of_one_text_are_joined_without_all_pairs(frame, monkeypatch):
+    """The text links to all its copies, which do not link to each other."""
+    rng, made = random.Random(12), []
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for c in range(400):
+        words = list(base)
+        for at in rng.sample(range(0, 120, 6), 3):
+            words[at] = f"e{c}x{at}"
+        texts.append(" ".join(words))
+    proposals = neardup._proposals
+
+    def counted(*args):
+        pairs = proposals(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(neardup, "_proposals", counted)
+    got = neardup.near_duplicates(frame(texts), width=3, percent=85).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    assert sum(made) < 40 * len(texts), made  # all pairs are 200 a text
