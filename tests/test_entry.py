@@ -12,7 +12,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 # One query per operator family; CHECK_ALL=1 runs every one.
 SAMPLE = ["spans_greedy", "det_dob", "att_name", "tok_redact", "tok_inputs", "egress_raw", "telemetry", "inc_spans", "mem_context",
           "session_table", "msg_parse", "goal_asof", "step_fold", "debounce", "risk_levels", "step_wire", "resolve_target", "html_link_elements",
-          "ner_filter", "ocr_regions", "ground_parse", "json_repair"]
+          "ner_filter", "ocr_regions", "ground_parse", "json_repair", "ner_dedupe", "spans_merge", "extra_spans", "telemetry_leaks", "html_elements",
+          "image_source", "snapshot_stream", "stream_turns", "stream_scans", "stream_cleanup", "stream_debounce"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver's tables")
 
