@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cloakframe.llm.common import discard, hash64, slices, stored, text_array, words_of
+from cloakframe.llm.common import discard, hash64, slices, small_batches, stored, text_array, words_of
 from cloakframe.llm.components import components
 
 SKETCH = 96
@@ -214,10 +214,12 @@ class _Links:
         for r in self.nodes.join(used, "key", "left_semi").select(F.pmod("doc_id", F.lit(BITMAP)).alias("bit")).distinct().collect():
             bits[r.bit] = True
         texts = self.docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_needed_texts(self.width, bits), "key binary, text string")
-        texts = stored(texts.where("key is not null").dropDuplicates(["key"]))
+        with small_batches(both.sparkSession, 2500):
+            texts = stored(texts.where("key is not null").dropDuplicates(["key"]))
         both = likely.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
         both = both.join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-        links = stored(both.mapInArrow(_confirmed(self.width, self.percent), "a binary, b binary"))
+        with small_batches(both.sparkSession, 1000):  # two whole texts a row
+            links = stored(both.mapInArrow(_confirmed(self.width, self.percent), "a binary, b binary"))
         discard(likely, texts)
         return links
 
@@ -265,7 +267,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
     """
     need = percent / 100
     signed = "".join(f", {c} long" for c in SIGNATURE)
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_sketches(width, size), f"doc_id long, n long, key binary, sketch binary{signed}"), "none")
+    with small_batches(docs.sparkSession, 2500):
+        rows = stored(docs.select("doc_id", "text").mapInArrow(_sketches(width, size), f"doc_id long, n long, key binary, sketch binary{signed}"), "none")
     live = rows.where("key is not null and doc_id is not null")
     nodes = stored(live.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sketch", *SIGNATURE)]), "none")
 

@@ -25,15 +25,14 @@ from __future__ import annotations
 
 import json
 import math
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from cloakframe.llm.common import discard, raw, slices, stored, text_array
+from cloakframe.llm.common import discard, raw, slices, small_batches, stored, text_array
 from cloakframe.llm.mixing import along
 
 SIDE = 512  # side of the first tile
@@ -525,25 +524,13 @@ def _answer_words(batches):
         yield _rows(rows, _NAMED_SCHEMA)
 
 
-@contextmanager
-def _small_batches(spark: SparkSession, rows: int = 64):
-    """Rows here are blocks and tiles, up to megabytes each: few of them go to Python at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n_words, f) of all phrases that occur ``least`` times, and (lang, n) with the words of each language."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    with _small_batches(docs.sparkSession, BATCH):
+    with small_batches(docs.sparkSession, BATCH):
         first = stored(rows.mapInArrow(_tokenize, FIRST), "none")
     sizes = stored(first.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("n")))
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, 64):  # rows are blocks and tiles
         levels = _levels(first, least, most_words)
     out = levels[0]
     for level in levels[1:]:
