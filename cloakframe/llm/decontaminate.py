@@ -4,9 +4,11 @@ Texts and benchmark items are read as words (lower case, outer punctuation
 dropped).  A window of an item's size at a word of a document is embedded by a
 random walk: at each step the current word is written out and the walk moves on
 or stays by a random bit of step and word.  Few edits then change few places, so
-hashes of a few sampled places, repeated over several walks and samples, meet
-with the target recall; the number of places is chosen per item length by
-simulation at the largest number of edits allowed.  Every hit is confirmed by
+hashes of three or more sampled places, repeated over many walks and samples,
+meet with the target recall; the numbers of places and repetitions are chosen by
+simulation at the largest number of edits allowed, with the same keys as the search.  Items of about the same length share their
+samples: a walk of as many steps as the shortest of them has words ends inside
+each window, so one embedding of a place serves all.  Every hit is confirmed by
 the exact edit distance of the item to the best stretch of words around it.
 
 Windows that cannot match are skipped beforehand by necessary conditions: with
@@ -15,10 +17,12 @@ any e + q words of the item at least q stand in the stretch; the item's rarest
 words at hand are taken for these.  The same count ends hits before the edit
 distance is computed.
 
-Defined cases: null and empty texts and items match nothing; items of fewer than
-``min_words`` words are not searched; equal items are reported each; rows with a
-null id are reported with it; repeated rows are reported each; texts of any
-length are searched whole; other columns are ignored.
+Defined cases: null and empty texts and items match nothing; items of any length
+are searched, those under 1 / rate words for exact copies (``min_words`` leaves
+shorter ones out where that is asked for); equal items are reported each; of
+equally near stretches the first is reported; rows with a null id are reported
+with it; repeated rows are reported each; texts of any length are searched whole;
+an empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +39,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from cloakframe.llm.common import slices, text_array, words_of
 
-WALKS = 4
-REPEATS = 32
+REPEATS = (64, 128, 256, 512)  # repetitions, more only where fewer miss the target recall; four share a walk
+LEAST_PLACES = 3  # sampled by each repetition (fewer only if the window has fewer words)
 RECALL = 0.99
 ITEMS = 2_000  # items searched in one scan
+STARTS = 100_000  # windows embedded at once
 MARKS = ".,;:!?\"'()[]{}<>|#*$%&-_/\\=+`~«»“”‘’…"
 SCHEMA = "doc_id long, item_id long, edits int, item_words int, word_start long"
 
@@ -55,63 +60,65 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code[live], np.concatenate([[0], np.cumsum(live)])[first]
 
 
-def embed(code: np.ndarray, starts: np.ndarray, n: int, walk: int, places: np.ndarray) -> np.ndarray:
-    """Symbols at ``places`` of the embedded windows code[start : start + n]; 0 beyond a window's end."""
-    turn = np.random.default_rng([walk, 77]).integers(0, 2**63, 2 * n + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    at, out = np.zeros(len(starts), np.int64), np.zeros((len(places), len(starts)), np.uint64)
+def embed(code: np.ndarray, starts: np.ndarray, walk: int, places: np.ndarray) -> np.ndarray:
+    """Symbols at ``places`` (ascending) of the embedded windows that begin at ``starts``, none shorter than the walk."""
+    turn = np.random.default_rng([walk, 77]).integers(0, 2**63, int(places[-1]) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    at, out = starts.astype(np.int64), np.empty((len(places), len(starts)), np.uint64)
     row = {int(p): k for k, p in enumerate(places)}
-    for j in range(int(places.max()) + 1):
-        symbol = np.where(at < n, code[np.minimum(starts + at, len(code) - 1)], np.uint64(0))
+    for j in range(len(turn)):
+        symbol = code[at]
         if j in row:
             out[row[j]] = symbol
-        at += (((symbol + np.uint64(j + 1)) * turn[j]) >> np.uint64(63)).astype(np.int64)
+        at = at + (((symbol + np.uint64(j + 1)) * turn[j]) >> np.uint64(63)).astype(np.int64)
     return out
 
 
-def samples(n: int, k: int) -> list[tuple[int, np.ndarray]]:
+def samples(steps: int, k: int, repeats: int) -> list[tuple[int, np.ndarray]]:
     """For every repetition: its walk, and the places it samples."""
-    r = np.random.default_rng([n, k])
-    return [(i % WALKS, np.sort(r.choice(2 * n, k, replace=False))) for i in range(REPEATS)]
+    r = np.random.default_rng([steps, k])
+    return [(i // 4, np.sort(r.choice(steps, k, replace=False))) for i in range(repeats)]
 
 
-def keys(code: np.ndarray, starts: np.ndarray, n: int, k: int) -> np.ndarray:
+def keys(code: np.ndarray, starts: np.ndarray, steps: int, k: int, repeats: int) -> np.ndarray:
     """LSH keys (repetition, window)."""
-    plan = samples(n, k)
-    out = np.empty((REPEATS, len(starts)), np.uint64)
-    for walk in range(WALKS):
-        places = np.unique(np.concatenate([p for w, p in plan if w == walk]))
-        symbols = embed(code, starts, n, walk, places)
-        for i, (w, p) in enumerate(plan):
-            if w == walk:
-                h = np.full(len(starts), i + 1, np.uint64)
-                for row in np.searchsorted(places, p):
-                    h = (h ^ symbols[row]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-                out[i] = h
+    plan = samples(steps, k, repeats)
+    out = np.empty((repeats, len(starts)), np.uint64)
+    for walk in range(repeats // 4):
+        mine = range(4 * walk, 4 * walk + 4)
+        places = np.unique(np.concatenate([plan[i][1] for i in mine]))
+        symbols = embed(code, starts, walk, places)
+        for i in mine:
+            h = np.full(len(starts), i + 1, np.uint64)
+            for row in np.searchsorted(places, plan[i][1]):
+                h = (h ^ symbols[row]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            out[i] = h
     return out
 
 
-def places_for(n: int, edits: int, recall: float, trials: int = 150) -> int:
-    """The most sampled places that still reach ``recall`` on random words with ``edits`` random edits."""
+def places_for(n: int, steps: int, edits: int, recall: float, trials: int = 300) -> tuple[int, int]:
+    """(places, repetitions): the fewest repetitions, then the most places up to 8, that reach ``recall``.
+
+    Measured on items of ``n`` random words with ``edits`` random edits, one of
+    them at the first word in every second item.
+    """
+    least = min(LEAST_PLACES, steps)
     r = np.random.default_rng([n, edits, 5])
     line: list[int] = []
-    for _ in range(trials):
+    for t in range(trials):
         a = r.integers(1, 2**62, n).tolist()
         b = list(a)
-        for kind, at, new in zip(r.integers(0, 3, edits), r.random(edits), r.integers(1, 2**62, edits).tolist(), strict=True):
-            at = int(at * len(b))
+        for e, (kind, at, new) in enumerate(zip(r.integers(0, 3, edits), r.random(edits), r.integers(1, 2**62, edits).tolist(), strict=True)):
+            at = int(at * len(b)) if e or t % 2 else 0
             b[at : at + (kind != 1)] = [new] if kind < 2 else []
-        line += a + (b + [0] * n)[:n]
-    starts = n * np.arange(2 * trials)
-    same = np.empty((trials, WALKS))
-    for w in range(WALKS):
-        e = embed(np.array(line, np.uint64), starts, n, w, np.arange(2 * n))
-        same[:, w] = (e[:, ::2] == e[:, 1::2]).mean(axis=0)
-    for k in range(8, 1, -1):
-        miss = np.prod(1 - same**k, axis=1) ** (REPEATS / WALKS)
-        if 1 - miss.mean() >= recall:
-            return k
-    return 1
+        line += a + (b + r.integers(1, 2**62, n).tolist())[:n]
+    line, starts = np.array(line, np.uint64), n * np.arange(2 * trials)
+    for repeats in REPEATS:
+        for k in range(min(8, steps), least - 1, -1):
+            made = keys(line, starts, steps, k, repeats)
+            if (made[:, ::2] == made[:, 1::2]).any(axis=0).mean() >= recall:
+                return k, repeats
+    return least, REPEATS[-1]
 
 
 def substring_edits(item: np.ndarray, stretch: np.ndarray) -> np.ndarray:
@@ -138,7 +145,7 @@ class Items:
     vocabulary: np.ndarray
     groups: list[tuple[int, int, list[int]]]  # words that must be checked at least, foreign words at most, item lengths
     places: list[np.ndarray] = field(default_factory=list)  # of each item, its words' numbers in the vocabulary
-    tables: dict[int, tuple[int, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: places, sorted keys, their items
+    tables: list[tuple[int, int, np.ndarray, np.ndarray]] = field(default_factory=list)  # of each group: places, repetitions, sorted keys, their items
     longest: int = 0
 
 
@@ -158,11 +165,14 @@ def prepare(ids: list[int | None], texts: list[str | None], rate: float, min_wor
             groups.append((n, math.floor(rate * n), [n]))
     out = Items(ids, code, first, rate, np.unique(np.concatenate([code[first[k] : first[k + 1]] for k in use])), groups, longest=lengths[-1])
     out.places = [np.searchsorted(out.vocabulary, code[first[k] : first[k + 1]]) if k in set(use) else np.empty(0, np.int64) for k in range(len(ids))]
-    for n in lengths:
-        k, own = places_for(n, math.floor(rate * n), recall), np.array([i for i in use if sizes[i] == n])
-        made = keys(code, first[own], n, k)
+    for low, _, ns in groups:
+        # Within a group the shortest and the longest item may meet with the most edits for their size.
+        plans = [places_for(n, low, math.floor(rate * n), recall) for n in {low, ns[-1]}]
+        k, repeats = min(p[0] for p in plans), max(p[1] for p in plans)
+        own = np.array([i for i in use if low <= sizes[i] <= ns[-1]])
+        made = keys(code, first[own], low, k, repeats)
         order = np.argsort(made.reshape(-1), kind="stable")
-        out.tables[n] = k, made.reshape(-1)[order], np.tile(own, REPEATS)[order]
+        out.tables.append((k, repeats, made.reshape(-1)[order], np.tile(own, repeats)[order]))
     return out
 
 
@@ -178,7 +188,7 @@ def search(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int]]:
     before = np.concatenate([[0], np.cumsum(member)])
     seen = np.bincount(place[member], minlength=len(items.vocabulary))
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for low, foreign, lengths in items.groups:
+    for (low, foreign, lengths), (k, repeats, known, owner) in zip(items.groups, items.tables, strict=True):
         count = before[low:] - before[: len(before) - low]
         # Words by which a window shows itself: of each item, the rarest here, q more than it may lose.
         telling, least = np.zeros(len(items.vocabulary), bool), len(line)
@@ -190,39 +200,38 @@ def search(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int]]:
                 least = min(least, q)
         told = np.concatenate([[0], np.cumsum(telling[place] & member)])
         reach = np.minimum(np.arange(len(count)) + lengths[-1] + foreign, len(line))
-        starts = np.flatnonzero(member[: len(count)] & (count >= low - foreign) & (told[reach] - told[: len(count)] >= least))
-        if not len(starts):
-            continue
-        for n in lengths:
-            k, known, owner = items.tables[n]
-            made = keys(line, starts, n, k).reshape(-1)
-            lo, hi = np.searchsorted(known, made, "left"), np.searchsorted(known, made, "right")
-            hit = np.flatnonzero(hi > lo)
-            if not len(hit):
-                continue
-            many = (hi - lo)[hit]
+        starts = np.flatnonzero((line[: len(count)] != 0) & (count >= low - foreign) & (told[reach] - told[: len(count)] >= least))
+        pairs = [np.empty(0, np.int64)]
+        for part in range(0, len(starts), STARTS):
+            some = starts[part : part + STARTS]
+            made = keys(line, some, low, k, repeats).reshape(-1)
+            lo = np.searchsorted(known, made, "left")
+            hit = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == made)
+            many = np.searchsorted(known, made[hit], "right") - lo[hit]
             which = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            pairs = np.unique(np.stack([owner[which], np.repeat(hit % len(starts), many)]), axis=1)
+            pairs.append(np.unique(owner[which] * len(line) + some[np.repeat(hit % len(some), many)]))
+        pairs = np.unique(np.concatenate(pairs))
+        edges = np.searchsorted(pairs, np.unique(pairs // len(line)) * len(line)) if len(pairs) else []
+        for at in np.split(pairs, edges[1:]) if len(pairs) else []:
+            item = int(at[0] // len(line))
+            at, word = at % len(line), items.code[items.begin[item] : items.begin[item + 1]]
+            n, own = len(word), np.unique(word)
             slack = math.floor(items.rate * n)
-            for item in np.unique(pairs[0]):
-                at = np.sort(starts[pairs[1][pairs[0] == item]])
-                word = items.code[items.begin[item] : items.begin[item + 1]]
-                for part in range(0, len(at), 20_000):
-                    some = at[part : part + 20_000]
-                    text = np.searchsorted(begin, some, side="right") - 1
-                    span = some[:, None] - slack + np.arange(n + 3 * slack)
-                    inside = (span >= begin[text][:, None]) & (span < len(line))
-                    stretch = np.where(inside, line[np.clip(span, 0, len(line) - 1)], np.uint64(0))
-                    own = np.unique(word)
-                    at_own = np.minimum(np.searchsorted(own, stretch), len(own) - 1)
-                    can = np.count_nonzero(own[at_own] == stretch, axis=1) >= n - slack
-                    some, text, stretch = some[can], text[can], stretch[can]
-                    if not len(some):
-                        continue
-                    edits = substring_edits(word, stretch)
-                    for t, s, e in zip(text[edits <= slack].tolist(), some[edits <= slack].tolist(), edits[edits <= slack].tolist(), strict=True):
-                        if (t, item) not in best or (e, s) < best[t, item]:
-                            best[t, item] = e, s
+            for part in range(0, len(at), 20_000):
+                some = at[part : part + 20_000]
+                text = np.searchsorted(begin, some, side="right") - 1
+                span = some[:, None] - slack + np.arange(n + 3 * slack)
+                inside = (span >= begin[text][:, None]) & (span < len(line))
+                stretch = np.where(inside, line[np.clip(span, 0, len(line) - 1)], np.uint64(0))
+                at_own = np.minimum(np.searchsorted(own, stretch), len(own) - 1)
+                can = np.count_nonzero(own[at_own] == stretch, axis=1) >= n - slack
+                some, text, stretch = some[can], text[can], stretch[can]
+                if not len(some):
+                    continue
+                edits = substring_edits(word, stretch)
+                for t, s, e in zip(text[edits <= slack].tolist(), some[edits <= slack].tolist(), edits[edits <= slack].tolist(), strict=True):
+                    if (t, item) not in best or (e, s) < best[t, item]:
+                        best[t, item] = e, s
     return [(t, int(i), e, int(s - begin[t])) for (t, i), (e, s) in sorted(best.items())]
 
 
@@ -243,7 +252,7 @@ def _found(items: Items):
     return run
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_words: int = 8, recall: float = RECALL, items: int = ITEMS) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_words: int = 1, recall: float = RECALL, items: int = ITEMS) -> DataFrame:
     """One row per document and item found in it with at most ``rate`` * its words edits.
 
     The benchmark is searched in blocks of about ``items`` rows, each one scan
@@ -261,7 +270,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_words: int = 8) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, min_words: int = 1) -> DataFrame:
     """The documents in which no item was found, with their own columns.  Rows without doc_id are searched by text."""
     found = contaminations(docs, benchmark, rate, min_words)
     clean = docs.where("doc_id is not null").join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

@@ -3,6 +3,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from cloakframe.llm import decontaminate as dc
 
@@ -56,7 +58,7 @@ def test_against_brute_force(spark, frame):
     for d, t in enumerate(texts):
         for i, x in enumerate([*items, None, "", "too short", items[3]]):
             item = words(x)
-            if len(item) >= 8 and words(t):
+            if item and words(t):
                 e = nearest(item, words(t))
                 if e <= math.floor(0.2 * len(item)):
                     want[d, i] = e
@@ -82,3 +84,49 @@ def test_substring_edits():
     item = np.array([1, 2, 3, 4], np.uint64)
     rows = np.array([[9, 1, 2, 3, 4, 9], [1, 2, 9, 3, 4, 9], [9, 9, 1, 3, 4, 9], [9] * 6], np.uint64)
     assert dc.substring_edits(item, rows).tolist() == [0, 1, 1, 4]
+
+
+def recall(n, plant, seed=11, items=150):
+    """Share of the planted copies of items of ``n`` words that the search finds, each between foreign words."""
+    r = random.Random(seed + n)
+    fresh = lambda: "w" + str(r.getrandbits(60))
+    bench = [[fresh() for _ in range(n)] for _ in range(items)]
+    texts = [" ".join([*(fresh() for _ in range(30)), *plant(r, item, fresh), *(fresh() for _ in range(30))]) for item in bench]
+    ready = dc.prepare(list(range(items)), [" ".join(b) for b in bench], 0.2, 1, dc.RECALL)
+    found = dc.search(ready, pa.array(texts))
+    assert all(t == i and e <= math.floor(0.2 * n) for t, i, e, _ in found)
+    return len(found) / items
+
+
+LENGTHS = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 18, 19, 25, 40, 60, 80]
+
+
+@pytest.mark.parametrize("n", LENGTHS)
+def test_recall_of_the_search_by_length(n):
+    most = math.floor(0.2 * n)
+    assert recall(n, lambda r, item, fresh: item) == 1
+    assert recall(n, lambda r, item, fresh: edited(r, item, most, fresh)) >= 0.97
+    if most:
+        first = lambda r, item, fresh: [fresh(), *edited(r, item[1:], most - 1, fresh)]
+        assert recall(n, first) >= 0.95
+
+
+def test_at_least_three_places_are_sampled():
+    r = random.Random(2)
+    items = [" ".join("w" + str(r.getrandbits(60)) for _ in range(n)) for n in LENGTHS]
+    ready = dc.prepare(list(range(len(items))), items, 0.2, 1, dc.RECALL)
+    assert {n for _, _, ns in ready.groups for n in ns} == set(LENGTHS)
+    assert all(k >= min(3, low) for (low, _, _), (k, *_) in zip(ready.groups, ready.tables, strict=True))
+
+
+def test_short_items_long_texts_and_clashing_columns(spark, frame):
+    bench = spark.createDataFrame([(1, "a brown fox", "p"), (2, "yes", "q"), (3, "one two three four five", "r")], "item_id long, text string, edits string")
+    long = "word " * 200_000 + "a brown fox " + "word " * 200_000
+    texts = [long, "a brown", "brown a fox", "Yes!", "one two six four five", "one two six seven five"]
+    rows = frame(texts).selectExpr("doc_id", "text", "'x' AS item_id", "1 AS edits", "2 AS word_start")
+    got = {(r.doc_id, r.item_id, r.edits, r.word_start) for r in dc.contaminations(rows, bench).collect()}
+    assert {g[:3] for g in got} == {(0, 1, 0), (3, 2, 0), (4, 3, 1)} and (0, 1, 0, 200_000) in got
+    kept = dc.drop_contaminated(rows, bench)
+    assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == {1, 2, 5}
+    assert dc.drop_contaminated(rows.limit(0), bench).count() == 0
+    assert dc.drop_contaminated(rows, bench.limit(0)).count() == len(texts)
