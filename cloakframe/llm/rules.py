@@ -8,7 +8,9 @@ conditional Spark expression, so applying it is a scan without Python.
 
 Defined cases: null and empty texts have no words and fail the base rule; ties
 and repeated rows get equal verdicts; without labels of both classes the list is
-empty and only the base rules decide; other columns pass through.
+empty and only the base rules decide; texts of any length are counted whole; an
+empty table gives no rows; other columns pass through, and those named like a
+result go on under their name with an underscore before it.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cloakframe.llm.common import labelled_ids
-from cloakframe.llm.stats import COUNTS, FEATURES, counted, feature_columns
+from cloakframe.llm.stats import COUNTS, FEATURES, counted, feature_columns, free_name
 
 SAMPLE = 10_000
+RESULTS = [*COUNTS, "base_failed", "kept"]
 
 
 @dataclass(frozen=True)
@@ -132,6 +135,16 @@ def sample_features(docs: DataFrame, labels: DataFrame, label: str, most: int, r
     return np.array([r[2:] for r in rows], np.float64).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows], np.int64)
 
 
+def own_names(columns: list[str]) -> dict[str, str]:
+    """New names of the columns that are named like a result."""
+    taken, out = [*columns, *RESULTS], {}
+    for c in columns:
+        if c.lower() in RESULTS:
+            out[c] = free_name(taken, c)
+            taken.append(out[c])
+    return out
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """``docs`` with the base counts, base_failed, and kept by the learned list.
 
@@ -140,16 +153,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Dat
     """
     x, y = sample_features(docs, labels, "quality", most, True)
     rules = learn(x, y == 0)
-    s = F.col("stats")
+    docs = docs.withColumnsRenamed(own_names(docs.columns))
+    stats = free_name(docs.columns, "stats")
+    s = F.col(stats)
     failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
-    out = counted(docs).withColumns({c: s[c] for c in COUNTS} | {"base_failed": failed})
-    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules, feature_columns())).drop("stats")
+    out = counted(docs, stats=stats).withColumns({c: s[c] for c in COUNTS} | {"base_failed": failed})
+    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules, feature_columns(stats))).drop(stats)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    names = docs.columns
-    clear = [n for n in names if n in {*COUNTS, "base_failed", "kept", "stats"}]
-    hidden = {n: f"own {n}" for n in clear}
-    out = quality_rules(docs.withColumnsRenamed(hidden), labels, most).where("kept")
-    return out.select(*[F.col(f"`{hidden.get(n, n)}`").alias(n) for n in names])
+    own = own_names(docs.columns)
+    return quality_rules(docs, labels, most).where("kept").select(*[F.col(f"`{own.get(n, n)}`").alias(n) for n in docs.columns])

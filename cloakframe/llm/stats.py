@@ -53,8 +53,15 @@ def repeated(words: Column) -> Column:
     return F.when(F.size(words) < REPEAT, F.lit(0).cast("long")).otherwise(let(let(hashed, windows), over))
 
 
-def counted(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFrame:
-    """``docs`` with one column ``stats``: the base counts and the features of every whole text.
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it as long as a column has that name."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
+def counted(docs: DataFrame, text: str = "text", repeats: bool = True, stats: str = "stats") -> DataFrame:
+    """``docs`` with one column more, ``stats``: the base counts and the features of every whole text.
 
     A null text counts as empty; shares of nothing are 0.
     """
@@ -78,7 +85,7 @@ def counted(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFr
 
     words = F.filter(F.split(body, SPACE), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x09-\x0D\x20]"))
-    return docs.withColumn("stats", each(words, lines))
+    return docs.withColumn(stats, each(words, lines))
 
 
 def share(part: Column, whole: Column) -> Column:

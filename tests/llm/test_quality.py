@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.llm import quality, queries, rules
 from cloakframe.llm.stats import FEATURES
@@ -49,6 +50,18 @@ def test_base_counts_against_brute_force(spark, frame):
     assert rules.quality_rules(docs.drop("n_words", "kept").limit(0), labels(spark, [])).count() == 0
 
 
+def test_own_columns_stay(spark, frame):
+    docs = frame(["a b " * 30, None]).selectExpr("doc_id", "text", "'mine' AS stats", "'one' AS n_words", "'two' AS Kept", "'three' AS _n_words")
+    got = rules.quality_rules(docs, labels(spark, [])).orderBy("doc_id").collect()
+    assert [(r.n_words, r.kept) for r in got] == [(60, False), (0, False)]
+    assert {(r["stats"], r["__n_words"], r["_Kept"], r["_n_words"]) for r in got} == {("mine", "one", "two", "three")}
+    docs = docs.withColumn("text", F.expr("repeat('the quick brown fox jumps over a lazy dog by night ', 1 + doc_id) || array_join(sequence(1, 40), ' ')"))
+    kept = rules.keep_good(docs, labels(spark, []))
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {("mine", "one", "two", "three")}
+    assert rules.keep_good(docs.limit(0), labels(spark, [])).columns == docs.columns
+    assert rules.keep_good(docs.limit(0), labels(spark, [])).count() == 0
+
+
 def test_decision_list_finds_planted_conjunction():
     r = np.random.default_rng(0)
     x = r.random((4000, len(FEATURES)))
