@@ -18,8 +18,11 @@ compared by 64-bit codes and windows by 96-bit ones.
 
 Defined cases: null, empty and short texts repeat nothing; rows without doc_id
 are not searched; rows with the same doc_id and text count as one document, so a
-repeated row alone is no repeat; repeats inside one document are not reported;
-texts of any length are searched whole; other columns are ignored.
+repeated row alone is no repeat; texts that share a doc_id are each searched
+against the other documents, and ``text_id`` tells them apart; repeats inside one
+document are not reported; of equally good partners the one with the smallest or
+greatest doc_id is named; texts of any length are searched whole; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,25 +41,37 @@ BITS = 1 << 24
 MARKS = 1 << 20
 
 
+def _digest(code: np.ndarray) -> bytes:
+    return hashlib.blake2b(code.tobytes(), digest_size=16).digest()
+
+
+def _text_id(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _digests(batches):
     for batch in batches:
         texts, n, key = text_array(batch.column("text")), [], []
         for lo, hi in slices(texts, 4 << 20):
-            words, first = words_of(texts.slice(lo, hi - lo))
-            coded = words.dictionary_encode()
-            code = hash64(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.uint64)
+            code, first = _codes(texts.slice(lo, hi - lo))
             n += np.diff(first).tolist()
-            key += [hashlib.blake2b(code[first[k] : first[k + 1]].tobytes(), digest_size=16).digest() for k in range(hi - lo)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary())], names=["doc_id", "n", "key"])
+            key += [_digest(code[first[k] : first[k + 1]]) for k in range(hi - lo)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([_text_id(k) for k in key], pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary())],
+            names=["doc_id", "text_id", "n", "key"],
+        )
 
 
 def _marked(bits: np.ndarray):
-    """Pass documents on with a mark: may the id be one of those in the bitmap?"""
+    """Pass documents on, those whose id may be in the bitmap with the digest of their text."""
 
     def run(batches):
         for batch in batches:
-            mark = pa.array(bits[batch.column("doc_id").to_numpy() % len(bits)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), mark], names=["doc_id", "text", "spare"])
+            texts, mark = text_array(batch.column("text")), bits[batch.column("doc_id").to_numpy() % len(bits)]
+            key: list[bytes | None] = [None] * len(mark)
+            for k in np.flatnonzero(mark).tolist():
+                key[k] = _digest(_codes(texts.slice(k, 1))[0])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(key, pa.binary())], names=["doc_id", "text", "key"])
 
     return run
 
@@ -155,7 +170,7 @@ def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _windows(gram: int, least: int, bits: np.ndarray, keys: np.ndarray | None = None):
-    """Windows whose smallest gram may be in ``bits`` and whose hash may be in ``keys``: hash (two parts), document, first word."""
+    """Windows whose smallest gram may be in ``bits`` and whose hash may be in ``keys``: hash (two parts), document, text, first word."""
 
     def run(batches):
         for batch in batches:
@@ -175,11 +190,14 @@ def _windows(gram: int, least: int, bits: np.ndarray, keys: np.ndarray | None =
                     at, h = at[kept], h[kept]
                 check = (window_hashes(code, least, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 doc = np.repeat(np.arange(hi - lo), n)[at]
+                text = np.zeros(hi - lo, np.int64)
+                for k in np.unique(doc).tolist() if keys is not None else []:
+                    text[k] = _text_id(_digest(code[first[k] : first[k + 1]]))
                 for p in range(0, len(at), 100_000):
                     q = slice(p, p + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[q].view(np.int64)), pa.array(check[q]), docs.slice(lo, hi - lo).take(pa.array(doc[q])), pa.array(at[q] - first[doc[q]])],
-                        names=["key", "check", "doc_id", "begin"],
+                        [pa.array(h[q].view(np.int64)), pa.array(check[q]), docs.slice(lo, hi - lo).take(pa.array(doc[q])), pa.array(text[doc[q]]), pa.array(at[q] - first[doc[q]])],
+                        names=["key", "check", "doc_id", "text_id", "begin"],
                     )
 
     return run
@@ -195,39 +213,39 @@ def _bits(keys: DataFrame) -> np.ndarray:
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, other_doc_id): maximal stretches that repeat in other documents.
+    """(doc_id, text_id, start_word, end_word, n_words, other_doc_id): maximal stretches that repeat in other documents.
 
     Every passage of ``least`` or more words that stands in two documents is
     covered, in each of them; ``other_doc_id`` is one document that shares it.
     """
     named = docs.where("doc_id is not null").select("doc_id", "text")
-    keys = stored(named.mapInArrow(_digests, "doc_id long, n long, key binary").where(F.col("n") >= least).distinct())
+    keys = stored(named.mapInArrow(_digests, "doc_id long, text_id long, n long, key binary").where(F.col("n") >= least).distinct())
     groups = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     copies = keys.join(groups.where("first <> last"), "key")
-    whole = copies.select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"),
+    whole = copies.select("doc_id", "text_id", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"),
                           F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other_doc_id"))
     # One document of each group of copies is searched.  A bitmap of fixed size tells which texts cannot be spare
-    # copies; only the others are shuffled to be looked up.
-    spare = stored(copies.where("doc_id <> first").select("doc_id").distinct())
+    # copies; only the others are shuffled to be looked up, by id and text.
+    spare = stored(copies.where("doc_id <> first").select("doc_id", "key"))
     maybe = np.zeros(MARKS, bool)
     maybe[spare.select(F.pmod("doc_id", F.lit(MARKS)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
-    marked = stored(named.mapInArrow(_marked(maybe), "doc_id long, text string, spare boolean"))
-    single = marked.where("not spare").drop("spare").unionByName(marked.where("spare").drop("spare").join(spare, "doc_id", "left_anti"))
+    marked = stored(named.mapInArrow(_marked(maybe), "doc_id long, text string, key binary"))
+    single = marked.where("key is null").drop("key").unionByName(marked.where("key is not null").join(spare, ["doc_id", "key"], "left_anti").drop("key"))
 
     shared = single.mapInArrow(_grams(gram, least), "gram long").groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     bits = _bits(shared.select("gram"))
-    row = "key long, check int, doc_id long, begin long"
+    row = "key long, check int, doc_id long, text_id long, begin long"
     groups = single.mapInArrow(_windows(gram, least, bits), row).groupBy("key", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     common = stored(groups.where("first <> last"))
     again = single.mapInArrow(_windows(gram, least, bits, _bits(common.select(F.col("key").alias("gram")))), row)
-    found = again.join(common, ["key", "check"]).select("doc_id", "begin", (F.col("begin") + least).alias("end"),
+    found = again.join(common, ["key", "check"]).select("doc_id", "text_id", "begin", (F.col("begin") + least).alias("end"),
                                                         F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other_doc_id"))
 
     rows = found.unionByName(whole)
-    line = Window.partitionBy("doc_id").orderBy("begin", "end")
+    line = Window.partitionBy("doc_id", "text_id").orderBy("begin", "end")
     before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(before >= F.col("begin"), 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    merged = rows.withColumn("island", island).groupBy("doc_id", "island").agg(
+    merged = rows.withColumn("island", island).groupBy("doc_id", "text_id", "island").agg(
         F.min("begin").alias("start_word"), F.max("end").alias("end_word"), F.min("other_doc_id").alias("other_doc_id")
     )
-    return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc_id")
+    return merged.select("doc_id", "text_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc_id")

@@ -89,6 +89,17 @@ def test_copies_in_one_document_hide_no_partner(frame):
     assert covered(repeats.repeated_passages(frame(rows)).collect()) == brute(rows, 50)
 
 
+def test_texts_with_one_id_are_each_searched(frame):
+    """Document 5 is a spare copy by one text and shares a passage with document 9 by the other."""
+    r = random.Random(9)
+    fresh = lambda n: ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5))) for _ in range(n)]
+    copied, passage = fresh(80), fresh(60)
+    rows = [(1, " ".join(copied)), (5, " ".join(copied)), (5, " ".join(fresh(7) + passage + fresh(3))), (9, " ".join(fresh(20) + passage))]
+    got = repeats.repeated_passages(frame(rows)).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.other_doc_id) for r in got) == [(1, 0, 80, 5), (5, 0, 80, 1), (5, 7, 67, 9), (9, 20, 80, 5)]
+    assert len({r.text_id for r in got}) == 3
+
+
 def test_window_hashes_depend_on_the_words_alone():
     r = np.random.default_rng(1)
     code = r.integers(0, 2**63, 400, dtype=np.uint64)
