@@ -63,15 +63,15 @@ def _digests(batches):
 
 
 def _marked(bits: np.ndarray):
-    """Pass documents on, those whose id may be in the bitmap with the digest of their text."""
+    """Pass documents on, those whose id may be in the bitmap with the number of their text."""
 
     def run(batches):
         for batch in batches:
             texts, mark = text_array(batch.column("text")), bits[batch.column("doc_id").to_numpy() % len(bits)]
-            key: list[bytes | None] = [None] * len(mark)
+            text: list[int | None] = [None] * len(mark)
             for k in np.flatnonzero(mark).tolist():
-                key[k] = _digest(_codes(texts.slice(k, 1))[0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(key, pa.binary())], names=["doc_id", "text", "key"])
+                text[k] = _text_id(_digest(_codes(texts.slice(k, 1))[0]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(text, pa.int64())], names=["doc_id", "text", "text_id"])
 
     return run
 
@@ -225,12 +225,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     whole = copies.select("doc_id", "text_id", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"),
                           F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other_doc_id"))
     # One document of each group of copies is searched.  A bitmap of fixed size tells which texts cannot be spare
-    # copies; only the others are shuffled to be looked up, by id and text.
-    spare = stored(copies.where("doc_id <> first").select("doc_id", "key"))
+    # copies; only the others are shuffled, once, to be looked up by id and text, and few of them stay.
+    spare = stored(copies.where("doc_id <> first").select("doc_id", "text_id").distinct())
     maybe = np.zeros(MARKS, bool)
     maybe[spare.select(F.pmod("doc_id", F.lit(MARKS)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
-    marked = stored(named.mapInArrow(_marked(maybe), "doc_id long, text string, key binary"))
-    single = marked.where("key is null").drop("key").unionByName(marked.where("key is not null").join(spare, ["doc_id", "key"], "left_anti").drop("key"))
+    marked = stored(named.mapInArrow(_marked(maybe), "doc_id long, text string, text_id long"))
+    unsure = stored(marked.where("text_id is not null").join(spare, ["doc_id", "text_id"], "left_anti"))
+    single = marked.where("text_id is null").unionByName(unsure).drop("text_id")
 
     shared = single.mapInArrow(_grams(gram, least), "gram long").groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     bits = _bits(shared.select("gram"))
