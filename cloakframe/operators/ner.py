@@ -6,6 +6,11 @@ The model is not part of this package; its token rows are an input table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +78,58 @@ def merge_tokens(tokens: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_no
                  F.count("*").alias("n_tokens")))
 
 
+def _merged(batch: pa.RecordBatch, keys: list[str], tokens: str) -> pa.RecordBatch:
+    """Entities of a batch of token lists; all lists at once, a place of the flattened tokens at a time."""
+    lists = batch.column(tokens)
+    flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    word, entity, score, start, end = (pc.struct_field(flat, n) for n in ("word", "entity", "score", "start", "end"))
+    n, begin = len(flat), np.append(0, np.cumsum(sizes))
+    labels = entity.dictionary_encode()
+    names = labels.dictionary.to_pylist()
+    kinds = pa.array([x[2:] if x[:2] in ("B-", "I-") else x for x in names], pa.string()).dictionary_encode()
+    label = pc.fill_null(labels.indices, -1).to_numpy(zero_copy_only=False)
+    kind = np.append(kinds.indices.to_numpy(zero_copy_only=False), -1)[label]
+    inner = np.array([x[:2] == "I-" for x in names] + [False])[label]
+    sub = pc.fill_null(pc.starts_with(word, "##"), False)
+    at, own = np.arange(n), np.repeat(begin[:-1], sizes)
+    whole = pc.fill_null(pc.invert(pc.starts_with(word, "##")), False).to_numpy(zero_copy_only=False)
+    # A sub-word keeps the open type; any other token's type is the open one after it.
+    last = np.append(-1, np.maximum.accumulate(np.where(whole & (kind >= 0), at, -1))[:-1])[:n]
+    opened = kind[np.maximum(last, own)] if n else kind[:0]
+    joins = (at != own) & (sub.to_numpy(zero_copy_only=False) | (inner & (kind >= 0) & (kind == opened)))
+    first = np.flatnonzero(~joins)
+    pieces = pc.if_else(pa.array(joins), pc.if_else(sub, pc.utf8_slice_codeunits(word, 2), pc.binary_join_element_wise(" ", word, "")), word)
+    pieces = pc.fill_null(pieces, "")
+    cut = np.frombuffer(pieces.buffers()[1], np.int32, n + 1, pieces.offset * 4)[np.append(first, n)] if n else np.zeros(1, np.int32)
+    # Pieces of an entity lie side by side, so its word is one stretch of their letters.
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.ascontiguousarray(cut)), pieces.buffers()[2])
+    known = score.is_valid().to_numpy(zero_copy_only=False)
+    value = np.where(known, pc.fill_null(score, 0.0).to_numpy(zero_copy_only=False), np.inf)
+    least, scored = (np.minimum.reduceat(value, first), np.logical_or.reduceat(known, first)) if n else (value, known)
+    ends = np.append(first[1:], n)[: len(first)]
+    row = np.repeat(np.arange(len(sizes)), sizes)[first]
+    number = np.arange(len(first)) - np.searchsorted(first, begin[:-1])[row] + 1
+    shown = pc.take(kinds.dictionary, pa.array(kind[first], pa.int64(), mask=kind[first] < 0))
+    out = {"entity_no": pa.array(number, pa.int64()), "word": words, "entity": shown, "score": pa.array(least, pa.float64(), mask=~scored),
+           "start": start.take(pa.array(first)), "end": end.take(pa.array(ends - 1)), "n_tokens": pa.array(ends - first, pa.int64())}
+    return pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in keys), *out.values()], [*keys, *out])
+
+
+def merge_token_lists(chunks: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """The entities of :func:`merge_tokens` for rows that hold the token list of one model call.
+
+    ``tokens`` is an array of (word, entity, score, start, end) in order; the
+    other columns are the keys.  Lists are merged where they lie, so no token
+    is shuffled or sorted.
+    """
+    keys = [c for c in chunks.columns if c != tokens]
+    chunks = chunks.select(*keys, F.col(tokens).cast("array<struct<word:string,entity:string,score:double,start:int,`end`:int>>").alias(tokens))
+    schema = chunks.select(*keys).schema
+    for name, kind in (("entity_no", "long"), ("word", "string"), ("entity", "string"), ("score", "double"), ("start", "integer"), ("end", "integer"), ("n_tokens", "long")):
+        schema = schema.add(name, kind)
+    return chunks.mapInArrow(lambda batches: (_merged(b, keys, tokens) for b in batches), schema)
+
+
 def context_words(*parts: Column) -> Column:
     """Distinct lower-case words of class, id, tag and label text."""
     joined = F.lower(F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts]))
@@ -108,27 +165,48 @@ def as_spans(entities: DataFrame, offset: Column | None = None) -> DataFrame:
             .drop("word", "entity", "score"))
 
 
-def dedupe_spans(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _kept(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Spans kept of batches sorted by key and place; only the last kept span is carried on."""
+    held = None  # the last kept span, as a batch of one row
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        n = rows.num_rows
+        same = np.ones(n, bool)  # whether a row has the key and type of the one before it
+        same[0] = False
+        for name in [*keys, "type"]:
+            code = rows.column(name).combine_chunks().dictionary_encode(null_encoding="mask" if name == "type" else "encode")
+            code = pc.fill_null(code.indices, -1).to_numpy(zero_copy_only=False)
+            same[1:] &= (code[1:] == code[:-1]) & (code[1:] >= 0)
+        end = rows.column("end").to_numpy().astype(float)  # null: NaN, past nothing and not passed
+        sure = rows.column("confidence").to_numpy().astype(float)
+        kept, last, reach, best = [], 0, end[0] + 5, sure[0]
+        for i, (goes_on, e, c) in enumerate(zip(same.tolist(), end.tolist(), sure.tolist(), strict=True)):
+            if goes_on and e <= reach:
+                if c > best:
+                    last, reach, best = i, e + 5, c
+            elif i:
+                kept.append(last)
+                last, reach, best = i, e + 5, c
+        if kept:
+            yield from rows.take(pa.array(kept)).to_batches()
+        held = rows.slice(last, 1).combine_chunks().to_batches()[0]
+        # A surer span stands for all before it, so the next row is compared with it as with the row before.
+    if held is not None:
+        yield held
+
+
+def dedupe_spans(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",), dealt: bool = False) -> DataFrame:
     """Drop repeats from overlapping chunks, keeping the surer one.
 
     Compared with the last kept span: same type, start not before it, end at
-    most five characters past it.  A span of another type than the one before
-    it, or that ends more than five characters past all before it, is kept
-    whatever came before: there the line of spans is cut, and the pieces are
-    folded each on its own.
+    most five characters past it.  A task streams its sorted spans and holds
+    the last kept one, so a key may have any number.  ``dealt``: the rows of a
+    key already lie in one partition, and are not shuffled again.
     """
     order = ["start", "end", "type", "value", "confidence"]
-    line = Window.partitionBy(*keys).orderBy(*order)
-    reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    goes_on = (F.col("type") == F.lag("type").over(line)) & (F.col("end") <= reach + 5)
-    pieces = (spans.select(*keys, *order).withColumn("_opens", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-              .withColumn("_piece", F.sum("_opens").over(line.rowsBetween(Window.unboundedPreceding, 0))))
-    cast = "array<struct<start:int,`end`:int,type:string,value:string,confidence:double>>"
-    fold = f"""aggregate(slice(l, 2, greatest(size(l) - 1, 0)),
-        named_struct('out', cast(array() AS {cast}), 'last', l[0]),
-        (a, x) -> if(x.`end` <= a.last.`end` + 5,
-            named_struct('out', a.out, 'last', if(x.confidence > a.last.confidence, x, a.last)),
-            named_struct('out', concat(a.out, array(a.last)), 'last', x)),
-        a -> concat(a.out, array(a.last)))"""
-    return (pieces.groupBy(*keys, "_piece").agg(F.array_sort(F.collect_list(F.struct(*order))).cast(cast).alias("l"))
-            .select(*keys, F.explode_outer(F.expr(fold)).alias("s")).select(*keys, "s.*"))
+    rows = spans.select(*keys, F.col("start").cast("int"), F.col("end").cast("int"), "type", "value", F.col("confidence").cast("double"))
+    rows = (rows if dealt else rows.repartition(*keys)).sortWithinPartitions(*keys, *order)
+    names = list(keys)
+    return rows.mapInArrow(lambda batches: _kept(batches, names), rows.schema)

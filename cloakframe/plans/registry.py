@@ -17,7 +17,7 @@ from cloakframe.functions.risk import risk_level, risk_reason
 from cloakframe.operators import (activity, audit, detect, incremental, messages, ner, ocr, segments,
                                   spans, state_tables, steps, targets, tokens)
 from cloakframe.plans import privacy, synth
-from cloakframe.session import checkpoint_dir, configure, materialize, spread
+from cloakframe.session import checkpoint_dir, configure, dealt, materialize, spread
 from cloakframe.sources import html, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,13 +107,25 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state_tables.sessions_table(derived(spark, sf_dir, "events", synth.SESSION_LOG))
 
 
+def token_lists(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, chunk_no, tokens): the words of the documents as the token lists of a model, one per chunk."""
+    per, words = synth.NER_WORDS_PER_GROUP * 10, F.split("text", r"[ \n]+")
+    pieces = F.expr(f"transform(sequence(0, (size(_w) - 1) div {per}), c -> slice(_w, c * {per} + 1, {per}))")
+    chunks = docs.withColumn("_w", words).select("doc_id", F.posexplode_outer(pieces).alias("chunk_no", "_w"))
+    # The formulas of synth as lookups: a lambda is interpreted, and a chain of conditions would be walked for every word.
+    at = "cast((doc_id + pos) % 7 AS INT)"
+    labels = "array('B-PER', 'I-PER', 'I-PER', 'B-LOC', 'I-PER', 'B-ORG', 'I-MISC')"
+    scores = f"array({', '.join(f'{70 + k}D / 100' for k in range(30))})"
+    token = (f"named_struct('word', if({at} = 2, concat('##', raw_word), raw_word), 'entity', coalesce(get({labels}, {at}), 'I-MISC'), "
+             f"'score', get({scores}, cast((doc_id * 31 + pos * 17) % 30 AS INT)), 'start', pos * 10, 'end', pos * 10 + length(raw_word))")
+    places = f"sequence(chunk_no * {per}, chunk_no * {per} + size(_w) - 1)"
+    none = "array(cast(NULL AS STRING)), array(cast(NULL AS INT))"
+    tokens = F.expr(f"if(_w IS NULL, zip_with({none}, (raw_word, pos) -> {token}), zip_with(_w, {places}, (raw_word, pos) -> {token}))")
+    return chunks.select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), tokens.alias("tokens"))
+
+
 def entity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", F.posexplode_outer(F.split("text", r"[ \n]+")).alias("pos", "raw_word"))
-    return (words.selectExpr("doc_id", "pos", f"{synth.NER_WORD} AS word", f"{synth.NER_LABEL} AS entity",
-                             f"{synth.NER_SCORE} AS score", "pos * 10 AS start",
-                             "pos * 10 + length(raw_word) AS `end`",
-                             f"CAST(floor(pos / {synth.NER_WORDS_PER_GROUP * 10}) AS BIGINT) AS chunk_no"))
+    return token_lists(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -965,16 +977,16 @@ def ner_chunks(spark, sf_dir):
 
 @query
 def ner_merge(spark, sf_dir):
-    return ner.merge_tokens(entity_tokens(spark, sf_dir)).select(
+    return ner.merge_token_lists(entity_tokens(spark, sf_dir)).select(
         "doc_id", "chunk_no", "entity_no", "word", "entity", "score", F.col("start").alias("start_pos"),
         F.col("end").alias("end_pos"), "n_tokens")
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = ner.merge_tokens(entity_tokens(spark, sf_dir))
+    chunks = entity_tokens(spark, sf_dir)
     area = F.when(F.col("doc_id") % 4 == 0, "profile-card").when(F.col("doc_id") % 4 == 1, "main nav").when(
         F.col("doc_id") % 4 == 2, "company_info").otherwise("")
-    return entities.withColumn("context", ner.context_words(area, F.lit(None).cast("string"), F.lit("DIV"), F.lit("")))
+    return ner.merge_token_lists(chunks.withColumn("context", ner.context_words(area, F.lit(None).cast("string"), F.lit("DIV"), F.lit(""))))
 
 
 @query
@@ -993,12 +1005,15 @@ def ner_filter(spark, sf_dir):
 
 @query
 def ner_dedupe(spark, sf_dir):
-    rows = ner.as_spans(ner.merge_tokens(entity_tokens(spark, sf_dir)))
+    # Texts are dealt by document, so the line of a document's spans is sorted where it lies and no span is shuffled.
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = ner.as_spans(ner.merge_token_lists(token_lists(docs)))
     # The same entity again, seen by a neighbouring chunk with other edges.
-    again = rows.select("doc_id", "type", "value", (F.col("start") + 1).alias("start"), (F.col("end") + 3).alias("end"),
-                        F.when(F.col("start") % 3 == 0, 0.99).otherwise(0.5).alias("confidence"))
-    both = rows.select("doc_id", "type", "value", "start", "end", "confidence").unionByName(again)
-    out = ner.dedupe_spans(both)
+    seen = F.struct("start", "end", "confidence")
+    again = F.struct((F.col("start") + 1).alias("start"), (F.col("end") + 3).alias("end"),
+                     F.when(F.col("start") % 3 == 0, 0.99).otherwise(0.5).alias("confidence"))
+    both = rows.select("doc_id", "type", "value", F.explode(F.array(seen, again)).alias("s")).select("doc_id", "type", "value", "s.*")
+    out = ner.dedupe_spans(both, dealt=True)
     return out.select("doc_id", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "type", "value", "confidence")
 
 
