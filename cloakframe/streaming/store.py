@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +79,30 @@ def _fields(schema: str) -> list[str]:
             out.append(schema[start:i])
             start = i + 1
     return [*out, schema[start:]]
+
+
+class PackedMap:
+    """A map of a stateful processor in one value: a table of keys and values in Arrow's form.
+
+    Every call to the state is a round trip to the JVM that may wait for tens of
+    milliseconds, so a part's entries are read in one and written in one.
+    """
+
+    def __init__(self, handle, name: str, schema: pa.Schema, keys: int):
+        self.state, self.schema, self.keys = handle.getValueState(name, "packed binary"), schema, keys
+
+    def load(self) -> dict[tuple, tuple]:
+        held = self.state.get()
+        if held is None or held[0] is None:
+            return {}
+        columns = [c.to_pylist() for c in pa.ipc.open_stream(bytes(held[0])).read_all().columns]
+        return dict(zip(zip(*columns[: self.keys], strict=True), zip(*columns[self.keys :], strict=True), strict=True))
+
+    def save(self, entries: dict[tuple, tuple]) -> None:
+        rows = [(*k, *v) for k, v in entries.items()]
+        columns = zip(*rows, strict=True) if rows else [()] * len(self.schema)
+        table = pa.table([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as out:
+            out.write_table(table)
+        self.state.update((sink.getvalue().to_pybytes(),))
