@@ -25,6 +25,7 @@ from cloakframe.session import materialize
 PART = 1 << 18             # values of a scope that one index holds
 SHARE = 64 << 20           # bytes of text of a scope that one task reads
 RUN = 1 << 20              # places looked at together
+FEW = 64                   # pairs of a text and a value that are compared without an index
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,7 +100,11 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _searching(n_keys: int, n_tags: int):
-    """Streams groups (scope, part, salt): values first (kind 0), then the texts (kind 1)."""
+    """Streams groups (scope, part, salt): values first (kind 0), then the texts (kind 1).
+
+    A group with few texts and values that lies in one batch gets no index, and
+    what is found in all such groups of a batch goes out together.
+    """
 
     def run(batches):
         group, values, tags, index = None, [], [], None
@@ -113,24 +118,37 @@ def _searching(n_keys: int, n_tags: int):
             bodies = batch.column(4)
             keys = [batch.column(5 + k) for k in range(n_keys)]
             marks = [batch.column(5 + n_keys + k) for k in range(n_tags)]
+            begun, near_rows, near_marks = 0, [], []
+            names = [batch.schema.field(5 + k).name for k in range(n_keys + n_tags)]
+            inside = False  # whether the group began in this batch
             for lo, hi in zip(change, change[1:]):
                 here = tuple(h[lo] for h in heads)
                 if here != group:
-                    group, values, tags, index = here, [], [], None
+                    group, values, tags, index, inside, begun = here, [], [], None, True, lo
                 if kinds[lo] == 0:
-                    values += [v.encode() for v in bodies.slice(lo, hi - lo).to_pylist()]
-                    tags.append([m.slice(lo, hi - lo) for m in marks])
+                    values += bodies.slice(lo, hi - lo).to_pylist()
+                    tags.append((marks, lo, hi))
                     continue
                 if not values:
                     continue
+                if inside and index is None and len(values) * (hi - lo) <= FEW:
+                    for row, text in enumerate(bodies.slice(lo, hi - lo).to_pylist(), lo):
+                        for mark, value in enumerate(values, begun):
+                            if text and value and value in text:
+                                near_rows.append(row)
+                                near_marks.append(mark)
+                    continue
                 if index is None:
-                    index = Index(values)
+                    index = Index([v.encode() for v in values])
+                    tags = [[m.slice(first, end - first) for m in marks_] for marks_, first, end in tags]
                     tags = [pa.concat_arrays([t[k] for t in tags]) for k in range(n_tags)]
                 found = sorted(index.find(*_bytes_of(bodies.slice(lo, hi - lo))))
                 if found:
                     rows, owners = pa.array([lo + r for r, _ in found]), pa.array([o for _, o in found])
-                    names = [batch.schema.field(5 + k).name for k in range(n_keys + n_tags)]
                     yield pa.RecordBatch.from_arrays([*[k.take(rows) for k in keys], *[t.take(owners) for t in tags]], names=names)
+            if near_rows:
+                rows, owners = pa.array(near_rows), pa.array(near_marks)
+                yield pa.RecordBatch.from_arrays([*[k.take(rows) for k in keys], *[m.take(owners) for m in marks]], names=names)
 
     return run
 
