@@ -858,7 +858,7 @@ def _pages_with_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('</select><input type="hidden" name="csrf" value="1"><input type="search" class="q big">'
               '<textarea name="note">n'), F.col("c_custkey").cast("string"),
         F.lit('</textarea><button style="display:none">x</button><button>Save</button></form></div>'))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.lit("http://crm.example.com/").alias("url"), body.alias("html"))
+    return spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("page_id"), F.lit("http://crm.example.com/").alias("url"), body.alias("html"))
 
 
 @query
