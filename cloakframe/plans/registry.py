@@ -1244,7 +1244,7 @@ _FILES = 4  # files of a batch
 def _in_batches(df: DataFrame, batch: Column, n: int, root: str) -> DataFrame:
     """A stream that brings the rows of ``df`` in ``n`` batches, one after the other."""
     spark = df.sparkSession
-    numbered = materialize(df.withColumn("_batch", batch))
+    numbered = df.withColumn("_batch", batch)  # computed for each batch: reading the table again costs no storage
     for i in range(n):
         part = numbered.where(F.col("_batch") == i).drop("_batch")
         part.repartition(_FILES).write.mode("append").parquet(f"{root}/in")
@@ -1277,7 +1277,8 @@ def stream_redact(spark, sf_dir):
 
     root = _stream_folder(spark)
     flow = RedactionStream(f"{root}/state")
-    elements = document_elements(spark, sf_dir)
+    # The batches are dealt to files anyway, so the scan is not spread before that.
+    elements = privacy.as_elements(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "source", "doc_id")
     stream = _in_batches(elements, _thirds(elements, "step_no"), 3, root)
     flow.writer(stream, f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return flow.released(spark).select("session_id", "step_no", "text")
