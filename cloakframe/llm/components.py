@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cloakframe.llm.common import stored
+from cloakframe.llm.common import discard, stored
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        old, edges = edges, stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        discard(old)
         before, now = now, _print(edges)
         if now == before:
             break

@@ -9,12 +9,13 @@
    whose sizes or 256-bit signatures (a bit of the smallest hash in each of 256
    classes) rule a link out end in the join; then a union sketch estimates the
    similarity, whole sets confirm it, and confirmed links are joined to
-   components.  Lists whose other members still lie in different components go
-   on: short ones with all remaining pairs, long ones with few pivots that grow
-   by turns, taken from the largest component, to which the nodes just linked
-   belong (a text whose edited copies fill the list is found by its first copy
-   and connects the others), and from the smallest, which are soon used up;
-   until every pair of a list is compared or already connected.
+   components.
+4. Lists whose other members still lie in different components go on: short
+   ones with all remaining pairs, long ones with some pivots, more by turns,
+   first those that are in most lists (a text whose edited copies fill the
+   list); until every pair of a list is compared or already connected.  Now
+   1024 parities of the whole sets rule links out, too, exactly: two sets
+   differ in at least as many shingles as parities.
 
 A linked pair falls below one of the estimates with probability under 1e-8 (six
 standard deviations); sets of at most k shingles are compared exactly.
@@ -40,9 +41,11 @@ from cloakframe.llm.components import components
 SKETCH = 96
 BUCKETS = 1 << 17
 SHORT_LIST = 24  # members of a list that are all compared with each other in the second turn
-PIVOTS = 4  # members of a longer list that the second turn compares with it, from either end; four times as many in each later turn
+PIVOTS = 16  # members of a longer list that the second turn compares with it; eight times as many in each later turn
 BITS = 256
 SIGNATURE = [f"s{k}" for k in range(BITS // 64)]
+PARITIES = 1024
+PARITY = [f"o{k}" for k in range(PARITIES // 64)]
 BITMAP = 1 << 20
 
 
@@ -86,6 +89,12 @@ def signature(values: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def parities(values: np.ndarray) -> bytes:
+    """Whether each of 1024 classes holds an odd number of values: sets differ in at least as many values as these bits."""
+    at = ((values >> np.uint64(16)) & np.uint64(PARITIES - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITIES) & 1).astype(bool)).tobytes()
+
+
 def agreeing(need: float) -> int:
     """Signature bits in which two sets of similarity ``need`` agree, six standard deviations aside."""
     p = (1 + need) / 2
@@ -95,16 +104,18 @@ def agreeing(need: float) -> int:
 def _sketches(width: int, size: int):
     def run(batches):
         for batch in batches:
-            n, key, sketch, sign = [], [], [], []
+            n, key, sketch, sign, odd = [], [], [], [], []
             for _, s in shingle_sets(text_array(batch.column("text")), width):
                 n.append(len(s))
                 key.append(set_key(s) if len(s) else None)
                 sketch.append(s[:size].tobytes())
                 sign.append(signature(s))
+                odd.append(parities(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()),
-                 *[pa.array(np.ascontiguousarray(c)) for c in np.frombuffer(b"".join(sign), np.int64).reshape(-1, len(SIGNATURE)).T]],
-                names=["doc_id", "n", "key", "sketch", *SIGNATURE],
+                 *[pa.array(np.ascontiguousarray(c)) for c in np.frombuffer(b"".join(sign), np.int64).reshape(-1, len(SIGNATURE)).T],
+                 *[pa.array(np.ascontiguousarray(c)) for c in np.frombuffer(b"".join(odd), np.int64).reshape(-1, len(PARITY)).T]],
+                names=["doc_id", "n", "key", "sketch", *SIGNATURE, *PARITY],
             )
 
     return run
@@ -208,8 +219,10 @@ class _Links:
         both = pairs.join(sketch.withColumnsRenamed({"key": "a", "sketch": "sketch_a"}), "a")
         both = both.join(sketch.withColumnsRenamed({"key": "b", "sketch": "sketch_b"}), "b")
         likely = stored(both.mapInArrow(_estimated(self.size, self.percent / 100), "a binary, b binary"))
-        # Texts of the nodes concerned: a bitmap of fixed size keeps most others out of the shuffle.
+        if likely.isEmpty():
+            return likely
         used = likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct()
+        # Texts of the nodes concerned: a bitmap of fixed size keeps most others out of the shuffle.
         bits = np.zeros(BITMAP, bool)
         for r in self.nodes.join(used, "key", "left_semi").select(F.pmod("doc_id", F.lit(BITMAP)).alias("bit")).distinct().collect():
             bits[r.bit] = True
@@ -224,28 +237,30 @@ class _Links:
         return links
 
 
+def _spanning(lists: DataFrame) -> DataFrame:
+    """The rows of the lists whose members lie in several components."""
+    spans = lists.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
+    return lists.join(spans, "value", "left_semi")
+
+
 def _pivots(lists: DataFrame, turn: int) -> DataFrame:
     """(value, pivot, pivot_n, pivot_component): the members of every list to compare with the whole list now.
 
     First one member per list, one of two hash orders, so that the lists of a
-    group of copies share few pivots.  Later some members of the list's largest
-    and of its smallest components, in a number that grows by turns; a list
-    that is short enough is compared completely.
+    group of copies share few pivots.  Later those that are in most lists, as
+    they have the fewest shingles of their own, in the same order in every list
+    and in a number that grows by turns; a short list is compared completely.
     """
-    told = ["node", "n", "component", *SIGNATURE]
+    told = [c for c in lists.columns if c != "value"]
     if not turn:
         order = F.xxhash64("node", F.pmod("value", F.lit(2)))
         best = lists.groupBy("value").agg(F.min(F.struct(order.alias("h"), *told)).alias("p"))
         return best.select("value", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in told])
-    many = lists.groupBy("value", "component").agg(F.count("*").alias("m"))
-    whole = many.groupBy("value").agg(F.sum("m").alias("members"))
-    line, order = Window.partitionBy("value"), [F.xxhash64("node"), F.col("node")]
-    ranked = lists.join(many, ["value", "component"]).join(whole, "value").withColumns({
-        "first": F.row_number().over(line.orderBy(F.col("m").desc(), "component", *order)),
-        "last": F.row_number().over(line.orderBy(F.col("m").asc(), "component", *order)),
-    })
-    most = PIVOTS * 4 ** (turn - 1)
-    chosen = ranked.where((F.col("members") <= SHORT_LIST) | (F.col("first") <= most) | (F.col("last") <= most))
+    line = Window.partitionBy("value")
+    held = lists.groupBy("node").agg(F.count("*").alias("held"))
+    central = line.orderBy(F.col("held").desc(), F.xxhash64("node"), "node")
+    ranked = lists.join(held, "node").withColumns({"members": F.count("*").over(line), "at": F.row_number().over(central)})
+    chosen = ranked.where((F.col("members") <= SHORT_LIST) | (F.col("at") <= PIVOTS * 8 ** (turn - 1)))
     return chosen.select("value", *[F.col(c).alias(f"pivot_{c}") for c in told])
 
 
@@ -255,6 +270,9 @@ def _proposals(lists: DataFrame, pivots: DataFrame, need: float) -> DataFrame:
     alike = sum(F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.pivot_{s}"))) for s in SIGNATURE) <= BITS - agreeing(need)
     fits = (F.col("x.n") >= need * F.col("y.pivot_n") - 1e-9) & (F.col("y.pivot_n") >= need * F.col("x.n") - 1e-9)
     apart = (F.col("x.node") != F.col("y.pivot_node")) & (F.col("x.component") != F.col("y.pivot_component"))
+    if PARITY[0] in lists.columns:
+        odd = sum(F.bit_count(F.col(f"x.{o}").bitwiseXOR(F.col(f"y.pivot_{o}"))) for o in PARITY)
+        alike &= odd <= (F.col("x.n") + F.col("y.pivot_n")) * ((1 - need) / (1 + need)) + 1e-9
     pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & apart & fits & alike)
     return pairs.select(F.least("x.node", "y.pivot_node").alias("a"), F.greatest("x.node", "y.pivot_node").alias("b")).distinct()
 
@@ -266,11 +284,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
     ``width``-word shingles are linked; a component's smallest doc_id is kept.
     """
     need = percent / 100
-    signed = "".join(f", {c} long" for c in SIGNATURE)
+    signed = "".join(f", {c} long" for c in (*SIGNATURE, *PARITY))
     with small_batches(docs.sparkSession, 2500):
         rows = stored(docs.select("doc_id", "text").mapInArrow(_sketches(width, size), f"doc_id long, n long, key binary, sketch binary{signed}"), "none")
     live = rows.where("key is not null and doc_id is not null")
-    nodes = stored(live.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sketch", *SIGNATURE)]), "none")
+    nodes = stored(live.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sketch", *SIGNATURE, *PARITY)]), "none")
 
     count = nodes.select("sketch").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(BUCKETS, np.int64)
@@ -289,12 +307,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, size: in
         found = finder.confirm(_proposals(lists, top, need))
         links = found if links is None else links.unionByName(found)
         if labels is None or not found.isEmpty():
-            labels = stored(components(links))
+            old, labels = labels, stored(components(links))
+            if old is not None:
+                discard(old)
         # What is left: members that were no pivots, in lists that span several components.
         rest = lists.drop("component").join(top.select("value", F.col("pivot_node").alias("node")), ["value", "node"], "left_anti")
         rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spans = rest.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
-        done, lists = lists, stored(rest.join(spans, "value", "left_semi").select("value", "node", "n", *SIGNATURE, "component"))
+        left = _spanning(rest)
+        if not turn:
+            left = left.join(nodes.select(F.col("key").alias("node"), *PARITY), "node")
+        done, lists = lists, stored(left.select("value", "node", "n", *SIGNATURE, *PARITY, "component"))
         discard(done, top)
         if lists.isEmpty():
             break

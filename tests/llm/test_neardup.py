@@ -128,3 +128,35 @@ def test_edited_copies_of_one_text_are_joined_without_all_pairs(frame, monkeypat
     got = neardup.near_duplicates(frame(texts), width=3, percent=85).collect()
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
     assert sum(made) < 40 * len(texts), made  # all pairs are 200 a text
+
+
+def test_edited_copies_without_their_source_are_not_paired(frame, monkeypatch):
+    """Hardly a copy links to another, each is near all: exact bounds end their pairs."""
+    rng, made = random.Random(5), []
+    texts = []
+    for c in range(400):
+        words = [f"w{i}" for i in range(120)]
+        for at in rng.sample(range(3, 117, 6), 3):
+            words[at] = f"e{c}x{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*texts[0].split()[:-1], "end"]), texts[1]]
+    proposals = neardup._proposals
+
+    def counted(*args):
+        pairs = proposals(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(neardup, "_proposals", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(texts), width=3, percent=85).collect()}
+    assert got == {i: top for i, (_, top) in brute(texts, 3, 85).items()}
+    assert sum(made[1:]) < 20 * len(texts), made  # all pairs are 200 a text
+
+
+def test_parities_never_exceed_the_difference():
+    r = np.random.default_rng(4)
+    for n, cut in ((50, 9), (700, 150), (5000, 0)):
+        pool = np.unique(r.integers(0, 2**63, n + 2 * cut, dtype=np.uint64))
+        a, b = np.delete(pool, range(cut)), pool[: len(pool) - cut]
+        x, y = (np.unpackbits(np.frombuffer(neardup.parities(s), np.uint8)) for s in (a, b))
+        assert (x != y).sum() <= len(np.setxor1d(a, b)) and (cut or not (x != y).any())
